@@ -33,8 +33,7 @@ def _prepared(df: DataFrame, source: str, doc_id: str, text: str, date: str | No
 def _keyed_lines(docs: DataFrame, min_letters: int) -> DataFrame:
     lines = docs.select("_src", "_id", "_c", "_day", F.posexplode(F.split("_text", "\n")).alias("_at", "_line")).where(F.length("_line") >= min_letters)
     keyed = lines.withColumn("_key", line_key(F.col("_line")))
-    letters = F.length(F.regexp_replace("_key", "[^a-z]+", ""))
-    return keyed.where(letters >= min_letters).select("_src", "_id", "_c", "_day", (F.col("_at") + 1).cast("bigint").alias("_no"), F.xxhash64("_key").alias("_k"), "_key")
+    return keyed.where(F.col("_key").rlike("(?:[^a-z]*+[a-z]){%d}" % min_letters)).select("_src", "_id", "_c", "_day", (F.col("_at") + 1).cast("bigint").alias("_no"), F.xxhash64("_key").alias("_k"), "_key")
 
 
 def excessive_lines(df: DataFrame, source: str, doc_id: str, text: str, date: str | None = None, *, cluster_by: str = "id", min_docs: int = 10, min_repeats: int = 5, min_share: float = 0.1, min_dates: int = 1, min_letters: int = 12) -> DataFrame:

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import materialise, table
+from .bpe import count_tokens, decode_column, encode_column
 from .lines import repeated_lines, without_repeated_lines
+from .mix import fair_mix, mix_report
 from .split import split_oversized
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +70,30 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p4_pieces")
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
+
+
+@query("p7_ids")
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_column(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("p7_round_trip", "SELECT doc_id, coalesce(text, '') = coalesce(text, '') AS same, md5(coalesce(text, '')) AS text_md5 FROM documents")
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    back = decode_column(spark, encode_column(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "ids").withColumnRenamed("text", "decoded")
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.join(back, "doc_id").select("doc_id", (F.col("text") == F.col("decoded")).alias("same"), F.md5(F.col("decoded").cast("binary")).alias("text_md5"))
+
+
+def _mix(spark: SparkSession, d: str) -> DataFrame:
+    sized = materialise(count_tokens(table(spark, d, "documents").where("text is not null"), ["doc_id", "source"], "text"))
+    return fair_mix(sized, table(spark, d, "mix_targets"), "doc_id", "source", "n_tokens")
+
+
+@query("p8_mix")
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)
+
+
+@query("p8_shares")
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix_report(_mix(spark, d), table(spark, d, "mix_targets"), "source", "n_tokens")
