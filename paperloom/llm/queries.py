@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, table
 from .bpe import count_tokens, decode_column, encode_column
+from .langid import identify
 from .lines import repeated_lines, without_repeated_lines
 from .mix import fair_mix, mix_report
 from .split import split_oversized
@@ -97,3 +98,14 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 @query("p8_shares")
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(_mix(spark, d), table(spark, d, "mix_targets"), "source", "n_tokens")
+
+
+@query("p9_languages")
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    return identify(table(spark, d, "documents"))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = identify(table(spark, d, "documents"))
+    return found.where("lang is not null and (segment_no > 0 or not label_ok)").select("doc_id", "segment_no", "lang").distinct()
