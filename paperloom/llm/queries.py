@@ -12,6 +12,7 @@ from .bpe import count_tokens, decode_column, encode_column
 from .langid import identify
 from .lines import repeated_lines, without_repeated_lines
 from .mix import fair_mix, mix_report
+from .ocr import scan_noise, scan_repaired
 from .split import split_oversized
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +110,13 @@ def p9_languages(spark: SparkSession, d: str) -> DataFrame:
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     found = identify(table(spark, d, "documents"))
     return found.where("lang is not null and (segment_no > 0 or not label_ok)").select("doc_id", "segment_no", "lang").distinct()
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise(spark, table(spark, d, "chunks"), table(spark, d, "page_text"))
+
+
+@query("p6_repaired")
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repaired(spark, table(spark, d, "chunks"), table(spark, d, "page_text"))
