@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What a scanner reads, and what stood there.
-CONFUSIONS = [("c", "e"), ("f", "t"), ("!", "i"), ("!", "l"), ("l", "i"), ("cl", "d"), ("ä", "a"), ("á", "a"), ("à", "a"), ("0", "o"), ("5", "s"), ("1", "l"), ("1", "i"), ("ii", "u"), ("q", "g"), ("b", "h"), ("rn", "m"), ("vv", "w"), ("6", "b"), ("h", "li"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("8", "b"), ("9", "g"), ("|", "l"), ("m", "rn"), ("i", "l")]
+CONFUSIONS = [("c", "e"), ("f", "t"), ("!", "i"), ("!", "l"), ("l", "i"), ("cl", "d"), ("ä", "a"), ("á", "a"), ("à", "a"), ("0", "o"), ("5", "s"), ("1", "l"), ("1", "i"), ("ii", "u"), ("q", "g"), ("b", "h"), ("rn", "m"), ("vv", "w"), ("6", "b"), ("h", "li"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("8", "b"), ("9", "g"), ("|", "l")]
 MARKS = "-¬‐\xad‑"
 DATE = re.compile(r"(?:\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{4}-\d{1,2}-\d{1,2})")
 MONTH = r"(?:January|February|March|April|May|June|July|August|September|October|November|December)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise, table
@@ -12,6 +12,7 @@ from .bpe import count_tokens, decode_column, encode_column
 from .langid import identify
 from .lines import repeated_lines, without_repeated_lines
 from .mix import fair_mix, mix_report
+from .names import all_names, name_links, name_variants
 from .ocr import scan_noise, scan_repaired
 from .split import split_oversized
 
@@ -120,3 +121,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p6_repaired")
 def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scan_repaired(spark, table(spark, d, "chunks"), table(spark, d, "page_text"))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_variants(table(spark, d, "filings"), table(spark, d, "nicknames"))
+
+
+@query("p5_classes")
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    classes = name_links(all_names(table(spark, d, "filings")), table(spark, d, "nicknames"))
+    return classes.select("name", F.min("name").over(Window.partitionBy("comp")).alias("class_name"))
