@@ -1,15 +1,15 @@
 """Linking of the spellings of one person's or body's name.
 
 Candidates come from a symmetric-delete index: each rare token of a name is indexed
-under itself and under itself with one letter left out, together with the first letter
+under itself, its sound, and either with one letter left out, together with the first letter
 of another token of the name; names that share an entry are compared. Tokens common to
 many names (given names, forms of business) never open an entry, so an entry holds the
 spellings of few names, whatever the corpus.
 
 A comparison aligns the tokens of both names by optimal assignment, with one slip
 (insertion, omission, exchange or swap) per token, initials, short forms and written-out
-abbreviations permitted. It is certain (level 0), or leaves something open: a middle
-name on one side only (1), a short form (2), an initial (3). Certain links make
+abbreviations permitted. It is certain (level 0), or leaves something open: the initial of a middle
+name (1), a middle name on one side only (2), a short form (3), an initial (4). Certain links make
 components. Then, level by level, a component is linked by open links only if they lead
 to a single other component; a spelling that fits two different persons stays apart.
 """
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 #: How names abbreviate words of bodies (fixed values).
-ABBREVIATIONS = {"pvt": "private", "p": "private", "ltd": "limited", "corpn": "corporation", "corp": "corporation", "assn": "association", "engg": "engineering", "mfg": "manufacturing", "edu": "educational", "labs": "laboratories", "co": "company", "devp": "developers", "dev": "development", "indl": "industrial", "govt": "government", "coop": "cooperative", "intl": "international", "soc": "society", "bros": "brothers", "ents": "enterprises", "inds": "industries", "fin": "finance", "chem": "chemicals", "fert": "fertilisers", "muncipal": "municipal", "devlopment": "development"}
+ABBREVIATIONS = {"pvt": "private", "p": "private", "ltd": "limited", "corpn": "corporation", "corp": "corporation", "assn": "association", "engg": "engineering", "mfg": "manufacturing", "edu": "educational", "labs": "laboratories", "co": "company", "devp": "developers", "dev": "development", "indl": "industrial", "govt": "government", "coop": "cooperative", "intl": "international", "soc": "society", "bros": "brothers", "ents": "enterprises", "inds": "industries", "fin": "finance", "chem": "chemicals", "fert": "fertilisers", "entps": "enterprises", "co-op": "cooperative", "constr": "construction", "const": "construction", "transp": "transport", "intnl": "international", "muncipal": "municipal", "devlopment": "development"}
 LEGAL = {"private", "limited", "llp", "association"}
 PUBLIC = {"state": "government", "union": "government", "government": "government"}
-BODY = LEGAL | {"government", "corporation", "company", "bank", "mills", "trust", "works", "enterprises", "industries", "factory", "foods", "society", "exports", "laboratories", "developers", "fertilisers", "manufacturing", "resorts", "leasing", "transmission", "brothers", "industrial", "municipal", "board", "authority", "university", "department", "council", "institute", "mining", "cement", "pharma", "steel", "textile", "sugar", "agro"}
+BODY = LEGAL | {"construction", "cooperative", "government", "corporation", "company", "bank", "mills", "trust", "works", "enterprises", "industries", "factory", "foods", "society", "exports", "laboratories", "developers", "fertilisers", "manufacturing", "resorts", "leasing", "transmission", "brothers", "industrial", "municipal", "board", "authority", "university", "department", "council", "institute", "mining", "cement", "pharma", "steel", "textile", "sugar", "agro"}
 HONORIFICS = {"dr", "shri", "sh", "smt", "mr", "mrs", "ms", "kum", "km", "sri", "miss", "prof", "adv", "advocate"}
 FILLERS = {"the", "of", "and", "m/s", "messrs"}
 ROLE = re.compile(r"[,\s]*[\(\[]?\b(?:aor|adv|advocate(?:[ -]on[ -]record)?|sr\.? adv|senior advocate)\.?[\)\]]?\s*$", re.I)
@@ -39,13 +39,25 @@ VERSUS = re.compile(r"(?<=\s)(?:v\.|vs\.?|VS\.?|Vs\.?|v/s|V/s|Versus|VERSUS|vers
 OTHERS = r"[\s,]*(?:&|\b(?i:and))\s+(?i:another|others?|anr\.?|ors\.?)\s*$"
 
 
+@lru_cache(maxsize=200_000)
+def sound(token: str) -> str:
+    """A token with sounds that are spelled in several ways spelled in one."""
+    for a, b in (("ee", "i"), ("oo", "u"), ("aa", "a"), ("ph", "f"), ("w", "v"), ("y", "i"), ("ck", "k"), ("q", "k"), ("z", "s")):
+        token = token.replace(a, b)
+    return token
+
+
 @lru_cache(maxsize=200_000)
 def near(a: str, b: str) -> int:
-    """0 for equal tokens, 1 for one slip (a letter more, less, another, or two swapped), else 2."""
+    """0 for equal tokens, 1 for one slip (a letter more, less, another, or two swapped) or another spelling of a sound, else 2."""
     if a == b:
         return 0
     la, lb = len(a), len(b)
-    if abs(la - lb) > 1 or min(la, lb) < 4:
+    if min(la, lb) < 4:
+        return 2
+    if sound(a) == sound(b):
+        return 1
+    if abs(la - lb) > 1:
         return 2
     i = 0
     while i < la and i < lb and a[i] == b[i]:
@@ -123,7 +135,8 @@ class Parser:
             return True
         if len(s) < 3 or len(f) - len(s) < 1:
             return False
-        return f.startswith(s) or len(s) >= 4 and s[-1] in "uiya" and f.startswith(s[:-1])
+        stem = re.sub(r"(.)\1$", r"\1", s[:-1]) if s[-1] in "uiya" else s
+        return f.startswith(s) or len(stem) >= 3 and f.startswith(stem)
 
     def compare(self, a: Name, b: Name) -> tuple[int, int] | None:
         """``(level, side)`` if both may be one: the open point, and whose side (0: a, 1: b) leaves it open; else None."""
@@ -134,6 +147,10 @@ class Parser:
                 return None
             return (0, 0)
         slips = near(a.family, b.family)
+        if slips > 1 and near(a.family, b.given) < 2 and near(a.given, b.family) < 2:
+            # the family name stands first, and both names are rare
+            b = Name(False, given=b.family, middle=b.middle, family=b.given, alias=b.alias)
+            slips = near(a.family, b.family)
         if slips > 1 or not a.given or not b.given:
             return (0, 0) if slips == 0 and a.given == b.given == "" else None
         ga, gb, ma, mb = a.given, b.given, a.middle, b.middle
@@ -148,17 +165,17 @@ class Parser:
             if len(ga) == 1 or len(gb) == 1:
                 if ga[0] != gb[0]:
                     return None
-                level, side = 3, int(len(gb) == 1)
+                level, side = 4, int(len(gb) == 1)
             elif a.alias and near(a.alias, gb) < 2 or b.alias and near(b.alias, ga) < 2 or self.short(ga, gb):
-                level, side = 2, int(len(gb) < len(ga))
+                level, side = 3, int(len(gb) < len(ga))
             else:
                 return None
         elif slips + g > 2:
             return None
         if ma or mb:
             if len(ma) != len(mb):
-                if level < 1:
-                    level, side = 1, int(len(mb) < len(ma))
+                if level < 2:
+                    level, side = 2, int(len(mb) < len(ma))
             else:
                 for x, y in zip(ma, mb):
                     if near(x, y) < 2:
@@ -249,7 +266,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(label.withColumnRenamed("a", "comp"), "comp", "left").select("name", F.coalesce("l", "comp").alias("comp"))
 
 
-def name_links(names: DataFrame, nicknames: DataFrame, *, common_share: float = 0.004, least_common: int = 25) -> DataFrame:
+def name_links(names: DataFrame, nicknames: DataFrame, *, common_share: float = 0.003, least_common: int = 12) -> DataFrame:
     """Rows ``(name, comp)``: the distinct names, and the component (its least name's hash) of each.
 
     ``nicknames`` is ``(short_name, full_name)``. Tokens in ``common_share`` of the names
@@ -285,7 +302,7 @@ def name_links(names: DataFrame, nicknames: DataFrame, *, common_share: float =
                     rest = {w[0] for i, w in enumerate(words) if w != r} or {""}
                     if p.body:
                         rest = {min(rest), max(rest)}
-                    for k in {r, *(r[:i] + r[i + 1 :] for i in range(len(r)) if len(r) >= 4)}:
+                    for k in {v for w in {r, sound(r)} for v in (w, *(w[:i] + w[i + 1 :] for i in range(len(w)) if len(w) >= 4))}:
                         keys |= {f"{'b' if p.body else 'p'} {k} {c}" for c in rest}
                 out += [(n, k) for k in keys]
             yield pd.DataFrame(out, columns=["name", "key"])
@@ -308,7 +325,7 @@ def name_links(names: DataFrame, nicknames: DataFrame, *, common_share: float =
     nodes = names.select("name", F.xxhash64("name").alias("comp"))
     sure = links.where("level = 0").select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
     nodes = materialise(components(nodes, sure))
-    for level in (1, 2, 3):
+    for level in (1, 2, 3, 4, 2, 3, 4):
         a = nodes.select(F.col("name").alias("a"), F.col("comp").alias("ca"))
         b = nodes.select(F.col("name").alias("b"), F.col("comp").alias("cb"))
         across = links.where(F.col("level") == level).join(a, "a").join(b, "b").where("ca <> cb")
