@@ -14,6 +14,7 @@ from .lines import repeated_lines, without_repeated_lines
 from .mix import fair_mix, mix_report
 from .names import all_names, name_links, name_variants
 from .ocr import scan_noise, scan_repaired
+from .pii import masked, personal_information
 from .split import split_oversized
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +133,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     classes = name_links(all_names(table(spark, d, "filings")), table(spark, d, "nicknames"))
     return classes.select("name", F.min("name").over(Window.partitionBy("comp")).alias("class_name"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal_information(table(spark, d, "chunks"), table(spark, d, "finding_evidence"))
+
+
+@query("p3_masked")
+def p3_masked(spark: SparkSession, d: str) -> DataFrame:
+    return masked(table(spark, d, "chunks"), table(spark, d, "finding_evidence"))
