@@ -46,3 +46,17 @@ SELECT origin, id AS entity_id, kind, CAST(s AS BIGINT) AS start_page, CAST(e AS
 @query("p2_found", P2_SQL)
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return page_periods(table(spark, d, "annotations"), table(spark, d, "filing_parts"))
+
+
+def load_plans() -> None:
+    """Imports the modules whose queries register themselves."""
+    import importlib
+    import pkgutil
+
+    from . import plans
+
+    for m in sorted(x.name for x in pkgutil.iter_modules(plans.__path__)):
+        importlib.import_module(f"{plans.__name__}.{m}")
+
+
+load_plans()
