@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouped import per_group
+
 
 def cut_set(df: DataFrame, filing: str, label: str, page: str = "page") -> DataFrame:
     """Rows ``(filing, page)``: a boundary stands behind a page that has exactly one label, and its next page exactly one other."""
@@ -82,20 +83,20 @@ def stable_owners(df: DataFrame, filing: str, page: str, label: str, opening: st
     """``df`` with ``owner``: a page's owner stays until an opening that is verified.
 
     ``opening`` is true where a page opens a document by itself. Sequential per filing; pages
-    of one filing are bounded by the filing, and stream through one pandas group.
+    of one filing are one group.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(page, kind="stable")
+    def run(rows: list[dict]) -> list[tuple]:
         owner, out = None, []
-        for lab, opens in zip(pdf[label], pdf[opening]):
-            if owner is None or (opens is True or opens == 1) and lab is not None:
-                owner = lab
-            out.append(owner)
-        return pdf.assign(owner=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", owner string"
-    return df.groupBy(filing).applyInPandas(run, schema)
+        for r in rows:
+            if owner is None or r[opening] and r[label] is not None:
+                owner = r[label]
+            out.append((*(r[c] for c in kept), owner))
+        return out
+
+    kept = [c for c in df.columns if c != filing]
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept) + ", owner string"
+    return per_group(df, [filing], [page], run, schema)
 
 
 def transitions(df: DataFrame, filing: str, page: str, label: str) -> DataFrame:
