@@ -17,7 +17,7 @@ def docs(spark, d):
     return table(spark, d, "documents")
 
 
-@query("text_windows_fixed", "WITH x AS (SELECT doc_id, text, unnest(range(0, CAST(greatest(ceil((length(text) - 500) / 450), 0) AS INT) + 1)) AS k FROM documents WHERE length(text) > 0) SELECT doc_id, CAST(k AS INT) AS "window", md5(substring(text, k * 450 + 1, 500)) AS h FROM x")
+@query("text_windows_fixed", "WITH x AS (SELECT doc_id, text, unnest(range(0, CAST(greatest(ceil((length(text) - 500) / 450), 0) AS INT) + 1)) AS k FROM documents WHERE length(text) > 0) SELECT doc_id, CAST(k AS INT) AS \"window\", md5(substring(text, k * 450 + 1, 500)) AS h FROM x")
 def text_windows_fixed(spark, d):
     return C.fixed_windows(docs(spark, d), ["doc_id"], "text", 500, 450).select("doc_id", "window", F.md5(F.col("piece").cast("binary")).alias("h"))
 
