@@ -206,12 +206,13 @@ def evidence_binding(spark, d):
     return A.best_binding(e.join(b, ["filing_id", "status"]), "evidence_id", same("check_id", "_c"), has, same("page", "_p"), "chunk").select("evidence_id", "chunk", "priority")
 
 
-W = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+def _place():
+    return F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
 
 
 def _words(spark, d):
     li = table(spark, d, "lineitem")
-    return li.select("l_orderkey", F.row_number().over(W).alias("n"), (F.col("l_quantity") / 60).alias("x"), (F.col("l_linenumber") / 9).alias("y"), (F.col("l_tax") + 0.01).alias("w"), (F.col("l_discount") / 2 + 0.01).alias("h"))
+    return li.select("l_orderkey", _place().alias("n"), (F.col("l_quantity") / 60).alias("x"), (F.col("l_linenumber") / 9).alias("y"), (F.col("l_tax") + 0.01).alias("w"), (F.col("l_discount") / 2 + 0.01).alias("h"))
 
 
 @query("visual_lines")
@@ -221,7 +222,7 @@ def visual_lines(spark, d):
 
 @query("jump_filter", "WITH w AS (SELECT l_orderkey, l_linenumber, l_partkey, l_linenumber % 4 / 4.0 AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem), c AS (SELECT *, CASE WHEN abs(y - lag(y) OVER (PARTITION BY l_orderkey ORDER BY n)) > 0.3 THEN 1 ELSE 0 END AS c FROM w), r AS (SELECT *, sum(c) OVER (PARTITION BY l_orderkey ORDER BY n) AS run FROM c), s AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, run) AS k FROM r), l AS (SELECT *, max(k) OVER (PARTITION BY l_orderkey) AS m FROM s) SELECT l_orderkey, n, y FROM l WHERE k >= 2 OR k = m")
 def jump_filter(spark, d):
-    words = table(spark, d, "lineitem").select("l_orderkey", F.row_number().over(W).alias("n"), (F.col("l_linenumber") % 4 / 4.0).alias("y"))
+    words = table(spark, d, "lineitem").select("l_orderkey", _place().alias("n"), (F.col("l_linenumber") % 4 / 4.0).alias("y"))
     return A.without_jumps(words, "l_orderkey", "n", 0.3, 2)
 
 
