@@ -92,7 +92,8 @@ def word_counts(texts: DataFrame, text: str) -> DataFrame:
             if len(counts) > 200_000:
                 yield flush()
                 counts = Counter()
-        yield flush()
+        if counts:
+            yield flush()
 
     rows = texts.select(F.col(text).alias("_t")).where("_t is not null and _t <> ''")
     return rows.mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
