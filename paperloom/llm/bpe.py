@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 TOKENIZERS = "/opt/tokenizers"
 #: The words of this family of tokenizers (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -171,7 +173,7 @@ def encode_column(df: DataFrame, key: str, text: str, *, tokenizer: str = "byte_
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[key, "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.col(text).alias("_text")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(key, F.col(text).alias("_text"))).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def count_tokens(df: DataFrame, keep: list[str], text: str, *, tokenizer: str = "byte_bpe_50k.json", folder: str = TOKENIZERS, pattern: str = PATTERN) -> DataFrame:
@@ -188,7 +190,7 @@ def count_tokens(df: DataFrame, keep: list[str], text: str, *, tokenizer: str =
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n.astype(np.int64))], names=[*keep, "n_tokens"])
 
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, n_tokens bigint")
+    return spread(df.select(*keep, F.col(text).alias("_text"))).mapInArrow(run, f"{kinds}, n_tokens bigint")
 
 
 def decode_column(spark: SparkSession, df: DataFrame, key: str, ids: str, *, tokenizer: str = "byte_bpe_50k.json", folder: str = TOKENIZERS) -> DataFrame:

@@ -24,6 +24,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
+from .threads import one_thread
+
 LANGUAGES = ["en", "hi", "mr", "bn", "ta", "gu", "ur"]
 #: Codes of three letters and English names (fixed values).
 NAMES = {"eng": "en", "english": "en", "hin": "hi", "hindi": "hi", "mar": "mr", "marathi": "mr", "ben": "bn", "bengali": "bn", "bangla": "bn", "tam": "ta", "tamil": "ta", "guj": "gu", "gujarati": "gu", "urd": "ur", "urdu": "ur"}
@@ -43,6 +47,7 @@ class Grams:
     """Hashed n-gram counts of paragraphs; what a word contributes is remembered."""
 
     def __init__(self, buckets: int):
+        one_thread()
         self.buckets = buckets
         self._forget()
 
@@ -201,7 +206,7 @@ def languages(df: DataFrame, doc_id: str, text: str, label: str, model: Model, *
             yield pd.concat([left, made.drop(columns="_row")], axis=1)
 
     kind = df.schema[doc_id].dataType.simpleString()
-    out = df.select(F.col(doc_id).alias("_id"), label_code(F.col(label)).alias("_label"), F.col(text).alias("_text")).mapInPandas(run, f"_id {kind}, _label string, segment_no bigint, lang string, confidence double")
+    out = spread(df.select(F.col(doc_id).alias("_id"), label_code(F.col(label)).alias("_label"), F.col(text).alias("_text"))).mapInPandas(run, f"_id {kind}, _label string, segment_no bigint, lang string, confidence double")
     return out.select(F.col("_id").alias(doc_id), "segment_no", "lang", "confidence", F.col("_label").alias("label_lang"), F.col("_label").eqNullSafe(F.col("lang")).alias("label_ok"))
 
 

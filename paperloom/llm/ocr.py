@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: What a scanner reads, and what stood there.
 CONFUSIONS = [("c", "e"), ("f", "t"), ("!", "i"), ("!", "l"), ("l", "i"), ("cl", "d"), ("ä", "a"), ("á", "a"), ("à", "a"), ("0", "o"), ("5", "s"), ("1", "l"), ("1", "i"), ("ii", "u"), ("q", "g"), ("b", "h"), ("rn", "m"), ("vv", "w"), ("6", "b"), ("h", "li"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("8", "b"), ("9", "g"), ("|", "l")]
 MARKS = "-¬‐\xad‑"
@@ -157,13 +159,13 @@ class Decoder:
         best = (UNKNOWN + 0.5 * len(low), core, False)
         if len(low) < 3 or not any(ch.isalpha() for ch in low):
             return best
-        spread = list(dict.fromkeys(readings(low)))
-        for r in spread:
+        once = list(dict.fromkeys(readings(low)))
+        for r in once:
             c = self.costs.get(r)
             if c is not None and c + CONFUSED < best[0]:
                 best = (c + CONFUSED, r, True)
         if not best[2] and len(low) >= 6:
-            for r in spread:
+            for r in once:
                 for rr in readings(r):
                     c = self.costs.get(rr)
                     if c is not None and c + 2 * CONFUSED + 3 < best[0]:
@@ -517,13 +519,13 @@ def chunk_pages(chunks: DataFrame) -> DataFrame:
     """The chunks as pages: repeated record ids once, with the pages they may be numbered by."""
     spans = F.array_distinct(F.concat(F.array("primary_page", "page_start", "page_end"), F.coalesce(F.transform("source_pages", lambda x: x.try_cast("int")), F.array().cast("array<int>"))))
     one = chunks.select(F.col("record_id").alias("_id"), F.lit(None).cast("string").alias("_group"), F.col("primary_page").alias("_page"), spans.alias("_pages"), F.col("chunk_text").alias("_t"))
-    return one.where("_t is not null and _t <> ''")
+    return spread(one.where("_t is not null and _t <> ''"))
 
 
 def text_pages(page_text: DataFrame) -> DataFrame:
     """The rows of page_text as pages: repeated page ids once."""
     one = page_text.select(F.col("page_id").cast("string").alias("_id"), F.col("filing_id").alias("_group"), F.col("page").alias("_page"), F.array("page").alias("_pages"), F.col("normalized_text").alias("_t"))
-    return one.where("_t is not null and _t <> ''").dropDuplicates(["_id"])
+    return spread(one.where("_t is not null and _t <> ''").dropDuplicates(["_id"]))
 
 
 def corpus_lexicon(chunks: DataFrame, page_text: DataFrame) -> dict[str, float]:

@@ -26,6 +26,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+from .threads import one_thread
+
 KINDS = ["person", "email", "phone", "id_number", "address"]
 LABELS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
 N = len(LABELS)
@@ -238,15 +241,13 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
-def vocabulary(texts: list[str], least: int) -> tuple[dict[str, int], np.ndarray]:
+def vocabulary(read: list[tuple], least: int) -> tuple[dict[str, int], np.ndarray]:
     """Classes from the sample: words in ``least`` texts, shapes, and which of them may open an entity."""
     words: Counter[str] = Counter()
     inside: Counter[str] = Counter()
     shapes: Counter[str] = Counter()
     held: Counter[str] = Counter()
-    for text in texts:
-        tokens, starts, _ = tokens_of(text)
-        spans = silver(text)
+    for (tokens, starts, _), spans in read:
         begin = {a for a, _, _ in spans}
         seen = set()
         for t, a in zip(tokens, starts.tolist()):
@@ -277,25 +278,27 @@ def vocabulary(texts: list[str], least: int) -> tuple[dict[str, int], np.ndarray
     return classes, seed
 
 
-def fit(texts: list[str], *, least: int = 6, rounds: int = 45, rate: float = 0.25, decay: float = 2e-5, most: int = 5000) -> Model:
+def fit(texts: list[str], *, least: int = 6, rounds: int = 30, rate: float = 0.25, decay: float = 2e-5, most: int = 3000) -> Model:
     """Weights by maximum likelihood (Adam on all stretches at once) from the silver labels of a sample of texts."""
-    classes, seed = vocabulary(texts, least)
+    one_thread()
+    read = [(tokens_of(t), silver(t)) for t in texts]
+    classes, seed = vocabulary(read, least)
     number = Classes(classes)
     c = len(classes)
     x: list[np.ndarray] = []
     y: list[np.ndarray] = []
-    for text in texts:
-        tokens, starts, ends = tokens_of(text)
+    for (tokens, starts, ends), spans in read:
         if not tokens:
             continue
         cls = np.array([number[t] for t in tokens])
         labels = np.zeros(len(tokens), int)
-        for a, b, kind in silver(text):
+        for a, b, kind in spans:
             hit = np.flatnonzero((starts < b) & (ends > a))
             if len(hit):
                 labels[hit] = LABELS.index(f"I-{kind}")
                 labels[hit[0]] = LABELS.index(f"B-{kind}")
-        places = zones(np.flatnonzero(seed[cls]), len(cls))
+        # stretches of many seeds (lists, coded data) would make the padded chains long, and teach little
+        places = [(a, b) for a, b in zones(np.flatnonzero(seed[cls]), len(cls)) if b - a <= 150]
         x += windows(cls, places, classes["<>"])
         y += [labels[a:b] for a, b in places]
     step = max(1, -(-len(x) // most))
@@ -350,6 +353,7 @@ class Finder:
     """Finds entities in batches of texts."""
 
     def __init__(self, model: Model):
+        one_thread()
         self.model, self.number = model, Classes(model.classes)
 
     def labels(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
@@ -496,15 +500,15 @@ def sources(chunks: DataFrame, evidence: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def personal_information(chunks: DataFrame, evidence: DataFrame, *, sample: int = 3000) -> DataFrame:
+def personal_information(chunks: DataFrame, evidence: DataFrame, *, sample: int = 2500) -> DataFrame:
     """Rows ``(origin, row_id, pii_type, pii_text)``, one per distinct case; the model is fitted on ``sample`` texts."""
     texts = sources(chunks, evidence)
     model = fit(sample_texts(texts, sample))
-    return texts.where("_t is not null and _t <> ''").mapInPandas(_run(model, False), "origin string, row_id string, pii_type string, pii_text string").distinct()
+    return spread(texts.where("_t is not null and _t <> ''")).mapInPandas(_run(model, False), "origin string, row_id string, pii_type string, pii_text string").distinct()
 
 
-def masked(chunks: DataFrame, evidence: DataFrame, *, sample: int = 3000) -> DataFrame:
+def masked(chunks: DataFrame, evidence: DataFrame, *, sample: int = 2500) -> DataFrame:
     """Rows ``(origin, row_id, text, n_masked)``: the texts with placeholders; null texts stay null, repeated rows repeat."""
     texts = sources(chunks, evidence)
     model = fit(sample_texts(texts, sample))
-    return texts.mapInPandas(_run(model, True), "origin string, row_id string, text string, n_masked int")
+    return spread(texts).mapInPandas(_run(model, True), "origin string, row_id string, text string, n_masked int")
