@@ -34,3 +34,9 @@ def materialise(df: DataFrame, partition_hint: int | None = None) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     (df if partition_hint is None else df.repartition(partition_hint)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its files give fewer partitions than there are; else as it is."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
