@@ -25,29 +25,28 @@ def covered(needle: list[str], hay: list[str], least: int = 5, gap: int = 8) ->
     least = min(least, len(needle))
     if not needle or not hay:
         return None
-    where: dict[str, list[int]] = {}
-    for j, t in enumerate(hay):
-        where.setdefault(t, []).append(j)
+    grams: dict[tuple, list[int]] = {}
+    for j in range(len(hay) - least + 1):
+        grams.setdefault(tuple(hay[j : j + least]), []).append(j)
+    at = lambda k: grams.get(tuple(needle[k : k + least]), ()) if k + least <= len(needle) else ()
     best = None
-    for start in where.get(needle[0], []) + [j - k for k in range(1, max(1, len(needle) - least)) for j in where.get(needle[k], [])[:50]]:
-        i, j, matched, first, last = 0, start, 0, None, None
-        if start < 0:
-            i, j = -start, 0
-        while i < len(needle) and j < len(hay):
-            run = 0
-            while i + run < len(needle) and j + run < len(hay) and needle[i + run] == hay[j + run]:
-                run += 1
-            if run >= least or run and i + run == len(needle) and matched:
-                first = j if first is None else first
-                matched, last = matched + run, j + run - 1
-                i, j = i + run, j + run
-                continue
-            step = next(((a, b) for s in range(1, 2 * gap + 1) for a in range(max(0, s - gap), min(s, gap) + 1) for b in [s - a] if i + a < len(needle) and j + b < len(hay) and needle[i + a : i + a + least] == hay[j + b : j + b + least]), None)
-            if step is None:
-                break
-            i, j = i + step[0], j + step[1]
-        if matched and (best is None or matched > best[0]):
-            best = (matched, first, last)
+    for k in range(len(needle) - least + 1):
+        for first in at(k):
+            if k and first and needle[k - 1] == hay[first - 1]:
+                continue  # part of a run that begins before
+            i, j, matched = k, first, 0
+            while True:
+                run = 0
+                while i + run < len(needle) and j + run < len(hay) and needle[i + run] == hay[j + run]:
+                    run += 1
+                i, j, matched = i + run, j + run, matched + run
+                # the nearest further run, the least tokens left out on both sides together
+                step = min(((a + q - j, a, q - j) for a in range(gap + 1) for q in at(i + a) if j <= q <= j + gap), default=None)
+                if step is None:
+                    break
+                i, j = i + step[1], j + step[2]
+            if best is None or matched > best[0]:
+                best = (matched, first, j - 1)
     return best
 
 
@@ -62,9 +61,14 @@ def aligned_quotes(quotes: DataFrame, pages: DataFrame, key: str, ident: str, qu
     q = quotes.where(F.trim(F.coalesce(quote, F.lit(""))) != "").select(F.col(ident).alias("_i"), F.col(key).alias("_k"), F.col(preferred).alias("_pref"), toks(quote).alias("_qt")).where(F.size("_qt") > 0)
     p = pages.where(F.trim(F.coalesce(text, F.lit(""))) != "").select(F.col(key).alias("_k"), F.col(page).alias("_p"), toks(text).alias("_pt"))
     size_of = F.least(F.size("_qt"), F.lit(size))
-    qs = q.select("_i", "_k", F.explode(F.when(size_of == size, shingles(F.col("_qt"), size)).otherwise(shingles(F.col("_qt"), 1))).alias("_h"), size_of.alias("_z"))
-    ps = p.select("_k", "_p", F.explode(F.array_distinct(F.concat(shingles(F.col("_pt"), size), shingles(F.col("_pt"), 1)))).alias("_h")).distinct()
-    near = qs.join(ps, ["_k", "_h"]).select("_i", "_k", "_p").distinct()
+    qs = q.select("_i", "_k", F.explode(shingles(F.col("_qt"), size)).alias("_h"), size_of.alias("_z"))
+    long = qs.where(F.col("_z") == size).join(p.select("_k", "_p", F.explode(shingles(F.col("_pt"), size)).alias("_h")), ["_k", "_h"])
+    # a quote of fewer tokens is one shingle of its own length; pages are cut so only for keys that have such quotes
+    brief = qs.where(F.col("_z") < size)
+    lengths = brief.select("_k", F.col("_z").alias("_l")).distinct()
+    cut = p.join(lengths, "_k").select("_k", "_p", "_l", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_pt") - F.col("_l"), F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("_pt", i + 1, F.col("_l")), " ")))).alias("_h"))
+    short = brief.join(cut, ["_k", "_h"])
+    near = long.select("_i", "_k", "_p").unionByName(short.select("_i", "_k", "_p")).distinct()
     pairs = near.join(q, ["_i", "_k"]).join(p, ["_k", "_p"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
