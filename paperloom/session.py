@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once a context, for clusters that don't have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_paperloom_shipped", False):
+        return
+    home = pathlib.Path(__file__).parent
+    file = pathlib.Path(tempfile.mkdtemp(prefix="paperloom-")) / "paperloom.zip"
+    with zipfile.ZipFile(file, "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    context.addPyFile(str(file))
+    context._paperloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
