@@ -249,3 +249,20 @@ def similarity(a: str | Column, b: str | Column) -> Column:
 def byte_slice(c: str | Column, start: str | Column, length: str | Column) -> Column:
     """Characters of a text by UTF-8 byte offset (from 0) and length."""
     return F.decode(F.substring(F.encode(col(c), "UTF-8"), col(start) + 1, col(length)), "UTF-8")
+
+
+def hmac_sha256(message: str | Column, key: bytes) -> Column:
+    """The HMAC of a text under a key, in hex: what a receiver checks a callback by (K8)."""
+    import hashlib
+
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    pad = lambda n: F.unhex(F.lit(bytes(b ^ n for b in key).hex()))
+    inner = F.sha2(F.concat(pad(0x36), F.encode(col(message), "UTF-8")), 256)
+    return F.sha2(F.concat(pad(0x5C), F.unhex(inner)), 256)
+
+
+def cited(c: str | Column, sources: Sequence[tuple[str, Sequence[str]]]) -> Column:
+    """The sources whose id or one of whose other names a text names, in the order of the sources."""
+    low = F.lower(F.coalesce(col(c), F.lit("")))
+    hit = lambda names: F.array_max(F.array(*[F.contains(low, F.lit(n.lower())) for n in names]))
+    return F.array_compact(F.array(*[F.when(hit([ident, *names]), F.lit(ident)) for ident, names in sources]))
