@@ -87,18 +87,36 @@ def aligned_quotes(quotes: DataFrame, pages: DataFrame, key: str, ident: str, qu
 
 
 def contained(quotes: DataFrame, texts: DataFrame, key: str, quote: str, text: str, ident: str, where: str) -> DataFrame:
-    """Rows ``(ident, where)``: texts of the same key that hold the quote word for word, white space and case aside."""
-    f = lambda c: F.trim(F.regexp_replace(F.lower(F.col(c)), r"\s+", " "))
-    q = quotes.where(F.trim(F.coalesce(quote, F.lit(""))) != "").select(ident, key, f(quote).alias("_q"))
-    t = texts.select(F.col(where), key, f(text).alias("_t"))
-    return q.join(t, key).where(F.contains("_t", F.col("_q"))).select(ident, where)
-
+    """Rows ``(ident, where)``: texts of the same key that hold the quote letter for letter, white space and case aside.
 
-def best_binding(hits: DataFrame, ident: str, cited: Column, has_quote: Column, on_page: Column, order: str) -> DataFrame:
-    """Of the chunks of a piece of evidence the one it is bound to: cited with the quote, quote on the cited page, quote anywhere, cited."""
-    rank = F.when(cited & has_quote, 0).when(has_quote & on_page, 1).when(has_quote, 2).when(cited, 3)
-    ranked = hits.withColumn("priority", rank).where("priority is not null")
-    return ranked.withColumn("_n", F.row_number().over(Window.partitionBy(ident).orderBy("priority", order))).where("_n = 1").drop("_n")
+    The second to fourth word of a quote of five words or more stand whole in any text that
+    holds it: such quotes meet only texts with that run of words. Shorter ones meet the texts of
+    their key that have one word in common with their middle, or, of one or two words, all.
+    """
+    f = lambda c: F.trim(F.regexp_replace(F.lower(F.col(c)), r"\s+", " "))
+    q = quotes.where(F.trim(F.coalesce(quote, F.lit(""))) != "").select(ident, key, f(quote).alias("_q")).withColumn("_w", F.split("_q", " "))
+    t = texts.where(F.col(text).isNotNull()).select(F.col(where), key, f(text).alias("_t")).withColumn("_tw", F.split("_t", " "))
+    n = F.size("_w")
+    run = F.when(n >= 5, F.array_join(F.slice("_w", 2, 3), " ")).when(n >= 3, F.element_at("_w", 2)).otherwise(F.lit(""))
+    runs = F.array_union(F.array_union(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_tw") - 2, F.lit(1))), lambda i: F.array_join(F.slice("_tw", i, 3), " ")), F.col("_tw")), F.array(F.lit("")))
+    keyed = t.select(where, key, "_t", F.explode(F.transform(F.array_distinct(runs), lambda x: F.xxhash64(x))).alias("_h"))
+    near = q.withColumn("_h", F.xxhash64(run)).join(keyed.drop("_t"), [key, "_h"]).select(ident, "_q", where).distinct()
+    return near.join(t.select(where, "_t"), where).where(F.contains("_t", F.col("_q"))).select(ident, where)
+
+
+def best_binding(evidence: DataFrame, chunks: DataFrame, filing: str, cited: str, quote: str, page: str, ident: str, chunk: str) -> DataFrame:
+    """Rows ``(ident, chunk, priority)``: the chunk each piece of evidence is bound to.
+
+    By priority a chunk that is cited and holds the quote (0), that holds it on the cited page
+    (1), that holds it (2), that is cited (3); of several the first by ``chunk``. ``quote`` is
+    a key of the quoted words. Each group of chunks gives its first one before it is joined.
+    """
+    out = evidence.select(ident, filing, cited, quote, page)
+    for n, keys in enumerate(([filing, cited, quote], [filing, quote, page], [filing, quote], [filing, cited])):
+        first = chunks.groupBy(*keys).agg(F.min(chunk).alias(f"_c{n}"))
+        out = out.join(first, keys, "left")
+    found = F.coalesce(*[F.when(F.col(f"_c{n}").isNotNull(), F.struct(F.col(f"_c{n}").alias("chunk"), F.lit(n).alias("priority"))) for n in range(4)])
+    return out.select(ident, found.alias("_f")).where("_f is not null").select(ident, F.col("_f.chunk").alias(chunk), "_f.priority")
 
 
 def visual_lines(df: DataFrame, key: str, ident: str, gutter: float = 0.045) -> DataFrame:

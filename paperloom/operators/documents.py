@@ -128,11 +128,13 @@ def selected(df: DataFrame, column: str, selection: str, families: dict[str, Seq
 def island_scores(islands: DataFrame, entries: DataFrame, key: str, label: str, text: str, particulars: str, dates: Callable, cases: Callable) -> DataFrame:
     """Rows ``(key, label, island, score)``: how well an island's text fits an index entry: shared dates 5, case numbers 4, words of six letters 1."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z]{6,})"), 1))
-    a = islands.select(key, F.col("island"), dates(text).alias("_d"), cases(text).alias("_c"), words(text).alias("_w"))
-    b = entries.select(key, label, dates(particulars).alias("_pd"), cases(particulars).alias("_pc"), words(particulars).alias("_pw"))
-    n = lambda x, y: F.size(F.array_intersect(x, y))
-    scored = a.join(b, key).select(key, label, "island", (5 * n("_d", "_pd") + 4 * n("_c", "_pc") + n("_w", "_pw")).alias("score"))
-    return scored.withColumn("_r", F.row_number().over(Window.partitionBy(key, label).orderBy(F.desc("score"), "island"))).where("_r = 1 and score > 0").drop("_r")
+    tagged = lambda xs, tag, w: F.transform(xs, lambda x: F.struct(F.concat(F.lit(tag), x).alias("f"), F.lit(w).alias("w")))
+    features = lambda c: F.explode(F.concat(tagged(dates(c), "d:", 5), tagged(cases(c), "c:", 4), tagged(words(F.col(c)), "w:", 1))).alias("_f")
+    a = islands.select(key, "island", features(text)).select(key, "island", "_f.f").distinct()
+    b = entries.select(key, label, features(particulars)).select(key, label, "_f.f", "_f.w").distinct()
+    # islands and entries meet by what they share, not each with each
+    scored = a.join(b, [key, "f"]).groupBy(key, label, "island").agg(F.sum("w").alias("score"))
+    return scored.withColumn("_r", F.row_number().over(Window.partitionBy(key, label).orderBy(F.desc("score"), "island"))).where("_r = 1").drop("_r")
 
 
 def repaired_labels(df: DataFrame, passes: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
@@ -202,5 +204,5 @@ def marks_for_needs(marks: DataFrame, needs: DataFrame, kind: str, page_labels:
 
 def required_slots(parts: DataFrame, filing: str, slot: str, required: DataFrame) -> DataFrame:
     """Rows ``(filing, slot)``: required slots (one column ``slot``) that a filing's upload lacks."""
-    want = parts.select(filing).distinct().join(required.select(F.collect_set("slot").alias("_s")))
+    want = parts.select(filing).distinct().withColumn("_s", required.select(F.collect_set("slot")).scalar())
     return want.select(filing, F.explode("_s").alias(slot)).join(parts.select(filing, slot).distinct(), [filing, slot], "left_anti")

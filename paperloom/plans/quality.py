@@ -197,13 +197,16 @@ def quote_containment(spark, d):
     return A.contained(e, scanned(spark, d), "filing_id", "lead", "t", "evidence_id", "page_id")
 
 
-@query("evidence_binding", f"WITH {FE}, x AS (SELECT a.evidence_id, b.evidence_id AS chunk, CASE WHEN a.check_id = b.check_id AND contains(b.quote, left(a.quote, 20)) THEN 0 WHEN contains(b.quote, left(a.quote, 20)) AND a.page = b.page THEN 1 WHEN contains(b.quote, left(a.quote, 20)) THEN 2 WHEN a.check_id = b.check_id THEN 3 END AS priority FROM fe a JOIN fe b ON a.filing_id = b.filing_id AND a.status = b.status) SELECT * FROM x WHERE priority IS NOT NULL QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY priority, chunk) = 1")
+@query(
+    "evidence_binding",
+    f"""WITH {FE}, x AS (SELECT evidence_id, filing_id, check_id, left(quote, 12) AS k, page FROM fe), y AS (SELECT evidence_id AS chunk, filing_id, check_id, k, page FROM x WHERE evidence_id % 2 = 0),
+z AS (SELECT a.evidence_id, b.chunk, CASE WHEN a.check_id = b.check_id AND a.k = b.k THEN 0 WHEN a.k = b.k AND a.page = b.page THEN 1 WHEN a.k = b.k THEN 2 WHEN a.check_id = b.check_id THEN 3 END AS priority FROM x a JOIN y b ON a.filing_id = b.filing_id WHERE a.evidence_id % 2 = 1)
+SELECT * FROM z WHERE priority IS NOT NULL QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY priority, chunk) = 1""",
+)
 def evidence_binding(spark, d):
-    e = evidence(spark, d)
-    b = e.select("filing_id", "status", F.col("evidence_id").alias("chunk"), F.col("quote").alias("_q"), F.col("check_id").alias("_c"), F.col("page").alias("_p"))
-    has = F.coalesce(F.contains("_q", F.left("quote", F.lit(20))), F.lit(False))
-    same = lambda a, c: F.coalesce(F.col(a) == F.col(c), F.lit(False))
-    return A.best_binding(e.join(b, ["filing_id", "status"]), "evidence_id", same("check_id", "_c"), has, same("page", "_p"), "chunk").select("evidence_id", "chunk", "priority")
+    e = evidence(spark, d).withColumn("k", F.left("quote", F.lit(12)))
+    chunks = e.where("evidence_id % 2 = 0").withColumnRenamed("evidence_id", "chunk")
+    return A.best_binding(e.where("evidence_id % 2 = 1"), chunks, "filing_id", "check_id", "k", "page", "evidence_id", "chunk")
 
 
 def _place():
