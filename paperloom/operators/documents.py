@@ -206,3 +206,27 @@ def required_slots(parts: DataFrame, filing: str, slot: str, required: DataFrame
     """Rows ``(filing, slot)``: required slots (one column ``slot``) that a filing's upload lacks."""
     want = parts.select(filing).distinct().withColumn("_s", required.select(F.collect_set("slot")).scalar())
     return want.select(filing, F.explode("_s").alias(slot)).join(parts.select(filing, slot).distinct(), [filing, slot], "left_anti")
+
+
+def anchored(df: DataFrame, filing: str, page: str, label: str, opens: Column) -> DataFrame:
+    """A pass: a label starts only where a page opens it; other pages go on with the last that did."""
+    w = Window.partitionBy(filing).orderBy(page).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(label, F.coalesce(F.last(F.when(opens, F.col(label)), True).over(w), F.col(label)))
+
+
+def absorbed(df: DataFrame, filing: str, page: str, label: str, most: int = 1) -> DataFrame:
+    """A pass: a run of at most ``most`` pages between two runs of one label joins them."""
+    w = Window.partitionBy(filing).orderBy(page)
+    cut = F.when(F.lag(label).over(w).eqNullSafe(F.col(label)) & (F.row_number().over(w) > 1), 0).otherwise(1)
+    x = df.withColumn("_c", cut).withColumn("_run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    v = Window.partitionBy(filing).orderBy("_run")
+    runs = x.groupBy(filing, "_run").agg(F.count("*").alias("_n"), F.first(label).alias("_l")).withColumn("_p", F.lag("_l").over(v)).withColumn("_q", F.lead("_l").over(v))
+    take = runs.where((F.col("_n") <= most) & (F.col("_p") == F.col("_q"))).select(filing, "_run", "_p")
+    return x.join(take, [filing, "_run"], "left").withColumn(label, F.coalesce("_p", label)).select(*df.columns)
+
+
+def rising_numbers(df: DataFrame, filing: str, page: str, label: str, number: Column) -> DataFrame:
+    """A pass: a numbered label that falls behind the highest so far is read as that one."""
+    w = Window.partitionBy(filing).orderBy(page).rowsBetween(Window.unboundedPreceding, 0)
+    top = F.max(F.when(number.isNotNull(), F.struct(number.alias("n"), F.col(label).alias("l")))).over(w)
+    return df.withColumn(label, F.when(number.isNotNull(), top["l"]).otherwise(F.col(label)))

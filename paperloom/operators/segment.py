@@ -119,3 +119,25 @@ def coincident_offset(a: DataFrame, b: DataFrame, key: str, part: str) -> DataFr
     """Rows ``(key, offset, votes)``: the page offset that most parts of a key agree on, of equally many the smallest."""
     off = a.select(key, part, F.col("start").alias("_a")).join(b.select(key, part, F.col("start").alias("_b")), [key, part]).groupBy(key, (F.col("_b") - F.col("_a")).alias("offset")).agg(F.count("*").alias("votes"))
     return off.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("votes"), F.abs("offset"), "offset"))).where("_r = 1").drop("_r")
+
+
+def proven_absent(pages: DataFrame, filing: str, label: str, wanted: DataFrame, page: str = "page") -> DataFrame:
+    """Rows ``(filing, label)``: wanted labels that a filing surely lacks, as each of its pages 1..last has a label (E5).
+
+    Where a page has none, nothing is proven.
+    """
+    whole = pages.where(F.col(label).isNotNull()).groupBy(filing).agg(F.count_distinct(page).alias("_n"), F.max(page).alias("_last"), F.collect_set(label).alias("_have"))
+    lacks = F.array_except(wanted.select(F.collect_set("label")).scalar(), F.col("_have"))
+    return whole.where("_n = _last").select(filing, F.explode(lacks).alias(label))
+
+
+def incomplete_reads(required: DataFrame, read: DataFrame, keys: list[str], page: str = "page") -> DataFrame:
+    """Rows ``(*keys, missing)``: the required pages that were not read, in order."""
+    gone = required.select(*keys, page).distinct().join(read.select(*keys, page).distinct(), [*keys, page], "left_anti")
+    return gone.groupBy(*keys).agg(F.sort_array(F.collect_list(page)).alias("missing"))
+
+
+def stale(reports: DataFrame, active: DataFrame, keys: list[str], stamp: str) -> DataFrame:
+    """The reports whose stamp (a hash, a generation) isn't the active one of their keys."""
+    now = active.groupBy(*keys).agg(F.max(stamp).alias("_now"))
+    return reports.join(now, keys, "left").where(~F.col(stamp).eqNullSafe(F.col("_now"))).drop("_now")

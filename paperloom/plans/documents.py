@@ -135,3 +135,32 @@ def missing_slots(spark, d):
     parts = table(spark, d, "filing_parts").where("slot_id is not null").select("filing_id", F.regexp_replace("slot_id", "_[0-9]+$", "").alias("slot_id"))
     required = spark.createDataFrame([("index",), ("main_petition",), ("vakalatnama",)], "slot string")
     return D.required_slots(parts, "filing_id", "slot_id", required)
+
+
+ONE = f"{FP}, o AS (SELECT filing_id, page, min(slot_id) AS label FROM fp GROUP BY 1, 2)"
+
+
+def _owners(spark, d):
+    return filing_pages(spark, d).groupBy("filing_id", "page").agg(F.min("slot_id").alias("label"))
+
+
+@query("anchored_labels", f"WITH {ONE} SELECT filing_id, page, coalesce(last_value(CASE WHEN page % 3 = 1 THEN label END IGNORE NULLS) OVER (PARTITION BY filing_id ORDER BY page ROWS UNBOUNDED PRECEDING), label) AS label FROM o")
+def anchored_labels(spark, d):
+    return D.anchored(_owners(spark, d), "filing_id", "page", "label", F.col("page") % 3 == 1)
+
+
+@query(
+    "absorbed_runs",
+    f"""WITH {ONE}, a AS (SELECT filing_id, page, CASE WHEN page % 5 = 0 THEN 'stray' ELSE label END AS label FROM o), c AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY filing_id ORDER BY page) = label THEN 0 ELSE 1 END AS c FROM a),
+r AS (SELECT *, sum(c) OVER (PARTITION BY filing_id ORDER BY page ROWS UNBOUNDED PRECEDING) AS run FROM c), g AS (SELECT filing_id, run, count(*) AS n, any_value(label) AS l FROM r GROUP BY 1, 2), h AS (SELECT *, lag(l) OVER w AS p, lead(l) OVER w AS q FROM g WINDOW w AS (PARTITION BY filing_id ORDER BY run))
+SELECT filing_id, page, CASE WHEN n <= 1 AND p = q THEN p ELSE label END AS label FROM r JOIN h USING (filing_id, run)""",
+)
+def absorbed_runs(spark, d):
+    pages = _owners(spark, d).withColumn("label", F.when(F.col("page") % 5 == 0, "stray").otherwise(F.col("label")))
+    return D.absorbed(pages, "filing_id", "page", "label")
+
+
+@query("rising_numbers", f"WITH {ONE}, n AS (SELECT *, TRY_CAST(regexp_extract(label, '_([0-9]+)$', 1) AS INT) AS n FROM o) SELECT filing_id, page, CASE WHEN n IS NULL THEN label ELSE (max(CASE WHEN n IS NOT NULL THEN {{'n': n, 'l': label}} END) OVER (PARTITION BY filing_id ORDER BY page ROWS UNBOUNDED PRECEDING)).l END AS label FROM n")
+def rising_numbers(spark, d):
+    number = F.regexp_extract("label", "_([0-9]+)$", 1).try_cast("int")
+    return D.rising_numbers(_owners(spark, d), "filing_id", "page", "label", number)

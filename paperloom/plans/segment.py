@@ -104,3 +104,25 @@ def offset_vote(spark, d):
     e = table(spark, d, "finding_evidence").where("document_part is not null and page is not null")
     b = e.select("filing_id", F.replace(F.lower("document_part"), F.lit(" "), F.lit("_")).alias("label"), "page").groupBy("filing_id", "label").agg(F.min("page").alias("start"))
     return S.coincident_offset(a, b, "filing_id", "label")
+
+
+@query(
+    "absence_proven",
+    f"""WITH {FP}, w AS (SELECT filing_id, count(DISTINCT page) AS n, max(page) AS last FROM fp GROUP BY 1)
+SELECT filing_id, v.label AS label FROM (SELECT filing_id FROM w WHERE n = last) x, (VALUES ('index'), ('vakalatnama'), ('certificate')) v(label) WHERE (filing_id, v.label) NOT IN (SELECT (filing_id, label) FROM fp)""",
+)
+def absence_proven(spark, d):
+    wanted = spark.createDataFrame([("index",), ("vakalatnama",), ("certificate",)], "label string")
+    return S.proven_absent(filing_pages(spark, d), "filing_id", "label", wanted)
+
+
+@query("incomplete_reads", f"WITH {FP}, e AS (SELECT DISTINCT filing_id, page FROM fp WHERE label = 'main_petition'), g AS (SELECT * FROM e ANTI JOIN (SELECT DISTINCT filing_id, page FROM finding_evidence) USING (filing_id, page)) SELECT filing_id, list(page ORDER BY page) AS missing FROM g GROUP BY 1")
+def incomplete_reads(spark, d):
+    required = filing_pages(spark, d).where("label = 'main_petition'")
+    return S.incomplete_reads(required, table(spark, d, "finding_evidence"), ["filing_id"])
+
+
+@query("stale_records", "WITH c AS (SELECT DISTINCT record_id, workspace_id, index_generation FROM chunks), n AS (SELECT workspace_id, max(index_generation) AS g FROM c GROUP BY 1) SELECT c.* FROM c LEFT JOIN n USING (workspace_id) WHERE index_generation IS DISTINCT FROM g")
+def stale_records(spark, d):
+    c = table(spark, d, "chunks").select("record_id", "workspace_id", "index_generation").distinct()
+    return S.stale(c, c, ["workspace_id"], "index_generation")
