@@ -57,7 +57,8 @@ class Grams:
 
     def _grams(self, word: str) -> np.ndarray:
         out: list[int] = []
-        for part in NO_WORD.split(word.lower()):
+        # a run of one letter, however long, tells no more than three of it
+        for part in NO_WORD.split(re.sub(r"(.)\1{3,}", r"\1\1\1", word.lower())):
             if part:
                 marked = f"^{part}$"
                 out += [zlib.crc32(marked[i : i + n].encode("utf-8", "replace")) % self.buckets for n in (1, 2, 3) for i in range(len(marked) - n + 1) if n > 1 or 0 < i < len(marked) - 1]
