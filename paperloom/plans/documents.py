@@ -25,7 +25,11 @@ def table_rows(spark, d):
     return D.table_rows(c, ["record_id"], "chunk_text", ["serial", "dated", "item", "amount", "place"])
 
 
-@query("printed_folios")
+FORMS = [("page_of", r"(?i)^page\s+([0-9]{1,5})\s+of\s+[0-9]{1,5}$"), ("page_no", r"(?i)^(?:pg|page)\.?\s*(?:no\.?)?\s*([0-9]{1,5})$"), ("dashed", r"^[-—–\[(]\s*([0-9]{1,5})\s*[-—–\])]$"), ("bare", "^([0-9]{1,5})$")]
+FOLIO_CASE = "CASE " + " ".join(f"WHEN regexp_matches(ls[{i}], '{p}') THEN {{'folio': CAST(regexp_extract(ls[{i}], '{p}', 1) AS INT), 'form': '{f}'}}" for f, p in FORMS for i in (-1, 1)) + " END"
+
+
+@query("printed_folios", f"WITH {PT}, l AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM pt), f AS (SELECT page_id, {FOLIO_CASE} AS f FROM l WHERE len(ls) > 0) SELECT page_id, f.folio AS folio, f.form AS form FROM f WHERE f IS NOT NULL")
 def printed_folios(spark, d):
     return D.printed_folios(scanned(spark, d), ["page_id"], "t")
 

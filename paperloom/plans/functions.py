@@ -35,7 +35,7 @@ def quote_fold(spark, d):
     return evidence(spark, d).where("quote is not null").select("evidence_id", T.quote_fold("quote").alias("key"))
 
 
-@query("canonical_tokens")
+@query("canonical_tokens", f"WITH {FE}, x AS (SELECT evidence_id, translate(lower(quote), '‘’“”–—', '''''\"\"--') AS t FROM fe WHERE quote IS NOT NULL) SELECT evidence_id, list_transform(string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '<[a-z/][^>]*>', ' ', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\.\\.\\.|…', ' ellipsis ', 'g'), '[^a-z0-9/]+', ' ', 'g')), ' '), lambda w: regexp_replace(w, '^([0-9]+)(st|nd|rd|th)$', '\\1')) AS tokens FROM x")
 def canonical_tokens(spark, d):
     return evidence(spark, d).where("quote is not null").select("evidence_id", T.canonical_tokens("quote").alias("tokens"))
 
