@@ -65,9 +65,19 @@ def page_number(line: str, pages: set[int]) -> bool:
     return bool(values & pages) if pages else bool(raw.isdigit())
 
 
-def line_fold(line: str) -> str:
+def line_fold(line: str, page: int | None = None) -> str:
     """A line's key for running headers: page numbers at its ends and misread characters aside."""
-    s = " ".join(line.split()).lower()
+    words = line.split()
+    for end in (-1, 0):
+        n = len(words)
+        while n > 2 and (mark := words[end].strip("[](){}|-–—.")) in ("", "Page", "Pg"):
+            words.pop(end)
+            n -= 1
+        if n > 2 and page is not None and (mark.translate(TO_DIGIT) == str(page) or roman(mark.lower()) == page):
+            words.pop(end)
+            while len(words) > 2 and words[end].strip("[](){}|-–—.") in ("", "Page", "Pg"):
+                words.pop(end)
+    s = " ".join(words).lower()
     s = re.sub(r"(?:[|\-–—\[(]\s*|\b(?:pg|page|p)\.?\s*(?:no\.?)?\s*)[0-9oil!|]{1,5}(?:\s*of\s*[0-9oil!|]{1,5})?\s*[\])\-–—]?$", "", s).strip()
     s = re.sub(r"^[\[(]?[0-9oil!|]{1,4}\s*[|\])\-–—]\s*", "", s)
     s = re.sub(r"[^\w!|]+", " ", s)
@@ -423,8 +433,9 @@ def running_lines(pages: DataFrame, edge: int = 5, least: int = 2) -> DataFrame:
                 lines = [(n, x) for n, x in enumerate(t.split("\n"), 1) if x.strip()]
                 for side, chosen in ((0, lines[:edge]), (1, lines[::-1][:edge])):
                     for rank, (n, x) in enumerate(chosen):
-                        number = page_number(x, {int(p)} if p == p and p is not None else set())
-                        out.append((i, g, p, n, side, rank, "" if number else line_fold(x), number))
+                        own = int(p) if p == p and p is not None else None
+                        number = page_number(x, {own} if own is not None else set())
+                        out.append((i, g, p, n, side, rank, "" if number else line_fold(x, own), number))
             yield pd.DataFrame(out, columns=["_id", "_group", "_page", "_no", "_side", "_rank", "_key", "_number"])
 
     kind = pages.schema["_id"].dataType.simpleString()
