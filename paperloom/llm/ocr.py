@@ -35,7 +35,8 @@ MONTH = r"(?:January|February|March|April|May|June|July|August|September|October
 NEAR_DATE = re.compile(rf"(?:(?<![\w./-])([\dOoIl!SB]{{1,2}}) {MONTH}\b)|(?:\b{MONTH} ([\dOoIl!SB]{{1,2}}),? [\dOoIl!SB]{{4}})|(?:\b{MONTH},? (?:\d{{1,2}}, )?([\dOoIl!SB]{{4}})(?!\w))")
 TO_DIGIT = str.maketrans({"O": "0", "o": "0", "Q": "0", "I": "1", "l": "1", "!": "1", "|": "1", "i": "1", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2", "b": "6", "q": "9", "g": "9"})
 WORD = re.compile(r"[a-z]+(?:-[a-z]+)*")
-BROKEN = re.compile(rf"\w+[{MARKS}][ \t]*\n\s*\w*")
+LINE_END = re.compile(rf"(?<=\w)[{MARKS}][ \t]*\n")
+REST = re.compile(r"\s*\w*")
 OUTER = ".,;:()[]{}<>\"'“”‘’?…/*—–।-¬‐\xad"
 PAGE_NUMBER = re.compile(r"\W*(?:(?:pg|page|p)\.?\s*(?:no\.?)?\s*)?([0-9OoIl!|iSsBZvxVXLCc]{1,7})(?:\s*(?:of|/)\s*[0-9OoIl!|SsBZ]{1,5})?\W*", re.I)
 ROMAN = re.compile(r"(?=[ivxlc])(c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})")
@@ -92,20 +93,37 @@ def line_fold(line: str, page: int | None = None) -> str:
 # ---------------------------------------------------------------- lexicon
 
 
+def whole_words(text: str) -> str:
+    """The text without words that are broken at a line's end, and without what follows of them."""
+    parts, last = [], 0
+    for m in LINE_END.finditer(text):
+        begin = max(text.rfind(" ", last, m.start()), text.rfind("\n", last, m.start()), last - 1) + 1
+        parts.append(text[last:begin])
+        last = REST.match(text, m.end()).end()
+    return " ".join([*parts, text[last:]]) if parts else text
+
+
 def word_counts(texts: DataFrame, text: str) -> DataFrame:
     """Rows ``(word, n)``: words of lower-case letters, compounds with their hyphens; words broken at a line's end aside."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter[str] = Counter()
-        flush = lambda: pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+        seen: Counter[str] = Counter()
+
+        def flush() -> pd.DataFrame:
+            counts: Counter[str] = Counter()
+            for token, n in seen.items():
+                for word in WORD.findall(token):
+                    counts[word] += n
+            return pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+
         for pdf in batches:
             for t in pdf["_t"]:
-                counts.update(WORD.findall(BROKEN.sub(" ", t.lower())))
-            if len(counts) > 200_000:
+                seen.update(whole_words(t.lower()).split())
+            if len(seen) > 300_000:
                 yield flush()
-                counts = Counter()
-        if counts:
-            yield flush()
+                seen = Counter()
+        if seen and len(done := flush()):
+            yield done
 
     rows = texts.select(F.col(text).alias("_t")).where("_t is not null and _t <> ''")
     return rows.mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -317,7 +335,8 @@ class Decoder:
         for i in body:
             line = lines[i - 1]
             tokens = line.split()
-            if not repair and known.issuperset(tokens) and not (NEAR_DATE.search(line) if any(c.isdigit() for c in line) else None):
+            # a day or year with a letter in it is no known token, either
+            if not repair and known.issuperset(tokens):
                 continue
             if i in ended or i + 0 == (out.pending[0] if out.pending else -1):
                 tokens = tokens[:-1]
