@@ -27,17 +27,17 @@ def line_key(line: Column) -> Column:
 def _prepared(df: DataFrame, source: str, doc_id: str, text: str, date: str | None, cluster_by: str) -> DataFrame:
     cluster = F.xxhash64(F.col(doc_id)) if cluster_by == "id" else F.xxhash64(F.regexp_replace(F.trim(F.col(text)), SPACE, " "))
     day = F.lit(None).cast("date") if date is None else F.to_date(F.col(date))
-    return df.select(F.col(source).alias("_src"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"), cluster.alias("_c"), day.alias("_day")).where(F.col("_text").rlike(r"\S"))
+    return df.select(F.xxhash64(F.col(source)).alias("_s"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"), cluster.alias("_c"), day.alias("_day")).where(F.col("_text").rlike(r"\S"))
 
 
 def _keyed_lines(docs: DataFrame, min_letters: int) -> DataFrame:
-    lines = docs.select("_src", "_id", "_c", "_day", F.posexplode(F.split("_text", "\n")).alias("_at", "_line")).where(F.length("_line") >= min_letters)
+    lines = docs.select("_s", "_id", "_c", "_day", F.posexplode(F.split("_text", "\n")).alias("_at", "_line")).where(F.length("_line") >= min_letters)
     keyed = lines.withColumn("_key", line_key(F.col("_line")))
-    return keyed.where(F.col("_key").rlike("(?:[^a-z]*+[a-z]){%d}" % min_letters)).select("_src", "_id", "_c", "_day", (F.col("_at") + 1).cast("bigint").alias("_no"), F.xxhash64("_key").alias("_k"), "_key")
+    return keyed.where(F.col("_key").rlike("(?:[^a-z]*+[a-z]){%d}" % min_letters)).select("_s", "_id", "_c", "_day", (F.col("_at") + 1).cast("bigint").alias("_no"), F.xxhash64("_key").alias("_k"))
 
 
 def excessive_lines(df: DataFrame, source: str, doc_id: str, text: str, date: str | None = None, *, cluster_by: str = "id", min_docs: int = 10, min_repeats: int = 5, min_share: float = 0.1, min_dates: int = 1, min_letters: int = 12) -> DataFrame:
-    """Rows ``(_src, _k, n_docs, n_dates, of_docs)``: the line keys (hashed) repeated excessively in a source.
+    """Rows ``(_s, _k, n_docs, n_dates, of_docs)``: the line keys repeated excessively in a source, both as hashes.
 
     A source counts from ``min_docs`` distinct non-blank documents; a key is excessive
     from ``min_repeats`` of them, ``min_share`` of them and ``min_dates`` dates. Keys
@@ -45,25 +45,22 @@ def excessive_lines(df: DataFrame, source: str, doc_id: str, text: str, date: st
     as no document; a null source is a source of its own; an empty table gives no rows.
     """
     docs = _prepared(df, source, doc_id, text, date, cluster_by)
-    sizes = docs.select("_src", "_c").distinct().groupBy("_src").agg(F.count("*").alias("of_docs")).where(F.col("of_docs") >= min_docs)
-    per_cluster = _keyed_lines(docs, min_letters).groupBy("_src", "_k", "_c").agg(F.min("_day").alias("_day"))
-    counted = per_cluster.groupBy("_src", "_k", "_day").agg(F.count("*").alias("n")).groupBy("_src", "_k").agg(F.sum("n").alias("n_docs"), F.greatest(F.count("_day"), F.lit(1)).alias("n_dates")).where(F.col("n_docs") >= min_repeats)
-    sized = counted.join(sizes.withColumnRenamed("_src", "_src2"), F.col("_src").eqNullSafe(F.col("_src2"))).drop("_src2")
-    return sized.where((F.col("n_docs") >= F.col("of_docs") * min_share) & (F.col("n_dates") >= min_dates))
+    sizes = docs.select("_s", "_c").distinct().groupBy("_s").agg(F.count("*").alias("of_docs")).where(F.col("of_docs") >= min_docs)
+    per_cluster = _keyed_lines(docs, min_letters).groupBy("_s", "_k", "_c").agg(F.min("_day").alias("_day"))
+    counted = per_cluster.groupBy("_s", "_k", "_day").agg(F.count("*").alias("n")).groupBy("_s", "_k").agg(F.sum("n").alias("n_docs"), F.greatest(F.count("_day"), F.lit(1)).alias("n_dates")).where(F.col("n_docs") >= min_repeats)
+    return counted.join(sizes, "_s").where((F.col("n_docs") >= F.col("of_docs") * min_share) & (F.col("n_dates") >= min_dates))
 
 
 def repeated_lines(df: DataFrame, source: str, doc_id: str, text: str, date: str | None = None, **limits) -> DataFrame:
-    """Rows ``(source, doc_id, line_no)``: each line, counted from 1, whose key is excessive in its source.
+    """Rows ``(doc_id, line_no)``: each line, counted from 1, whose key is excessive in its document's source.
 
     Rows repeated under one id give each line once. ``limits`` as in
     :func:`excessive_lines`.
     """
-    cluster_by = limits.get("cluster_by", "id")
-    found = excessive_lines(df, source, doc_id, text, date, **limits).select(F.col("_src").alias("_src2"), F.col("_k").alias("_k2"))
-    docs = _prepared(df, source, doc_id, text, date, cluster_by)
-    lines = _keyed_lines(docs, limits.get("min_letters", 12)).select("_src", "_k", "_id", "_no")
-    hits = lines.join(found, F.col("_src").eqNullSafe(F.col("_src2")) & (F.col("_k") == F.col("_k2")))
-    return hits.select(F.col("_src").alias(source), F.col("_id").alias(doc_id), F.col("_no").alias("line_no")).distinct()
+    found = excessive_lines(df, source, doc_id, text, date, **limits).select("_s", "_k")
+    docs = _prepared(df, source, doc_id, text, None, limits.get("cluster_by", "id"))
+    hits = _keyed_lines(docs, limits.get("min_letters", 12)).select("_s", "_k", "_id", "_no").join(found, ["_s", "_k"])
+    return hits.select(F.col("_id").alias(doc_id), F.col("_no").alias("line_no")).distinct()
 
 
 def without_repeated_lines(df: DataFrame, source: str, doc_id: str, text: str, date: str | None = None, **limits) -> DataFrame:
