@@ -19,9 +19,16 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
-def line_key(line: Column) -> Column:
-    """The line trimmed, in lower case, each run of white space one blank, each run of digits 0-9 one ``0``."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), SPACE, " "), "[0-9]+", "0"))
+#: The same without line ends: runs of two or more, and single ones other than a plain blank.
+LOOSE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000&&[^\n]]{2,}|[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000&&[^\n ]]"
+
+
+def keyed_text(text: Column) -> Column:
+    """A text whose lines, trimmed, are the keys: lower case, each run of white space one blank, each run of digits 0-9 one ``0``.
+
+    Done on the whole text, as a call for each line costs more than the line.
+    """
+    return F.regexp_replace(F.regexp_replace(F.lower(text), LOOSE, " "), "[0-9]+", "0")
 
 
 def _prepared(df: DataFrame, source: str, doc_id: str, text: str, date: str | None, cluster_by: str) -> DataFrame:
@@ -31,8 +38,8 @@ def _prepared(df: DataFrame, source: str, doc_id: str, text: str, date: str | No
 
 
 def _keyed_lines(docs: DataFrame, min_letters: int) -> DataFrame:
-    lines = docs.select("_s", "_id", "_c", "_day", F.posexplode(F.split("_text", "\n")).alias("_at", "_line")).where(F.length("_line") >= min_letters)
-    keyed = lines.withColumn("_key", line_key(F.col("_line")))
+    lines = docs.select("_s", "_id", "_c", "_day", F.posexplode(F.split(keyed_text(F.col("_text")), "\n")).alias("_at", "_line"))
+    keyed = lines.where(F.length("_line") >= min_letters).withColumn("_key", F.trim("_line"))
     return keyed.where(F.col("_key").rlike("(?:[^a-z]*+[a-z]){%d}" % min_letters)).select("_s", "_id", "_c", "_day", (F.col("_at") + 1).cast("bigint").alias("_no"), F.xxhash64("_key").alias("_k"))
 
 
