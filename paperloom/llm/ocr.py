@@ -5,11 +5,10 @@ all words or more (so there are a million at most, which bounds what is shipped
 executors), without those that are a confusion of a far more frequent word.
 
 A page's lines, without page numbers and running lines, become one stream of tokens, in
-which each line end is a mark. A lattice over that stream holds, for each stretch of
-tokens the lexicon doesn't know and for each line end within a word, the readings as
-they stand, with confusions undone, with neighbours merged, split in two, or joined
-over the line end with or without its hyphen; the cheapest path is the text.
-Tokens that are known words cost what they cost alone, so the lattice is cut at them.
+which each line end is a mark. A lattice over that stream holds the tokens' readings as
+they stand, with confusions undone, split in two, merged with a neighbour (a known word
+included, and over a line end), or joined over a line end with or without its hyphen; the
+cheapest path is the text. It is cut only between tokens that no reading spans.
 Paragraph boundaries are then chosen by dynamic programming over the lines.
 """
 
@@ -169,6 +168,10 @@ class Page:
 
 
 UNKNOWN, CONFUSED, MERGED, SPLIT = 25.0, 6.0, 5.0, 7.0
+#: A hyphen kept at a line's end, one between two words that make no known compound, one kept at a soft mark, a mark left as it stands, and each line between a word's parts.
+HYPHEN, COMPOUND, SOFT, BROKEN, FAR = 3.0, 6.0, 30.0, 40.0, 16.0
+LEFT = re.compile(r"([^\W\d_][\w!|]*|[\w!|]*[^\W\d_])$")
+RIGHT = re.compile(r"[\w!|]*[^\W\d_][\w!|]*")
 
 
 class Decoder:
@@ -240,50 +243,91 @@ class Decoder:
             out += piece
         return cost, put(out), changed
 
-    def join(self, left: str, right: str, mark: str) -> tuple[str | None, bool, bool]:
-        """How a word broken at a line's end reads: (reading or None, hyphen dropped, confusion undone)."""
-        low = left.lower() + right.lower()
-        soft = mark in "¬\xad"
-        c_join, word, ch = self.word(left + right)
+    def ends(self, left: str, right: str, mark: str) -> list[tuple[float, str, bool, bool]]:
+        """The readings of a word broken at a line's end: (cost, text, hyphen dropped, confusion undone)."""
+        out = []
+        soft = SOFT if mark in "¬\xad" else 0.0
+        goes_on = right[:1].islower() or left.isupper() and right.isupper()
+        c, word, ch = self.word(left + right)
+        if c < UNKNOWN or goes_on and (soft or len(left) + len(right) > 3):
+            out.append((c, word, True, ch))
         c_hyph = self.costs.get(f"{left}-{right}".lower())
         c_left, c_right = self.costs.get(left.lower()), self.costs.get(right.lower())
-        if c_hyph is not None and (c_join >= UNKNOWN or c_hyph < c_join - 3) and not soft:
-            return f"{left}-{right}", False, False
-        if low in self.costs or ch and c_join < UNKNOWN:
-            return word, True, ch
-        if not right[:1].islower() and not (left.isupper() and right.isupper()):
-            return None, False, False
-        if soft:
-            return left + right, True, ch
-        if c_left is not None and c_right is not None and len(left) > 2 and len(right) > 2:
-            return f"{left}-{right}", False, False
-        for a, b in ((left, right),):
-            for r in readings(f"{a}-{b}".lower()):
-                if r in self.costs:
-                    return r, False, True
-        if len(left) + len(right) < 4:
-            return None, False, False
-        return left + right, True, ch
-
-    def stream(self, tokens: list[str]) -> list[tuple[str, int, bool]]:
-        """The cheapest reading of a stretch of unknown tokens: (text, tokens used, confusion undone) in order."""
-        n = len(tokens)
-        best: list[tuple[float, list[tuple[str, int, bool]]]] = [(0.0, [])] + [(math.inf, [])] * n
-        for i in range(n):
-            at, path = best[i]
-            c, text, ch = self.token(tokens[i])
-            if at + c < best[i + 1][0]:
-                best[i + 1] = (at + c, [*path, (text, 1, ch)])
-            if c >= UNKNOWN and (core := tokens[i].strip(OUTER)).isalpha() and core.islower():
-                for k in range(2, len(core) - 1):
-                    a, b = self.costs.get(core[:k]), self.costs.get(core[k:])
-                    if a is not None and b is not None and min(k, len(core) - k) > 2 and at + a + b + SPLIT < best[i + 1][0]:
-                        best[i + 1] = (at + a + b + SPLIT, [*path, (tokens[i].replace(core, f"{core[:k]} {core[k:]}"), 1, False)])
-            if i + 1 < n and tokens[i].isalpha() and (right := tokens[i + 1].rstrip(OUTER)).isalpha() and right.islower():
-                c, text, ch = self.word(tokens[i] + right)
-                if at + c + MERGED < best[i + 2][0] and c < UNKNOWN:
-                    best[i + 2] = (at + c + MERGED, [*path, (text + tokens[i + 1][len(right) :], 2, ch)])
-        return best[n][1]
+        if c_hyph is not None:
+            out.append((c_hyph + HYPHEN + soft, f"{left}-{right}", False, False))
+        elif goes_on and c_left is not None and c_right is not None and len(left) > 2 and len(right) > 2:
+            out.append((min(c_left + c_right + COMPOUND, UNKNOWN) + soft, f"{left}-{right}", False, False))
+        if goes_on and not any(x[0] < UNKNOWN for x in out):
+            out += [(self.costs[r] + CONFUSED + soft, r, False, True) for r in readings(f"{left}-{right}".lower()) if r in self.costs]
+        return out
+
+    def join(self, left: str, right: str, mark: str) -> tuple[str | None, bool, bool]:
+        """How a word broken at a line's end reads: (reading or None, hyphen dropped, confusion undone)."""
+        return min(self.ends(left, right, mark), key=lambda x: x[0], default=(0.0, None, False, False))[1:]
+
+    def merge(self, left: str, right: str) -> tuple[float, str, bool] | None:
+        """Two tokens as one word of the lexicon: its cost, the reading, whether a confusion was undone."""
+        a, b = left.lstrip(OUTER), right.rstrip(OUTER)
+        if not (b.islower() and a.isalpha() and b.isalpha()):
+            return None
+        c, word, ch = self.costs.get((a + b).lower()), a + b, False
+        if c is None:
+            known = (a.lower() in self.costs) + (b in self.costs)
+            if known == 2 or len(a) + len(b) < 5 or known and not any(r in self.costs for r in readings((a + b).lower())):
+                return None
+            c, word, ch = self.word(a + b)
+            if c >= UNKNOWN:
+                return None
+        return c + MERGED, left[: len(left) - len(a)] + word + right[len(b) :], ch
+
+    def stream(self, tokens: list[str], goes_on: dict[int, list[int]], at: int, to: int) -> list[tuple[str, int, int | None, bool, bool]]:
+        """The cheapest reading of ``tokens[at:to]``: (text, place, place of its other part, hyphen dropped, confusion undone) in order.
+
+        ``goes_on`` has, for tokens that end in a mark at a line's end, the first tokens of the
+        next lines; a part taken from behind other lines is passed over where it stands.
+        """
+        best: list[dict[int | None, tuple]] = [{} for _ in range(to - at + 3)]
+        best[0][None] = (0.0, None, None, None)
+
+        def relax(i: int, taken: int | None, cost: float, piece: tuple | None, i0: int, taken0: int | None) -> None:
+            old = best[i - at].get(taken)
+            if old is None or cost < old[0]:
+                best[i - at][taken] = (cost, piece, i0, taken0)
+
+        for i in range(at, to):
+            token = tokens[i]
+            for taken, (cost, *_) in list(best[i - at].items()):
+                if taken == i:
+                    relax(i + 1, None, cost, None, i, taken)
+                    continue
+                c, text, ch = self.token(token)
+                if i in goes_on:
+                    relax(i + 1, taken, cost + c + BROKEN, (text, i, None, False, ch), i, taken)
+                    left = LEFT.search(token[:-1])[0]
+                    for n, j in enumerate(goes_on[i]):
+                        right = RIGHT.match(tokens[j])[0]
+                        rest = tokens[j][len(right) :]
+                        for c, word, dropped, ch in self.ends(left, right, token[-1]):
+                            piece = (token[: -1 - len(left)] + word + rest, i, j, dropped, ch)
+                            if j == i + 1 and taken != j:
+                                relax(i + 2, taken, cost + c, piece, i, taken)
+                            elif j > i + 1 and taken is None and c < UNKNOWN:
+                                relax(i + 1, j, cost + c + (n or 1) * FAR, piece, i, taken)
+                    continue
+                relax(i + 1, taken, cost + c, (text, i, None, False, ch), i, taken)
+                if c >= UNKNOWN and (core := token.strip(OUTER)).isalpha() and core.islower():
+                    for k in range(3, len(core) - 2):
+                        a, b = self.costs.get(core[:k]), self.costs.get(core[k:])
+                        if a is not None and b is not None:
+                            relax(i + 1, taken, cost + a + b + SPLIT, (token.replace(core, f"{core[:k]} {core[k:]}"), i, None, False, False), i, taken)
+                if i + 1 < to and taken != i + 1 and i + 1 not in goes_on and (m := self.merge(token, tokens[i + 1])):
+                    relax(i + 2, taken, cost + m[0], (m[1], i, i + 1, False, m[2]), i, taken)
+        out, i, taken = [], to, None
+        while i > at:
+            _, piece, i, taken = best[i - at][taken]
+            if piece:
+                out.append(piece)
+        return out[::-1]
 
     def read(self, text: str, pages: set[int], headers: set[int], repair: bool = False) -> Page:
         """Finds hyphens, misread words and page numbers in a text; with ``repair`` also its lines as they read."""
@@ -299,91 +343,78 @@ class Decoder:
                 body.append(i)
         out.head = lines[body[0] - 1] if body else ""
         misread: set[int] = set()
-        joined: dict[int, tuple[str, int, str]] = {}
-        ended: dict[int, tuple[str, str]] = {}
-        started: dict[int, str] = {}
-        for k, i in enumerate(body):
-            line = lines[i - 1].rstrip()
-            if line[-1:] not in MARKS or len(line) < 2:
-                continue
-            m = re.search(r"([^\W\d_][\w!|]*|[\w!|]*[^\W\d_])$", line[:-1])
-            if not m:
+        tokens: list[str] = []
+        of: list[int] = []  # the line of each token
+        first: list[int] = []  # the first token of each body line
+        hot: set[int] = set()
+        for i in body:
+            found = lines[i - 1].split()
+            first.append(len(tokens))
+            if not self.known.issuperset(found):
+                for n, t in enumerate(found, len(tokens)):
+                    if t not in self.known and ((got := self.token(t))[0] >= UNKNOWN or got[2]):
+                        hot.add(n)
+                # a day or year with a letter in it is no known token, either
+                for m in NEAR_DATE.finditer(lines[i - 1]):
+                    s = next(g for g in m.groups() if g)
+                    if not s.isdigit() and any(c.isdigit() for c in s) and s.translate(TO_DIGIT).isdigit():
+                        misread.add(i)
+            tokens += found
+            of += [i] * len(found)
+        goes_on: dict[int, list[int]] = {}
+        end = len(tokens)
+        for k, n in enumerate([*first[1:], len(tokens)] if body else []):
+            t = tokens[n - 1]
+            if t[-1] not in MARKS or not (m := LEFT.search(t[:-1])):
                 continue
-            left, mark = m[0], line[-1]
-            if k + 1 == len(body):
-                out.pending = (i, left, mark)
+            if n == len(tokens):
+                # the next page settles it
+                out.pending = (of[n - 1], m[0], t[-1])
+                end = n - 1
                 continue
             # a line put in between may stand before the rest of the word
-            choices = []
-            for j in body[k + 1 : k + 4]:
-                r = re.match(r"\s*([\w!|]*[^\W\d_][\w!|]*)", lines[j - 1])
-                if r:
-                    choices.append((j, r[1], *self.join(left, r[1], mark)))
-            first = next((c for c in choices if c[2] is not None and (c[2].lower() in self.costs or c[4])), choices[0] if choices else None)
-            if first and first[2] is not None:
-                j, right, word, dropped, changed = first
+            rest = [j for j in first[k + 1 : k + 4] if RIGHT.match(tokens[j]) and (j < len(tokens) - 1 or tokens[j][-1] not in MARKS)]
+            near = rest and rest[0] == n and min((x[0] for x in self.ends(m[0], RIGHT.match(tokens[n])[0], t[-1])), default=UNKNOWN) < UNKNOWN
+            goes_on[n - 1] = rest[:1] if near else rest
+            hot.add(n - 1)
+        if repair:
+            hot |= {n for n, (a, b) in enumerate(zip(tokens, tokens[1:])) if (a + b).lower() in self.costs or not b[-1].isalnum() and (a + b.rstrip(OUTER)).lower() in self.costs or not a[0].isalnum() and (a + b).strip(OUTER).lower() in self.costs}
+        spans = lambda n: n not in goes_on and n + 1 < end and n + 1 not in goes_on and self.merge(tokens[n], tokens[n + 1]) is not None
+        fixed: dict[int, str] = {}
+        gone: set[int] = set()
+        to = 0
+        for h in sorted(hot):
+            if h < to or h >= end:
+                continue
+            at, last = h, h
+            while at > to and spans(at - 1):
+                at -= 1
+            n = at
+            while n <= last:
+                last = max(last, *goes_on.get(n, ()), n + 1 if spans(n) else n)
+                n += 1
+            to = last + 1
+            for put, n, j, dropped, changed in self.stream(tokens, goes_on, at, to):
+                fixed[n] = put
+                if j is not None:
+                    gone.add(j)
                 if dropped:
-                    out.kinds.append((i, "hyphen"))
+                    out.kinds.append((of[n], "hyphen"))
                 if changed:
-                    whole = left.lower() + right.lower()
-                    p = next((p for p, (a, b) in enumerate(zip(whole, word.lower().replace("-", ""))) if a != b), 0)
-                    misread.add(i if p < len(left) else j)
-                joined[i] = (word, j, right)
-                ended[i] = (left, mark)
-                started[j] = right
-        known = self.known
-        for i in body:
-            line = lines[i - 1]
-            tokens = line.split()
-            # a day or year with a letter in it is no known token, either
-            if not repair and known.issuperset(tokens):
-                continue
-            if i in ended or i + 0 == (out.pending[0] if out.pending else -1):
-                tokens = tokens[:-1]
-            if i in started and tokens and tokens[0].startswith(started[i]):
-                tokens = tokens[1:]
-            run: list[str] = []
-            for t in [*tokens, None]:
-                if t is not None and t not in known and (self.token(t)[0] >= UNKNOWN or self.token(t)[2]):
-                    run.append(t)
-                elif run:
-                    if any(ch for _, _, ch in self.stream(run)):
-                        misread.add(i)
-                    run = []
-            for m in NEAR_DATE.finditer(line):
-                s = next(g for g in m.groups() if g)
-                if not s.isdigit() and any(c.isdigit() for c in s) and s.translate(TO_DIGIT).isdigit():
-                    misread.add(i)
+                    whole = [c for x in ([n] if j is None else [n, j]) for c in tokens[x].lower().rstrip(OUTER if x == n and j is not None else "")]
+                    p = next((p for p, (a, b) in enumerate(zip(whole, put.lower().replace("-", "") if j is not None else put.lower())) if a != b), 0)
+                    misread.add(of[n] if j is None or p < len(tokens[n].rstrip(OUTER)) else of[j])
         out.kinds += [(i, "misread") for i in sorted(misread)]
         if repair:
             marked = {i for i, k in out.kinds if k in ("header", "page_number")}
-            skip: dict[int, int] = {}
-            for i, line in enumerate(lines, 1):
-                if i in marked:
-                    continue
-                tokens = line.split()
-                if i in skip:
-                    tokens = [tokens[0][skip[i] :], *tokens[1:]] if tokens and len(tokens[0]) > skip[i] else tokens[1:]
-                tail = ""
-                if i in joined and tokens:
-                    word, j, right = joined[i]
-                    left = ended[i][0]
-                    rest = lines[j - 1].split()[0][len(right) :]
-                    rest = rest if not rest or not rest[0].isalnum() else ""
-                    tail = tokens[-1][: -len(left) - 1] + word + rest
-                    skip[j] = len(right) + len(rest)
-                    tokens = tokens[:-1]
-                fixed, run = [], []
-                for t in [*tokens, None]:
-                    if t is not None and t not in known and (self.token(t)[0] >= UNKNOWN or self.token(t)[2]):
-                        run.append(t)
-                        continue
-                    if run:
-                        fixed += [x for x, _, _ in self.stream(run)]
-                        run = []
-                    if t is not None:
-                        fixed.append(t)
-                out.lines.append(" ".join([*fixed, *([tail] if tail else [])]))
+            per: dict[int, list[str]] = {i: [] for i in body}
+            for n, t in enumerate(tokens):
+                if n not in gone:
+                    per[of[n]].append(fixed.get(n, t))
+            for i in range(1, len(lines) + 1):
+                # a line whose only word went to the line before is no gap
+                if i not in marked and (i not in per or per[i]):
+                    out.lines.append(" ".join(per.get(i, ())))
         return out
 
 

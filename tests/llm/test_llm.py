@@ -376,3 +376,23 @@ def test_address_pattern():
     for a in ("Flat 285A, Tower 7, Phase II, Tal. Lakhimwas, Marudhari", "355/36, 3rd Cross Street, Dist. Ghatiwada, Vindhyaval-000414", "Qtr. No. B-184, near Water Tank, Dongarshet - 080239", "H. No. 135/17, Ward No. 7,\nManohargunj, PIN: 003426"):
         m = pii.ADDRESS.search(f"residing at {a}, has affirmed")
         assert m and m[0] == a
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("the fin al hearing of appeal", "the final hearing of appeal"),  # neither part a word
+        ("the hear ing of ap peal", "the hearing of appeal"),  # one part is nothing, or a word by chance
+        ("the court was he ard", "the court was heard"),  # a known neighbour
+        ("the petit\nioner prayed", "the petitioner prayed"),  # broken at a line's end without a mark
+        ("the appeal was he\nard by this court", "the appeal was heard by this court"),
+        ("the defen-\ncourt\ndant was heard", "the defendant court was heard"),  # a line put in between
+        ("be taken on record", "be taken on record"),
+    ],
+)
+def test_scan_lattice(text, want):
+    import math
+
+    n = {w: 1000 for w in WORDS} | {"he": 1000}
+    page = ocr.Decoder({w: -math.log(k / sum(n.values())) for w, k in n.items()}).read(text, {99}, set(), repair=True)
+    assert " ".join(" ".join(page.lines).split()) == want
