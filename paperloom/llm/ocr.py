@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.grouped import per_group
 from ..session import spread
 
 #: What a scanner reads, and what stood there.
@@ -418,22 +419,35 @@ class Decoder:
         return out
 
 
+#: What stands before a line: a blank line, a page's end (else nothing, 0).
+GAP, PAGE_END = 1, 2
+
+
 def paragraphs(lines: list[str]) -> list[str]:
-    """Joins lines to paragraphs: the boundaries whose total cost is least.
+    """Joins lines to paragraphs: the boundaries whose total cost is least."""
+    return [p for _, p in page_paragraphs([lines])]
+
+
+def page_paragraphs(pages: list[list[str]]) -> list[tuple[int, str]]:
+    """The paragraphs of pages that follow each other, each with the number of the page it begins on, from 0.
 
     A paragraph costs by its boundaries (cheap behind a blank line, or where a short line
     ends a sentence) and by the short or ending lines it runs over. Linear in the lines:
     a boundary's cost depends on the two lines it parts.
     """
-    text, blank = [], []
-    gap = True
-    for line in lines:
-        if line.strip():
-            text.append(line.strip())
-            blank.append(gap)
-            gap = False
-        else:
-            gap = True
+    text, blank, of = [], [], []
+    for k, lines in enumerate(pages):
+        # what is blank around a page's text says nothing: a page's end may be a gap between paragraphs
+        gap: int = PAGE_END if k else GAP
+        inside_page = False
+        for line in lines:
+            if line.strip():
+                text.append(line.strip())
+                blank.append(gap)
+                of.append(k)
+                gap, inside_page = 0, True
+            elif inside_page:
+                gap = GAP
     if not text:
         return []
     width = sorted(map(len, text))[int(0.8 * (len(text) - 1))]
@@ -446,8 +460,8 @@ def paragraphs(lines: list[str]) -> list[str]:
             ends = text[i - 1][-1:] in ".?!:।۔"
             short = len(text[i - 1]) < 0.75 * width
             starts = not text[i][0].islower()
-            cut = (0.2 if blank[i] else 2.0) + (0.0 if ends else 1.5) + (0.0 if short else 0.7) + (0.0 if starts else 3.0)
-            run = (2.2 if blank[i] else 0.0) + (1.4 if ends and short and starts else 0.0)
+            cut = (2.0, 0.2, 1.0)[blank[i]] + (0.0 if ends else 1.5) + (0.0 if short else 0.7) + (0.0 if starts else 3.0)
+            run = (0.0, 2.2, 0.8)[blank[i]] + (1.4 if ends and short and starts else 0.0)
         fresh = best[i][0] + (cut if i else 0.0)
         if i == 0 or fresh < inside + run:
             inside, begin = fresh, i
@@ -461,7 +475,7 @@ def paragraphs(lines: list[str]) -> list[str]:
         end = best[end][1]
     starts.reverse()
     for a, b in zip(starts, [*starts[1:], len(text)]):
-        out.append(" ".join(text[a:b]))
+        out.append((of[a], " ".join(text[a:b])))
     return out
 
 
@@ -560,13 +574,83 @@ def noise(pages: DataFrame, costs: dict[str, float], *, grouped: bool) -> DataFr
     return found.where("kind not in ('pending', 'head')").select("_id", "line_no", "kind").unionByName(ends).distinct()
 
 
+def over_pages(decoder: Decoder, ends: Page, goes_on: Page) -> None:
+    """Joins the word broken at a page's end, with a mark or without, to the head of the next page, whose rest it leaves."""
+    at = next((k for k in range(len(ends.lines) - 1, -1, -1) if ends.lines[k].strip()), None)
+    to = next((k for k, line in enumerate(goes_on.lines) if line.strip()), None)
+    if at is None or to is None:
+        return
+    before, last = ends.lines[at].split(), goes_on.lines[to].split()
+    left, right = before[-1], last[0]
+    put = None
+    if ends.pending:
+        _, part, mark = ends.pending
+        # the head as it stands, before its first word was read alone
+        r = RIGHT.match(goes_on.head.split()[0])
+        if r and left.endswith(part + mark):
+            word = decoder.join(part, r[0], mark)[0]
+            if word is not None:
+                token = goes_on.head.split()[0]
+                put = left[: -len(part) - 1] + word + token[r.end() :]
+    elif (m := decoder.merge(left, right)) and m[0] < decoder.token(left)[0] + decoder.token(right)[0]:
+        put = m[1]
+    if put is not None:
+        ends.lines[at] = " ".join([*before[:-1], put])
+        goes_on.lines[to] = " ".join(last[1:])
+        if not goes_on.lines[to]:
+            # no gap, as its only word went to the page before
+            del goes_on.lines[to]
+
+
+def filing_paragraphs(rows: list[dict], decoder: Decoder) -> Iterator[tuple]:
+    """Rows ``(id, paragraph_no, paragraph)`` of one filing's pages, given by page; a lost page parts its neighbours.
+
+    A paragraph belongs to the page it begins on. Of several rows for one page number the
+    first stands between the pages before and behind, the others are read alone.
+    """
+    chain: list[tuple] = []
+    last = None
+
+    def close() -> Iterator[tuple]:
+        count: Counter[int] = Counter()
+        for k, p in page_paragraphs([page.lines for _, page in chain]):
+            count[k] += 1
+            yield (chain[k][0], count[k], p)
+        chain.clear()
+
+    alone = []
+    for r in rows:
+        page = decoder.read(r["_t"], _set(r["_pages"]), _set(r["_heads"]), repair=True)
+        number = r["_page"]
+        if number is not None and number == last:
+            alone.append((r["_id"], page))
+            continue
+        if chain and number is not None and last is not None and number == last + 1 and page.head and chain[-1][1].head:
+            over_pages(decoder, chain[-1][1], page)
+        else:
+            yield from close()
+        chain.append((r["_id"], page))
+        last = number
+    yield from close()
+    for one in alone:
+        chain.append(one)
+        yield from close()
+
+
 def repaired(pages: DataFrame, costs: dict[str, float], *, grouped: bool) -> DataFrame:
-    """Rows ``(_id, paragraph_no, paragraph)``: each text as continuous paragraphs, counted from 1."""
+    """Rows ``(_id, paragraph_no, paragraph)``: the texts as continuous paragraphs, counted from 1.
+
+    With ``grouped`` words and paragraphs run on from page to page of a group; a paragraph
+    is given for the page it begins on, so a page that begins none has no rows.
+    """
     kind = pages.schema["_id"].dataType.simpleString()
     if grouped:
         pages = pages.join(running_lines(pages.select("_id", "_group", F.col("_page").cast("double").alias("_page"), "_t")).withColumnRenamed("_id", "_rid"), F.col("_id") == F.col("_rid"), "left").drop("_rid")
-    else:
-        pages = pages.withColumn("_heads", F.lit(None).cast("array<int>"))
+        decoder = Decoder(costs)
+        # pages without a group are groups of their own
+        keyed = pages.select(F.struct("_group", F.when(F.col("_group").isNull(), F.col("_id")).alias("_own")).alias("_key"), "_id", F.col("_page").cast("bigint").alias("_page"), "_pages", "_t", "_heads")
+        return per_group(keyed, ["_key"], ["_page", "_id"], lambda rows: filing_paragraphs(rows, decoder), f"_pid {kind}, paragraph_no bigint, paragraph string").select(F.col("_pid").alias("_id"), "paragraph_no", "paragraph")
+    pages = pages.withColumn("_heads", F.lit(None).cast("array<int>"))
 
     def emit(pdf: pd.DataFrame, decoder: Decoder) -> Iterator[tuple]:
         for i, ps, t, heads in zip(pdf["_id"], pdf["_pages"], pdf["_t"], pdf["_heads"]):

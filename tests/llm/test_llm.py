@@ -396,3 +396,12 @@ def test_scan_lattice(text, want):
     n = {w: 1000 for w in WORDS} | {"he": 1000}
     page = ocr.Decoder({w: -math.log(k / sum(n.values())) for w, k in n.items()}).read(text, {99}, set(), repair=True)
     assert " ".join(" ".join(page.lines).split()) == want
+
+
+def test_scan_repaired_over_pages(spark):
+    pages = [("f", 1, "the court was heard and the petitioner prayed that the appe‐"), ("f", 2, "2\n\nal be taken on record by"), ("f", 3, "this court"), ("f", 4, None), ("f", 5, "the appeal was heard by this court"), (None, 1, "the defen-"), (None, 2, "dant was heard")]
+    pt = spark.createDataFrame([(i, f, p, t, "x") for i, (f, p, t) in enumerate(pages, 1)] * 2, "page_id bigint, filing_id string, page int, normalized_text string, kind string")
+    ch = spark.createDataFrame([("r0", "the court was heard and the petitioner prayed that the appeal be taken on record by this court\n" * 3, 1, 1, 1, ["1"])], "record_id string, chunk_text string, primary_page int, page_start int, page_end int, source_pages array<string>")
+    got = {(r["row_id"], r["paragraph_no"], r["paragraph"]) for r in ocr.scan_repaired(spark, ch, pt).where("origin = 'page_text'").collect()}
+    assert got == {("1", 1, "the court was heard and the petitioner prayed that the appeal be taken on record by this court"), ("5", 1, "the appeal was heard by this court"), ("6", 1, "the defen-"), ("7", 1, "dant was heard")}
+    assert ocr.page_paragraphs([["It ends."], ["", "A second runs over"], [], ["the page and goes on"]]) == [(0, "It ends."), (1, "A second runs over the page and goes on")]
