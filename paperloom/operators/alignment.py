@@ -119,6 +119,22 @@ def best_binding(evidence: DataFrame, chunks: DataFrame, filing: str, cited: str
     return out.select(ident, found.alias("_f")).where("_f is not null").select(ident, F.col("_f.chunk").alias(chunk), "_f.priority")
 
 
+def bound_chunks(evidence: DataFrame, chunks: DataFrame, filing: str, cited: str, quote: str, page: str, ident: str, chunk: str, text: str, first: str, last: str) -> DataFrame:
+    """Rows ``(ident, chunk, priority)``: the chunk each piece of evidence is bound to, by its whole quote in the chunk's whole text.
+
+    Priorities and ties as in ``best_binding``; a chunk is on the cited page if it is within
+    ``first`` and ``last``. Quotes meet only texts of their filing that share a run of words (``contained``).
+    """
+    held = contained(evidence, chunks, filing, quote, text, ident, chunk).distinct()
+    place = chunks.select(filing, chunk, F.col(cited).alias("_c2"), F.col(first).alias("_a"), F.col(last).alias("_z")).distinct()
+    e = evidence.select(ident, filing, F.col(cited).alias("_c"), F.col(page).alias("_p")).distinct()
+    rank = F.when(F.col("_c") == F.col("_c2"), 0).when(F.col("_p").between(F.col("_a"), F.col("_z")), 1).otherwise(2)
+    hits = e.join(held, ident).join(place, [filing, chunk]).select(ident, rank.alias("priority"), chunk)
+    lead = place.groupBy(filing, F.col("_c2").alias("_c")).agg(F.min(chunk).alias(chunk))
+    both = hits.unionByName(e.join(lead, [filing, "_c"]).select(ident, F.lit(3).alias("priority"), chunk))
+    return both.groupBy(ident).agg(F.min(F.struct("priority", chunk)).alias("_f")).select(ident, f"_f.{chunk}", "_f.priority")
+
+
 def visual_lines(df: DataFrame, key: str, ident: str, gutter: float = 0.045) -> DataFrame:
     """Rows ``(key, ident, line, span)`` of words ``(key, ident, x, y, w, h)``: words on one line overlap by half the lower one's height; a wide gap parts a line.
 

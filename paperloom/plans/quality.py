@@ -209,6 +209,20 @@ def evidence_binding(spark, d):
     return A.best_binding(e.where("evidence_id % 2 = 1"), chunks, "filing_id", "check_id", "k", "page", "evidence_id", "chunk")
 
 
+@query("quote_containment_whole", f"WITH {FE}, {PT}, n AS (SELECT evidence_id, filing_id, trim(regexp_replace(lower(quote), '\\s+', ' ', 'g')) AS q FROM fe WHERE trim(coalesce(quote, '')) <> '') SELECT evidence_id, page_id FROM n JOIN (SELECT page_id, filing_id, trim(regexp_replace(lower(t), '\\s+', ' ', 'g')) AS t FROM pt) USING (filing_id) WHERE contains(t, q)")
+def quote_containment_whole(spark, d):
+    """Whole quotes; ``quote_containment`` and its SQL look for the first sentence alone."""
+    return A.contained(evidence(spark, d), scanned(spark, d), "filing_id", "quote", "t", "evidence_id", "page_id")
+
+
+@query("evidence_chunk_binding")
+def evidence_chunk_binding(spark, d):
+    """Whole quotes in whole chunks of the filing's files, the cited part standing for the cited id; ``evidence_binding`` and its SQL compare 12 characters of quotes."""
+    files = table(spark, d, "filing_parts").select("filing_id", "file_hash").where("file_hash is not null").distinct()
+    c = table(spark, d, "chunks").select("record_id", "file_hash", "document_part", "page_start", "page_end", "chunk_text").distinct()
+    return A.bound_chunks(evidence(spark, d).join(files, "filing_id"), c.where("file_hash is not null"), "file_hash", "document_part", "quote", "page", "evidence_id", "record_id", "chunk_text", "page_start", "page_end")
+
+
 def _place():
     return F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
 

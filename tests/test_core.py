@@ -206,3 +206,23 @@ def test_empty_tables(spark):
     assert A.visual_lines(e, "f", "page").count() == 0
     assert D.table_rows(e, ["f"], "t", ["a", "b"]).count() == 0
     assert D.printed_folios(e, ["f"], "t").count() == 0
+
+
+def test_bound_chunks_by_brute_force(spark):
+    lead = "that the appeal was filed late"
+    texts = {"c1": f"x {lead}. The cause was illness y", "c2": f"{lead}.  The CAUSE was\na strike", "c3": "nothing here", "c4": f"{lead}. The cause was a strike, too", "c5": None}
+    chunks = [("f", c, part, a, z, texts[c]) for c, part, a, z in (("c1", "A", 1, 1), ("c2", "B", 2, 3), ("c3", "C", 4, 4), ("c4", "D", 5, 5), ("c5", "E", 6, 6))] + [("g", "c2", "B", 2, 3, texts["c2"])]
+    quotes = [(1, "f", "B", 9, f"{lead}. The cause was a strike"), (2, "f", "Z", 5, f"{lead}. The cause was a strike"), (3, "f", "Z", None, f"{lead}. The cause was illness"), (4, "f", "C", 4, f"{lead}. The cause was unknown"), (5, "f", "Z", 1, "elsewhere"), (6, "f", None, 1, " "), (7, "f", "Z", 9, lead), (8, "g", "Z", 9, f"{lead}. the cause"), (9, "f", "E", 6, None)]
+    c = spark.createDataFrame(chunks, "filing string, chunk string, part string, a int, z int, t string")
+    e = spark.createDataFrame(quotes, "i int, filing string, part string, page int, q string")
+    fold = lambda s: " ".join(s.lower().split())
+    want = set()
+    for i, f, part, page, q in quotes:
+        found = []
+        for g, k, p2, a, z, t in chunks:
+            holds = bool(q and q.strip() and t) and fold(q) in fold(t)
+            if f == g and (holds or part == p2):
+                found.append((3 if not holds else 0 if part == p2 else 1 if page is not None and a <= page <= z else 2, k))
+        want |= {(i, min(found)[1], min(found)[0])} if found else set()
+    got = {tuple(r) for r in A.bound_chunks(e, c, "filing", "part", "q", "page", "i", "chunk", "t", "a", "z").collect()}
+    assert got == want and {(1, "c2", 0), (2, "c4", 1), (3, "c1", 2), (4, "c3", 3)} <= got
