@@ -9,8 +9,8 @@ same kind of entity; loopy belief propagation passes messages along chains and s
 edges in turn, so a name that is plain in one place is found in all others.
 
 The weights are fitted here, by maximum likelihood with ``fit``, on a bounded sample of
-texts labelled by cue patterns (``silver``). All texts are decoded; only stretches without
-any token that could open an entity (by class) are left out, as they cannot hold one.
+texts labelled by cue patterns (``silver``). All texts are decoded, whole: what the sample
+lacks shapes the weights alone, not where entities are looked for.
 At last the ends of the found spans are checked against exact patterns.
 """
 
@@ -77,7 +77,7 @@ def shape(token: str) -> str:
 
 @dataclass
 class Model:
-    """Class numbers, whether a class may open an entity, and the weights: ``w[k, class, label]`` for offsets -2..2, transitions, first labels."""
+    """Class numbers, whether a class opens a stretch to learn from, and the weights: ``w[k, class, label]`` for offsets -2..2, transitions, first labels."""
 
     classes: dict[str, int]
     seed: np.ndarray
@@ -242,7 +242,7 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vocabulary(read: list[tuple], least: int) -> tuple[dict[str, int], np.ndarray]:
-    """Classes from the sample: words in ``least`` texts, shapes, and which of them may open an entity."""
+    """Classes from the sample: words in ``least`` texts, shapes, and which of them open stretches to learn from."""
     words: Counter[str] = Counter()
     inside: Counter[str] = Counter()
     shapes: Counter[str] = Counter()
@@ -365,11 +365,11 @@ class Finder:
         for d, text in enumerate(texts):
             found = TOKEN.findall(text)
             cls = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
-            seeds = np.flatnonzero(model.seed[cls]) if len(cls) else cls
-            if not len(seeds):
+            if not len(cls):
                 continue
             _, starts, ends = tokens_of(text)
-            for (a, b), w in zip(places := zones(seeds, len(cls)), windows(cls, places, model.classes["<>"])):
+            # what the sample held tells the weights, not where to look: whole texts are decoded
+            for (a, b), w in zip(places := [(0, len(cls))], windows(cls, places, model.classes["<>"])):
                 z = len(rows)
                 rows.append(w)
                 owner.append((d, a, starts[a:b], ends[a:b]))

@@ -405,3 +405,14 @@ def test_scan_repaired_over_pages(spark):
     got = {(r["row_id"], r["paragraph_no"], r["paragraph"]) for r in ocr.scan_repaired(spark, ch, pt).where("origin = 'page_text'").collect()}
     assert got == {("1", 1, "the court was heard and the petitioner prayed that the appeal be taken on record by this court"), ("5", 1, "the appeal was heard by this court"), ("6", 1, "the defen-"), ("7", 1, "dant was heard")}
     assert ocr.page_paragraphs([["It ends."], ["", "A second runs over"], [], ["the page and goes on"]]) == [(0, "It ends."), (1, "A second runs over the page and goes on")]
+
+
+def test_unseen_shapes_are_decoded():
+    import numpy as np
+
+    classes = {pii.UNSEEN: 0, "<>": 1, "w:phone:x": 2}
+    model = pii.Model(classes, np.zeros(3, bool), np.zeros((5, 3, pii.N)), np.zeros((pii.N, pii.N)), np.zeros(pii.N))
+    model.w[2, :, 0] = 3.0
+    model.w[1, 2, pii.LABELS.index("B-phone")] = 9.0
+    text = "call on the phone 98765-43210 then"
+    assert [(k, text[a:b]) for a, b, k in pii.Finder(model).labels([text, "", "nothing here"])[0]] == [("phone", "98765-43210")]
