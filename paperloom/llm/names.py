@@ -90,12 +90,22 @@ class Parser:
             by_length.setdefault(len(c), []).append(c)
         self.by_length = by_length
         self.parse = lru_cache(maxsize=300_000)(self._parse)
+        self.plain = lru_cache(maxsize=300_000)(lambda name: self._parse(name, False))
+
+    def match(self, a: str, b: str) -> tuple[int, int] | None:
+        """``compare`` of two names; if that finds nothing, with the last token as the family name of both, common as it may be."""
+        x, y = self.parse(a), self.parse(b)
+        got = self.compare(x, y)
+        if got or x.body or y.body:
+            return got
+        p, q = self.plain(a), self.plain(b)
+        return self.compare(p, q) if (p, q) != (x, y) and p.family == q.family else None
 
     def usual(self, token: str) -> bool:
         """Whether a token is a common one, with one slip at most."""
         return token in self.common or any(near(token, c) == 1 for n in (-1, 0, 1) for c in self.by_length.get(len(token) + n, ()))
 
-    def _parse(self, name: str) -> Name:
+    def _parse(self, name: str, guess: bool = True) -> Name:
         tokens = tokens_of(name)
         if any(map(of_body, tokens)) or re.match(r"\s*(?:m/s|messrs)\b", name, re.I):
             words = [w for t in tokens for w in (("industrial", "development", "corporation") if t == "idc" else (PUBLIC.get(t, t),)) if w not in FILLERS]
@@ -122,7 +132,7 @@ class Parser:
             if len(t) < 2:
                 return Name(False, family=" ".join(t), alias=alias)
             k = len(t) - 1
-            if len(t[k]) == 1 or self.usual(t[k]):
+            if len(t[k]) == 1 or guess and self.usual(t[k]):
                 rare = [i for i, x in enumerate(t) if len(x) > 3 and not self.usual(x)]
                 k = rare[0] if rare else k
             family, rest = t[k], t[:k] + t[k + 1 :]
@@ -296,7 +306,8 @@ def name_links(names: DataFrame, nicknames: DataFrame, *, common_share: float =
             for n in pdf["name"]:
                 p = parser.parse(n)
                 words = list(p.words) if p.body else [w for w in (p.family, p.given, *p.middle) if w]
-                roots = [w for w in words if len(w) >= 4 and w not in common and w not in BODY] or words
+                # of a person every token, common ones too, with the initial of each other one: initials and short forms share no rarer token
+                roots = [w for w in words if (len(w) >= 4 and w not in common if p.body else len(w) > 1) and w not in BODY] or words
                 keys = set()
                 for r in roots:
                     rest = {w[0] for i, w in enumerate(words) if w != r} or {""}
@@ -316,7 +327,7 @@ def name_links(names: DataFrame, nicknames: DataFrame, *, common_share: float =
         for pdf in batches:
             out = []
             for a, b in zip(pdf["name"], pdf["other"]):
-                got = parser.compare(parser.parse(a), parser.parse(b))
+                got = parser.match(a, b)
                 if got:
                     out.append((a, b, *got))
             yield pd.DataFrame(out, columns=["a", "b", "level", "side"])

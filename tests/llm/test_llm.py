@@ -416,3 +416,10 @@ def test_unseen_shapes_are_decoded():
     model.w[1, 2, pii.LABELS.index("B-phone")] = 9.0
     text = "call on the phone 98765-43210 then"
     assert [(k, text[a:b]) for a, b, k in pii.Finder(model).labels([text, "", "nothing here"])[0]] == [("phone", "98765-43210")]
+
+
+def test_common_family_name(spark):
+    rows = [(n,) for n in ["Zubin Sharma", "Z. Sharma", *(f"{a}{b} Sharma" for a in ("Qor", "Wem", "Hul", "Jax") for b in ("vano", "lipi", "tesk", "nudo"))]]
+    nick = spark.createDataFrame([], "short_name string, full_name string")
+    comp = {r["name"]: r["comp"] for r in names.name_links(spark.createDataFrame(rows, "name string"), nick).collect()}
+    assert comp["Zubin Sharma"] == comp["Z. Sharma"] and len(set(comp.values())) == len(rows) - 1
