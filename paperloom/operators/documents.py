@@ -98,14 +98,15 @@ def named_categories(df: DataFrame, keep: Sequence[str], text: str, rules: Seque
 
 
 def flattened_json(df: DataFrame, keep: Sequence[str], payload: str, depth: int = 6) -> DataFrame:
-    """Rows ``(*keep, path, value)``: the leaves of a JSON object by dotted path; lists stay JSON (P15). One pass per level."""
+    """Rows ``(*keep, path, value)``: the leaves of a JSON object by dotted path; lists stay JSON (P15). One pass per level; what is still an object after ``depth`` of them is given out as JSON."""
     level = df.select(*keep, F.lit("").alias("path"), F.col(payload).alias("value"))
     out = None
     for n in range(depth):
-        open_ = level.where(F.substring(F.ltrim("value"), 1, 1) == "{") if n < depth - 1 else level.limit(0)
-        done = level.where((F.col("path") != "") & ~F.coalesce(F.substring(F.ltrim("value"), 1, 1) == "{", F.lit(False)))
+        is_open = F.coalesce(F.substring(F.ltrim("value"), 1, 1) == "{", F.lit(False))
+        done = level.where((F.col("path") != "") & (~is_open if n < depth - 1 else F.lit(True)))
         out = done if out is None else out.unionByName(done)
-        level = open_.select(*keep, "path", F.explode(F.from_json("value", "map<string,string>")).alias("_k", "value")).select(*keep, F.concat(F.when(F.col("path") == "", F.lit("")).otherwise(F.concat("path", F.lit("."))), "_k").alias("path"), "value")
+        if n < depth - 1:
+            level = level.where(is_open).select(*keep, "path", F.explode(F.from_json("value", "map<string,string>")).alias("_k", "value")).select(*keep, F.concat(F.when(F.col("path") == "", F.lit("")).otherwise(F.concat("path", F.lit("."))), "_k").alias("path"), "value")
     return out
 
 

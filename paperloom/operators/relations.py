@@ -51,16 +51,17 @@ def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str) ->
     return both.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(order), F.desc("_new")))).where("_n = 1").drop("_n", "_new")
 
 
-def hierarchy(df: DataFrame, ident: str, parent: str, depth: int = 16) -> DataFrame:
+def hierarchy(df: DataFrame, ident: str, parent: str) -> DataFrame:
     """Rows ``(ident, root, level, path)`` of a forest; a parent that isn't there makes its child a root.
 
-    ``path`` sorts parents before children. One equi-join per level, up to ``depth`` or the
+    ``path`` sorts parents before children. One equi-join per level, up to the
     first level without rows; members of a cycle have no root and give no row.
     """
     nodes = df.select(F.col(ident).cast("string").alias("_i"), F.col(parent).cast("string").alias("_p")).distinct()
     level = nodes.join(nodes.select(F.col("_i").alias("_p")), "_p", "left_anti").unionByName(nodes.where("_p is null")).select("_i", F.col("_i").alias("root"), F.lit(0).alias("level"), F.array("_i").alias("path")).distinct()
-    out, last = level, level
-    for n in range(1, depth):
+    out, last, n = level, level, 0
+    while True:
+        n += 1
         last = nodes.join(last.select(F.col("_i").alias("_p"), "root", "path"), "_p").select("_i", "root", F.lit(n).alias("level"), F.concat("path", F.array("_i")).alias("path"))
         if last.isEmpty():
             break

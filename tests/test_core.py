@@ -226,3 +226,10 @@ def test_bound_chunks_by_brute_force(spark):
         want |= {(i, min(found)[1], min(found)[0])} if found else set()
     got = {tuple(r) for r in A.bound_chunks(e, c, "filing", "part", "q", "page", "i", "chunk", "t", "a", "z").collect()}
     assert got == want and {(1, "c2", 0), (2, "c4", 1), (3, "c1", 2), (4, "c3", 3)} <= got
+
+
+def test_deep_json_and_hierarchy(spark):
+    df = spark.createDataFrame([(1, '{"a": {"b": {"c": {"d": {"e": {"f": 1}}}}}, "x": 2}')], "i int, p string")
+    assert {(r["path"], r["value"]) for r in D.flattened_json(df, ["i"], "p").collect()} == {("a.b.c.d.e", '{"f":1}'), ("x", "2")}
+    chain = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(18)], "i string, p string").coalesce(1)
+    assert R.hierarchy(chain, "i", "p").agg(F.max("level")).first()[0] == 17
