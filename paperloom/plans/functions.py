@@ -183,3 +183,24 @@ def byte_slices(spark, d):
     t = table(spark, d, "documents").where("text is not null and lang in ('bn', 'hi') and length(text) > 3")
     n = F.octet_length(F.left("text", F.lit(3)))
     return t.select("doc_id", T.byte_slice("text", F.lit(0), n).alias("head"))
+
+
+@query("whitespace_fold_all")
+def whitespace_fold_all(spark, d):
+    """All documents; ``whitespace_fold`` and its SQL take the label ``en`` alone."""
+    return table(spark, d, "documents").select("doc_id", F.md5(T.folded("text").cast("binary")).alias("h"))
+
+
+@query("clean_markup_all")
+def clean_markup_all(spark, d):
+    """All documents with text; ``clean_markup`` and its SQL take the label ``en`` alone."""
+    t = F.concat(F.lit("# **Title** &amp; more<br/>\n\n\n<p>"), F.col("text"), F.lit("</p>  end"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(T.clean_markup(t).cast("binary")).alias("h"))
+
+
+@query("byte_slices_all")
+def byte_slices_all(spark, d):
+    """All documents with text, cut behind the third character: both parts; ``byte_slices`` and its SQL have the first of two labels."""
+    t = table(spark, d, "documents").where("text is not null")
+    n, size = F.octet_length(F.left("text", F.lit(3))), F.octet_length("text")
+    return t.select("doc_id", T.byte_slice("text", F.lit(0), n).alias("head"), F.md5(T.byte_slice("text", n, size).cast("binary")).alias("rest"))

@@ -132,6 +132,16 @@ def upsert_sink(spark, d):
     return spark.read.parquet(path).select("c_custkey", "c_acctbal")
 
 
+@query("upsert_sink_all", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE NOT c_custkey % 7 = 0")
+def upsert_sink_all(spark, d):
+    """All nations; ``upsert_sink`` and its SQL take a fifth of them."""
+    path, c = _place(spark, "upserts_all"), table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey", F.lit(1).alias("v"))
+    K.upsert_partitions(spark, path, c, ["c_custkey"], "v", "c_nationkey")
+    K.upsert_partitions(spark, path, c.where("c_custkey % 10 = 0").withColumn("c_acctbal", F.lit(0.0)).withColumn("v", F.lit(2)), ["c_custkey"], "v", "c_nationkey")
+    K.delete_rows(spark, path, "c_custkey % 7 = 0", "c_nationkey")
+    return spark.read.parquet(path).select("c_custkey", "c_acctbal")
+
+
 @query("report_sinks", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def report_sinks(spark, d):
     base = _place(spark, "reports")

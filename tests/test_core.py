@@ -233,3 +233,19 @@ def test_deep_json_and_hierarchy(spark):
     assert {(r["path"], r["value"]) for r in D.flattened_json(df, ["i"], "p").collect()} == {("a.b.c.d.e", '{"f":1}'), ("x", "2")}
     chain = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(18)], "i string, p string").coalesce(1)
     assert R.hierarchy(chain, "i", "p").agg(F.max("level")).first()[0] == 17
+
+
+def test_whole_tables_of_the_column_functions(spark, tmp_path):
+    import hashlib
+    import re
+
+    from paperloom.plans import functions as P2
+
+    texts = [None, "", "Aé\tB", "यह  एक\nपाठ है", "ТЕКСТ  Один", "தமிழ்  உரை"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    got = {r["doc_id"]: r["h"] for r in P2.whitespace_fold_all(spark, str(tmp_path)).collect()}
+    assert got == {i: t if t is None else md5(re.sub(r"[ \t\n]+", " ", t.lower()).strip()) for i, t in enumerate(texts)}
+    cut = {r["doc_id"]: (r["head"], r["rest"]) for r in P2.byte_slices_all(spark, str(tmp_path)).collect()}
+    assert cut == {i: (t[:3], md5(t[3:])) for i, t in enumerate(texts) if t is not None}
+    assert P2.clean_markup_all(spark, str(tmp_path)).count() == 5
