@@ -40,46 +40,45 @@ def annotation_faults(df: DataFrame, case: str, doc: str, start: str, end: str,
     return out_of.unionByName(twice).unionByName(over).unionByName(holes).unionByName(tail).distinct()
 
 
-def assignment(weights: list[list[float]]) -> list[int]:
-    """For each row the column of a one-to-one assignment of greatest total weight, -1 for none.
+def heaviest_matching(links: dict[tuple, int]) -> set[tuple]:
+    """The links ``(left, right): weight`` of a one-to-one matching of greatest total weight.
 
-    Shortest augmenting paths with potentials, O(n^2 m).
+    Works on the links alone, not on a square of all pairs: as long as it adds weight, the
+    best chain of swaps is looked for that begins at a left end without a partner, hands
+    right ends over from holder to holder, and ends at a right end nobody holds.
     """
-    n, m = len(weights), len(weights[0]) if weights else 0
-    size = max(n, m)
-    cost = [[-(weights[i][j] if i < n and j < m else 0.0) for j in range(size)] for i in range(size)]
-    inf = float("inf")
-    u, v, match = [0.0] * (size + 1), [0.0] * (size + 1), [0] * (size + 1)
-    for i in range(1, size + 1):
-        match[0], j0 = i, 0
-        least, way, used = [inf] * (size + 1), [0] * (size + 1), [False] * (size + 1)
+    wishes: dict = {}
+    for (left, right), w in sorted(links.items()):
+        wishes.setdefault(left, []).append((right, w))
+    holder: dict = {}
+    while True:
+        held = set(holder.values())
+        gain = {left: 0 for left in wishes if left not in held}
+        came: dict = {}
+        best = None
+        pending = list(gain)
+        while pending:
+            later = []
+            for left in dict.fromkeys(pending):
+                for right, w in wishes[left]:
+                    total = gain[left] + w
+                    other = holder.get(right)
+                    if other is None:
+                        if total > 0 and (best is None or total > best[0]):
+                            best = (total, left, right)
+                    elif other != left and total - links[other, right] > gain.get(other, float("-inf")):
+                        gain[other] = total - links[other, right]
+                        came[other] = (left, right)
+                        later.append(other)
+            pending = later
+        if best is None:
+            return {(left, right) for right, left in holder.items()}
+        _, left, right = best
         while True:
-            used[j0] = True
-            i0, delta, j1 = match[j0], inf, 0
-            for j in range(1, size + 1):
-                if not used[j]:
-                    c = cost[i0 - 1][j - 1] - u[i0] - v[j]
-                    if c < least[j]:
-                        least[j], way[j] = c, j0
-                    if least[j] < delta:
-                        delta, j1 = least[j], j
-            for j in range(size + 1):
-                if used[j]:
-                    u[match[j]] += delta
-                    v[j] -= delta
-                else:
-                    least[j] -= delta
-            j0 = j1
-            if match[j0] == 0:
+            holder[right] = left
+            if left not in came:
                 break
-        while j0:
-            match[j0] = match[way[j0]]
-            j0 = way[j0]
-    out = [-1] * n
-    for j in range(1, size + 1):
-        if 0 < match[j] <= n and j <= m and weights[match[j] - 1][j - 1] > 0:
-            out[match[j] - 1] = j - 1
-    return out
+            left, right = came[left]
 
 
 def matched_spans(truth: DataFrame, predicted: DataFrame, case: str) -> DataFrame:
@@ -92,12 +91,9 @@ def matched_spans(truth: DataFrame, predicted: DataFrame, case: str) -> DataFram
     pairs = pages(truth, "t").join(pages(predicted, "p"), [case, "_page"]).groupBy(case, "t_id", "p_id").agg(F.count("*").alias("overlap"), F.bool_and(F.col("t_t").eqNullSafe(F.col("p_t"))).alias("same_type"), F.bool_and((F.col("t_s") == F.col("p_s")) & (F.col("t_e") == F.col("p_e"))).alias("exact"))
 
     def run(rows: list[dict]) -> list[tuple]:
-        left, right = list(dict.fromkeys(r["t_id"] for r in rows)), list(dict.fromkeys(r["p_id"] for r in rows))
-        at, to = {x: i for i, x in enumerate(left)}, {x: i for i, x in enumerate(right)}
-        w = [[0.0] * len(right) for _ in left]
-        for r in rows:
-            w[at[r["t_id"]]][to[r["p_id"]]] = r["overlap"] * 1e6 + r["same_type"] * 1e3 + r["exact"]
-        chosen = {(left[i], right[j]) for i, j in enumerate(assignment(w)) if j >= 0}
+        # overlap decides, then the number of equal types, then of equal ends
+        more = len(rows) + 1
+        chosen = heaviest_matching({(r["t_id"], r["p_id"]): (r["overlap"] * more + r["same_type"]) * more + r["exact"] for r in rows})
         return [(r["t_id"], r["p_id"], r["overlap"], r["same_type"], r["exact"]) for r in rows if (r["t_id"], r["p_id"]) in chosen]
 
     return per_group(pairs, [case], ["t_id", "p_id"], run, "true_id string, predicted_id string, overlap bigint, same_type boolean, exact boolean")

@@ -142,6 +142,24 @@ def span_matching(spark, d):
     return Q.matched_spans(_truth(spark, d), _guess(spark, d), "case_id")
 
 
+@query(
+    "span_matching_checks",
+    f"""WITH {TRUTH}, l AS (SELECT t.case_id, t.id AS a, p.id AS b, least(t.e, p.e) - greatest(t.s, p.s) + 1 AS w FROM t JOIN p ON t.case_id = p.case_id AND t.s <= p.e AND p.s <= t.e),
+n AS (SELECT *, count(*) OVER (PARTITION BY case_id, a) AS na, count(*) OVER (PARTITION BY case_id, b) AS nb FROM l)
+SELECT case_id, count(DISTINCT a) > 0 AS one_to_one, count(*) FILTER (na = 1 AND nb = 1) AS sole_links FROM n GROUP BY 1""",
+)
+def span_matching_checks(spark, d):
+    """The matching is one-to-one, and keeps every link whose two spans overlap nothing else."""
+    truth, guess = _truth(spark, d), _guess(spark, d)
+    chosen = Q.matched_spans(truth, guess, "case_id").select("case_id", F.col("true_id").alias("_a"), F.col("predicted_id").alias("_b"))
+    per = chosen.groupBy("case_id").agg((F.count_distinct("_a") == F.count("*")).alias("_l"), (F.count_distinct("_b") == F.count("*")).alias("_r"))
+    page = lambda df, c: df.select("case_id", F.col("id").alias(c), F.explode(F.sequence("start", "end")).alias("_p"))
+    links = page(truth, "_a").join(page(guess, "_b"), ["case_id", "_p"]).select("case_id", "_a", "_b").distinct()
+    one = lambda c: links.groupBy("case_id", c).agg(F.count("*").alias(f"_n{c}")).where(f"_n{c} = 1").select("case_id", c)
+    sole = chosen.join(one("_a"), ["case_id", "_a"]).join(one("_b"), ["case_id", "_b"]).groupBy("case_id").agg(F.count("*").alias("_s"))
+    return per.join(sole, "case_id", "left").select("case_id", (F.col("_l") & F.col("_r")).alias("one_to_one"), F.coalesce("_s", F.lit(0)).alias("sole_links"))
+
+
 @query(
     "boundary_metrics",
     f"""WITH {TRUTH}, x AS (SELECT DISTINCT case_id, s FROM t), y AS (SELECT DISTINCT case_id, s FROM p), j AS (SELECT coalesce(x.case_id, y.case_id) AS case_id, x.s AS a, y.s AS b FROM x FULL JOIN y ON x.case_id = y.case_id AND x.s = y.s),
