@@ -4,20 +4,24 @@ A text becomes tokens; each token has a class: a word of the trained vocabulary,
 shape of anything else. A chain of labels (begin and inside of person, email, phone,
 id_number, address, or none) has potentials for each pair of neighbours and for the
 classes of the two tokens before, of the token and of the two behind. Tokens of a text
-that are alike (the same letters) are joined by skip edges, whose potential favours the
-same kind of entity; loopy belief propagation passes messages along chains and skip
-edges in turn, so a name that is plain in one place is found in all others.
+that are alike (the same letters, or letters that scans exchange) are joined by skip edges,
+whose potential favours the same kind of entity; loopy belief propagation passes messages
+along chains and skip edges in turn, each without what its receiver said before, so a name
+that is plain in one place is found in all others.
 
 The weights are fitted here, by maximum likelihood with ``fit``, on a bounded sample of
 texts labelled by cue patterns (``silver``). All texts are decoded, whole: what the sample
-lacks shapes the weights alone, not where entities are looked for.
+lacks shapes the weights alone, not where entities are looked for. A bound closes most
+places before the chains are summed (``Finder.open_places``): those where no run of labels,
+as good as it may be, outweighs none. The best labels are the same with it and without.
 At last the ends of the found spans are checked against exact patterns.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,60 +60,89 @@ OFFICE = {"court", "department", "board", "council", "officer", "commissioner",
 TITLES = {"mr", "mrs", "ms", "dr", "shri", "smt", "sh", "kum", "km", "sri", "prof", "miss", "late"}
 #: The first alternative is the last word class again, for words that plainly end; it only saves time.
 TOKEN = re.compile(rf"[^\W\d_]+(?=[\s,;](?!\s?[@(\[]))|{EMAIL.pattern}|{PHONE.pattern}|{ID.pattern}|\+?\d[\d./,-]*\d|\d|[^\W\d_]+\d\w*|[^\W\d_]+(?:{BREAK}[^\W\d_]+)?(?:/[a-z])?|[^\w\s]|_")
+SPLIT = re.compile(f"({TOKEN.pattern})")
+BROKEN, DOUBLED = re.compile(BREAK), re.compile(r"(.)\1")
 UNSEEN = "?"
 
 
 def shape(token: str) -> str:
-    """The class of a token no vocabulary holds: its shape."""
+    """The class of a token no vocabulary holds: the notation it is whole, or its shape."""
     if re.search(r"@|\(at\)|\[at\]", token):
         return "@"
-    t = re.sub(BREAK, "", token)
+    t = BROKEN.sub("", token)
     if t.isalpha():
         if len(t) == 1:
             return "A" if t.isupper() else "a"
         return ("Xx" if t[0].isupper() and t[1:].islower() else "XX" if t.isupper() else "xx" if t.islower() else "xX") if t.isascii() else "ux"
     if len(t) > 20:
         return "long"
-    t = re.sub(r"\s", "_", t)
-    s = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]", "A", t))
-    return re.sub(r"\d+", lambda m: f"9{len(m[0])}" if len(m[0]) < 15 else "9+", s)
+    if len(t) > 7:
+        # notations apart by how they group, as far as that tells them from other numbers
+        if ID.fullmatch(t):
+            return f"id{re.sub('[0-9]+', '9', re.sub('[A-Z]', 'A', t))}"
+        if PHONE.fullmatch(t):
+            return f"phone{'+' if t[:2] in ('+9', '00') else '(' if t[0] == '(' else re.sub('[0-9]+', '9', t)}"
+    s = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]", "A", re.sub(r"\s", "_", t)))
+    if s.isdigit():
+        return f"9{len(s)}" if len(s) < 13 else "9+"
+    return re.sub(r"\d+", "9", s)
 
 
 @dataclass
 class Model:
-    """Class numbers, whether a class opens a stretch to learn from, and the weights: ``w[k, class, label]`` for offsets -2..2, transitions, first labels."""
+    """Class numbers, whether a class opens a stretch to learn from, and the weights: ``w[k, class, label]`` for offsets -2..2, transitions, skip edges."""
 
     classes: dict[str, int]
     seed: np.ndarray
     w: np.ndarray
     trans: np.ndarray
-    first: np.ndarray
-    skip: float = 1.2
+    skip: float = 1.0
 
 
 #: Which label may follow which: inside only behind its own kind.
 ALLOWED = np.array([[0.0 if not b.startswith("I") or a[2:] == b[2:] and a != "O" else -1e4 for b in LABELS] for a in LABELS])
-ALLOWED_FIRST = np.array([-1e4 if b.startswith("I") else 0.0 for b in LABELS])
+#: From labels to kinds (0: none).
+KIND_OF = np.eye(len(KINDS) + 1, dtype=np.float32)[TYPE]
+#: Letters that scans and hands exchange: tokens that differ in them alone are alike (fixed values).
+CONFUSED = str.maketrans("0158|", "olsbl")
 
 
-class Classes(dict):
-    """A class number for each token, looked up once; ``limit`` tokens are remembered."""
+class Lexicon(dict):
+    """Numbers the tokens met: their classes and roots are looked up by number; ``limit`` tokens are remembered.
 
-    def __init__(self, classes: dict[str, int]):
+    Tokens share a root if they may name the same thing: the same letters in any case,
+    hyphenated or not, doubled or exchanged for letters that look alike or not.
+    """
+
+    def __init__(self, classes: dict[str, int], limit: int = 400_000):
         super().__init__()
-        self.classes = classes
+        self.named, self.limit = classes, limit
+        self.forget()
+
+    def forget(self) -> None:
+        """Starts anew."""
+        self.clear()
+        self.roots: dict[str, int] = {}
+        self.class_of, self.root_of = array("i"), array("i")
 
     def __missing__(self, token: str) -> int:
-        c = self.classes
-        low = re.sub(BREAK, "", token).lower()
-        n = c.get(f"w:{low}:{'X' if token[0].isupper() else 'x'}")
-        if n is None:
-            n = c.get("s:" + shape(token), c[UNSEEN])
-        if len(self) > 400_000:
-            self.clear()
-        self[token] = n
+        c = self.named
+        plain = BROKEN.sub("", token)
+        low = plain.lower()
+        k = c.get(f"w:{low}:{'X' if token[0].isupper() else 'x'}")
+        self.class_of.append(c.get("s:" + shape(token), c[UNSEEN]) if k is None else k)
+        root = -1
+        if len(low) > 3 and token[0].isupper() and plain.isalnum():
+            key = DOUBLED.sub(r"\1", low.translate(CONFUSED).replace("rn", "m").replace("vv", "w"))
+            root = self.roots.setdefault(key, len(self.roots))
+        self.root_of.append(root)
+        n = self[token] = len(self)
         return n
 
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        """The numbers of a text's tokens."""
+        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
+
 
 def overlaps(spans: list[tuple[int, int, str]], a: int, b: int) -> bool:
     """Whether a..b shares a character with one of the spans."""
@@ -154,8 +187,13 @@ def trim_name(text: str, a: int, b: int) -> tuple[int, int]:
 
 def tokens_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The tokens of a text, their starts and ends."""
-    found = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(text)]
-    return [t for t, _, _ in found], np.array([a for _, a, _ in found], int), np.array([b for _, _, b in found], int)
+    return placed(SPLIT.split(text))
+
+
+def placed(parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Tokens, starts and ends of a text that is split into what stands between the tokens, and these, in turn."""
+    at = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+    return parts[1::2], at[:-1:2], at[1::2]
 
 
 def zones(seeds: np.ndarray, n: int, reach: int = 8) -> list[tuple[int, int]]:
@@ -170,75 +208,56 @@ def zones(seeds: np.ndarray, n: int, reach: int = 8) -> list[tuple[int, int]]:
     return out
 
 
-def windows(cls: np.ndarray, starts: list[tuple[int, int]], pad: int) -> list[np.ndarray]:
-    """For each stretch its rows of five classes: two before to two behind."""
-    wide = np.concatenate([[pad, pad], cls, [pad, pad]])
-    return [np.stack([wide[a + k : b + k] for k in range(5)], 1) for a, b in starts]
-
-
-def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis))
-
-
-def batches_of(sizes: list[int], width: int = 60_000) -> Iterator[list[int]]:
-    """The stretches in order of length, so many at a time that they are about ``width`` tokens."""
-    order = np.argsort(sizes, kind="stable")
+def packs_of(begin: np.ndarray, length: np.ndarray, width: int = 60_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Chains of like lengths together: ``(place, chain)`` indices, which of them are real, and the lengths; about ``width`` places each."""
+    order = np.argsort(length, kind="stable")
     at = 0
     while at < len(order):
-        take = max(1, width // max(1, sizes[order[min(len(order) - 1, at + 200)]]))
-        yield order[at : at + take].tolist()
-        at += take
-
-
-def marginals(emit: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log messages forward and backward of padded chains ``(chain, place, label)``, and each chain's log sum."""
-    b, t, _ = emit.shape
-    trans = model.trans + ALLOWED
-    e_trans = np.exp(trans)
-    f = np.zeros_like(emit)
-    f[:, 0] = emit[:, 0] + model.first + ALLOWED_FIRST
-    for i in range(1, t):
-        m = f[:, i - 1].max(1, keepdims=True)
-        f[:, i] = m + np.log(np.exp(f[:, i - 1] - m) @ e_trans + 1e-300) + emit[:, i]
-    g = np.zeros_like(emit)
-    for i in range(t - 2, -1, -1):
-        x = g[:, i + 1] + emit[:, i + 1]
+        # as many as fit when padded to the longest, which may be a quarter longer than the first
+        most = max(int(length[order[at]]) * 5 // 4, int(length[order[at]]) + 1)
+        end = min(len(order), at + max(1, width // most), int(np.searchsorted(length[order], most, "right")))
+        ids = order[at:end]
+        t = np.arange(int(length[ids].max()))[:, None]
+        yield begin[ids] + np.minimum(t, length[ids] - 1), t < length[ids], length[ids]
+        at = end
+
+
+def forward_backward(emit: np.ndarray, real: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log messages forward and backward of chains ``(place, chain, label)`` between tokens that are none, and each chain's log sum."""
+    e = np.exp(trans)
+    f, g = np.empty_like(emit), np.empty_like(emit)
+    f[0] = emit[0] + trans[0]
+    for i in range(1, len(emit)):
+        m = f[i - 1].max(1, keepdims=True)
+        f[i] = np.where(real[i][:, None], m + np.log(np.exp(f[i - 1] - m) @ e + 1e-30) + emit[i], f[i - 1])
+    g[-1] = trans[:, 0]
+    for i in range(len(emit) - 2, -1, -1):
+        x = g[i + 1] + emit[i + 1]
         m = x.max(1, keepdims=True)
-        here = m + np.log(np.exp(x - m) @ e_trans.T + 1e-300)
-        g[:, i] = np.where((i + 1 < lengths)[:, None], here, 0.0)
-    z = logsumexp(f[np.arange(b), lengths - 1], 1)
-    return f, g, z
-
-
-def viterbi(emit: np.ndarray, lengths: np.ndarray, model: Model) -> list[np.ndarray]:
-    """The best labels of each padded chain."""
-    b, t, _ = emit.shape
-    trans = model.trans + ALLOWED
-    score = emit[:, 0] + model.first + ALLOWED_FIRST
-    back = np.zeros((b, t, N), np.int8)
-    last = score.copy()
-    for i in range(1, t):
+        g[i] = np.where(real[i + 1][:, None], m + np.log(np.exp(x - m) @ e.T + 1e-30), trans[:, 0])
+    last = f[-1] + trans[:, 0]
+    m = last.max(1)
+    return f, g, m + np.log(np.exp(last - m[:, None]).sum(1))
+
+
+def best_labels(emit: np.ndarray, real: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The best labels ``(place, chain)`` of chains between tokens that are none."""
+    score = emit[0] + trans[0]
+    back = np.empty(emit.shape, np.int8)
+    stay = np.arange(N, dtype=np.int8)
+    for i in range(1, len(emit)):
         both = score[:, :, None] + trans
-        back[:, i] = both.argmax(1)
-        score = both.max(1) + emit[:, i]
-        last = np.where((lengths - 1 == i)[:, None], score, last)
-    out = np.zeros((b, t), int)
-    at = last.argmax(1)
-    for i in range(t - 1, -1, -1):
-        at = np.where(i == lengths - 1, last.argmax(1), at)
-        out[:, i] = at
-        at = back[np.arange(b), i, at]
-    return [o[:n] for o, n in zip(out, lengths)]
-
-
-def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Stretches of unequal length as one array, and their lengths."""
-    lengths = np.array([len(r) for r in rows])
-    out = np.zeros((len(rows), lengths.max(), *rows[0].shape[1:]), rows[0].dtype)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
-    return out, lengths
+        on = real[i][:, None]
+        back[i] = np.where(on, both.argmax(1), stay)
+        score = np.where(on, both.max(1) + emit[i], score)
+    out = np.empty(emit.shape[:2], np.int8)
+    at = (score + trans[:, 0]).argmax(1)
+    chain = np.arange(emit.shape[1])
+    for i in range(len(emit) - 1, -1, -1):
+        out[i] = at
+        if i:
+            at = back[i, chain, at]
+    return out
 
 
 def vocabulary(read: list[tuple], least: int) -> tuple[dict[str, int], np.ndarray]:
@@ -252,7 +271,7 @@ def vocabulary(read: list[tuple], least: int) -> tuple[dict[str, int], np.ndarra
         seen = set()
         for t, a in zip(tokens, starts.tolist()):
             hit = any(x <= a < y for x, y, _ in spans)
-            low = re.sub(BREAK, "", t).lower()
+            low = BROKEN.sub("", t).lower()
             if low.isalpha() or not low.isalnum() and len(low) < 4 and not any(c.isdigit() for c in low):
                 key = f"w:{low}:{'X' if t[0].isupper() else 'x'}"
                 if key not in seen:
@@ -278,162 +297,268 @@ def vocabulary(read: list[tuple], least: int) -> tuple[dict[str, int], np.ndarra
     return classes, seed
 
 
-def fit(texts: list[str], *, least: int = 6, rounds: int = 30, rate: float = 0.25, decay: float = 2e-5, most: int = 3000) -> Model:
-    """Weights by maximum likelihood (Adam on all stretches at once) from the silver labels of a sample of texts."""
+def fit(texts: list[str], *, least: int = 6, rounds: int = 16, rate: float = 0.12, decay: float = 1e-5, most: int = 3000, plain: int = 600) -> Model:
+    """Weights by maximum likelihood (Adam, in batches of stretches of like lengths) from the silver labels of a sample of texts.
+
+    Learned from are ``most`` stretches around classes that stand in entities, and ``plain`` of 24 tokens anywhere.
+    """
     one_thread()
     read = [(tokens_of(t), silver(t)) for t in texts]
     classes, seed = vocabulary(read, least)
-    number = Classes(classes)
-    c = len(classes)
-    x: list[np.ndarray] = []
-    y: list[np.ndarray] = []
+    lexicon, c = Lexicon(classes), len(classes)
+    model = Model(classes, seed, np.zeros((5, c, N)), np.zeros((N, N)))
+    flat, truth, near, far = [], [], [], []
+    met: list[tuple[np.ndarray, np.ndarray]] = []
+    at = 0
     for (tokens, starts, ends), spans in read:
-        if not tokens:
-            continue
-        cls = np.array([number[t] for t in tokens])
-        labels = np.zeros(len(tokens), int)
+        ids = lexicon.numbers(tokens)
+        cls = np.array(lexicon.class_of, np.int32)[ids] if len(ids) else np.zeros(0, np.int32)
+        labels = np.zeros(len(tokens), np.int64)
         for a, b, kind in spans:
             hit = np.flatnonzero((starts < b) & (ends > a))
             if len(hit):
                 labels[hit] = LABELS.index(f"I-{kind}")
                 labels[hit[0]] = LABELS.index(f"B-{kind}")
-        # stretches of many seeds (lists, coded data) would make the padded chains long, and teach little
-        places = [(a, b) for a, b in zones(np.flatnonzero(seed[cls]), len(cls)) if b - a <= 150]
-        x += windows(cls, places, classes["<>"])
-        y += [labels[a:b] for a, b in places]
-    step = max(1, -(-len(x) // most))
-    x, y = x[::step], y[::step]
-    model = Model(classes, seed, np.zeros((5, c, N)), np.zeros((N, N)), np.zeros(N))
-    if not x:
+        pads = np.full(2, classes["<>"], np.int32)
+        flat += [pads, cls]
+        truth += [np.zeros(2, np.int64), labels]
+        met.append((np.array(lexicon.root_of, np.int32)[ids] if len(ids) else np.zeros(0, np.int32), TYPE[labels]))
+        # stretches of many seeds (lists, coded data) would make long chains, and teach little
+        near += [(at + 2 + a, b - a) for a, b in zones(np.flatnonzero(seed[cls]), len(cls)) if b - a <= 150]
+        far += [(at + 2 + a, min(24, len(cls) - a)) for a in range(0, len(cls), 24)]
+        at += len(cls) + 2
+    chosen = near[:: max(1, -(-len(near) // most))] + far[:: max(1, -(-len(far) // plain))]
+    if not chosen:
         return model
-    params = [model.w, model.trans, model.first]
+    flat, y = np.concatenate([*flat, np.full(2, classes["<>"], np.int32)]), np.concatenate(truth)
+    # no stretch begins or ends inside an entity
+    inside = np.append((y > 0) & (y % 2 == 0), False)
+    chosen = [(a, n) for a, n in chosen if n and not inside[a] and not inside[a + n]]
+    packs = [(idx, real) for idx, real, _ in packs_of(*np.array(chosen).T, 6_000)]
+    params = [model.w, model.trans]
     moment = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
-    packs = []
-    for ids in batches_of([len(r) for r in x]):
-        px, lengths = padded([x[i] for i in ids])
-        py, _ = padded([y[i] for i in ids])
-        packs.append((px, py, lengths, np.arange(px.shape[1])[None] < lengths[:, None]))
-    total = sum(len(r) for r in x)
-    for it in range(1, rounds + 1):
+    order = np.random.default_rng(7)
+    steps = rounds * len(packs)
+    for it in range(1, steps + 1):
+        if it % len(packs) == 1 % len(packs):
+            turn = order.permutation(len(packs))
+        idx, real = packs[turn[(it - 1) % len(packs)]]
+        total = int(real.sum())
         grads = [decay * total * p for p in params]
-        e_trans = np.exp(model.trans + ALLOWED)
-        for px, py, lengths, mask in packs:
-            emit = sum(model.w[k][px[..., k]] for k in range(5))
-            f, g, z = marginals(emit, lengths, model)
-            p = np.exp(np.where(mask[..., None], f + g - z[:, None, None], -1e9))
-            diff = p.copy()
-            np.subtract.at(diff, (*np.nonzero(mask), py[mask]), 1.0)
-            flat = diff[mask]
-            for k in range(5):
-                at = px[..., k][mask]
-                for lab in range(N):
-                    grads[0][k, :, lab] += np.bincount(at, flat[:, lab], c)
-            grads[2] += diff[:, 0].sum(0)
-            pair = np.zeros((N, N))
-            for i in range(1, px.shape[1]):
-                live = mask[:, i]
-                if not live.any():
-                    break
-                x1, x2 = f[live, i - 1], emit[live, i] + g[live, i]
-                m1, m2 = x1.max(1, keepdims=True), x2.max(1, keepdims=True)
-                scale = np.exp(np.minimum(m1 + m2 - z[live, None], 300.0))
-                pair += ((np.exp(x1 - m1) * scale).T @ np.exp(x2 - m2)) * e_trans
-                np.subtract.at(pair, (py[live, i - 1], py[live, i]), 1.0)
-            grads[1] += pair
+        trans = model.trans + ALLOWED
+        emit = sum(model.w[k][flat[idx + k - 2]] for k in range(5))
+        f, g, z = forward_backward(emit, real, trans)
+        p = np.exp(f + g - z[:, None])
+        chain = np.arange(idx.shape[1])
+        diff = p[real]
+        diff[np.arange(len(diff)), y[idx[real]]] -= 1.0
+        for k in range(5):
+            cls = flat[idx[real] + k - 2]
+            grads[0][k] += np.bincount((cls[:, None] * N + np.arange(N)).ravel(), diff.ravel(), c * N).reshape(c, N)
+        ends = real.sum(0) - 1
+        grads[1][0] += p[0].sum(0)
+        np.subtract.at(grads[1][0], y[idx[0]], 1.0)
+        grads[1][:, 0] += p[ends, chain].sum(0)
+        np.subtract.at(grads[1][:, 0], y[idx[ends, chain]], 1.0)
+        # neighbours inside the chains, all at once
+        on = real[1:]
+        x1, x2 = f[:-1][on], (emit + g)[1:][on]
+        m1, m2 = x1.max(1, keepdims=True), x2.max(1, keepdims=True)
+        scale = np.exp(np.minimum(m1 + m2 - np.broadcast_to(z, on.shape)[on][:, None], 300.0))
+        grads[1] += ((np.exp(x1 - m1) * scale).T @ np.exp(x2 - m2)) * np.exp(trans)
+        np.subtract.at(grads[1], (y[idx[:-1][on]], y[idx[1:][on]]), 1.0)
         for p, gr, m, s in zip(params, grads, moment, second):
             gr /= total
             m += 0.1 * (gr - m)
             s += 0.01 * (gr * gr - s)
-            p -= rate * (m / (1 - 0.9**it)) / (np.sqrt(s / (1 - 0.99**it)) + 1e-8)
+            p -= rate * (1.1 - it / steps) * (m / (1 - 0.9**it)) / (np.sqrt(s / (1 - 0.99**it)) + 1e-8)
+    model.skip = skip_weight(met)
     return model
 
 
+def skip_weight(met: list[tuple[np.ndarray, np.ndarray]]) -> float:
+    """The potential of a skip edge: half the log odds ratio of neighbours among the like tokens of a text being of one kind, in the sample.
+
+    That is its maximum likelihood in a model of pairs; one is added to each count. Cues name
+    fewer places than there are, so it errs to the low side.
+    """
+    same, none, apart = 1.0, 1.0, 1.0
+    for roots, kinds in met:
+        on = np.flatnonzero(roots >= 0)
+        on = on[np.argsort(roots[on], kind="stable")]
+        a, b = kinds[on[:-1]], kinds[on[1:]]
+        pair = roots[on[:-1]] == roots[on[1:]]
+        same += np.count_nonzero(pair & (a == b) & (a > 0))
+        none += np.count_nonzero(pair & (a == b) & (a == 0))
+        apart += np.count_nonzero(pair & (a != b))
+    return float(np.clip(0.5 * np.log(same * none / (apart / 2) ** 2), 0.0, 4.0))
+
+
 class Finder:
     """Finds entities in batches of texts."""
 
     def __init__(self, model: Model):
         one_thread()
-        self.model, self.number = model, Classes(model.classes)
+        self.model, self.lexicon = model, Lexicon(model.classes)
+        self.trans = (model.trans + ALLOWED).astype(np.float32)
+        self.w = model.w.astype(np.float32)
+        # each offset's greatest gain of any label over none
+        self.gain = (self.w[:, :, 1:].max(2) - self.w[:, :, 0]).astype(np.float32)
+        # what a run of entities can gain by its transitions: by going on, and by its two ends together
+        t = self.trans - self.trans[0, 0]
+        self.onward = float(t[1:, 1:].max())
+        self.ends = float(t[0, 1:].max() + t[1:, 0].max()) - self.onward
+
+    def open_places(self, cls: np.ndarray, slack: float = 1.0) -> np.ndarray:
+        """The places of ``cls`` that may hold an entity.
+
+        In the best labels every run of entities scores more than none would at its places.
+        A place is closed if no run over it can, even if each of its tokens had the label that
+        gains most: the best labels of the whole chain have none there. Tested first
+        by a bound of one number a class, then by the scores.
+        """
+        n = len(cls) - 4
+        gain = self.gain[0][cls[:n]].astype(np.float64)
+        for k in range(1, 5):
+            gain += self.gain[k][cls[k : n + k]]
+        pad = cls[2:-2] == self.model.classes["<>"]
+        gain[pad] = -1e6
+        at = np.flatnonzero(self.best_run(gain) > -slack) + 2
+        score = self.emission(cls, at)
+        exact = np.full(n, -1e6)
+        exact[at - 2] = score[:, 1:].max(1) - score[:, 0]
+        return np.flatnonzero(self.best_run(exact) > -slack) + 2
+
+    def best_run(self, gain: np.ndarray) -> np.ndarray:
+        """For each place the most that a run over it can gain."""
+        gain = gain + self.onward
+        total = np.append(0.0, np.cumsum(gain))
+        left = np.minimum.accumulate(total)[:-1]
+        right = np.maximum.accumulate(total[::-1])[::-1][1:]
+        return right - left + self.ends
+
+    def emission(self, cls: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The label scores of the places ``at``, from the classes two before to two behind."""
+        out = self.w[0][cls[at - 2]]
+        for k in range(1, 5):
+            out += self.w[k][cls[at + k - 2]]
+        return out
+
+    def beliefs(self, score: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The marginals over kinds of all places of the chains ``begin``, ``length``; elsewhere none."""
+        out = np.zeros((len(score), len(KINDS) + 1), np.float32)
+        out[:, 0] = 1.0
+        for idx, real, _ in packs_of(begin, length):
+            f, g, z = forward_backward(score[idx], real, self.trans)
+            out[idx[real]] = (np.exp(f + g - z[:, None]) @ KIND_OF)[real]
+        return out
+
+    def decode(self, cls: np.ndarray, roots: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in order and their labels, for the texts of a batch set one behind the other with two pads between."""
+        at = self.open_places(cls)
+        if not len(at):
+            return at, np.zeros(0, np.int8)
+        score, (begin, length) = self.emission(cls, at), runs(at)
+        # the groups of alike tokens of a text
+        on = np.flatnonzero(roots >= 0)
+        key = text_of[on].astype(np.int64) * (int(roots.max()) + 1) + roots[on]
+        order = np.argsort(key, kind="stable")
+        on, key = on[order], key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(key)))
+        many = np.repeat(size > 1, size)
+        on, size = on[many], size[size > 1]
+        heard = np.zeros((len(at), len(KINDS) + 1), np.float32)
+        if len(on):
+            start = np.cumsum(size) - size
+            belief = self.beliefs(score, *touched(at, on, begin, length))
+            mine = np.full((len(on), len(KINDS) + 1), [1.0, *[0.0] * len(KINDS)], np.float32)
+            here, found = where_of(at, on)
+            mine[found] = belief[here[found]]
+            # places that hear of an entity are open, too, with those around them
+            told = np.repeat(np.add.reduceat(1 - mine[:, 0], start) > 0.02, size)
+            more = np.unique((on[told & ~found][:, None] + np.arange(-6, 7)).ravel())
+            more = more[(more >= 0) & (more < len(cls))]
+            more = more[text_of[more] >= 0]
+            if len(more):
+                at = np.union1d(at, more)
+                score, (begin, length) = self.emission(cls, at), runs(at)
+                heard = np.zeros((len(at), len(KINDS) + 1), np.float32)
+                here, found = where_of(at, on)
+            on, here, found = on[told], here[told], found[told]
+            mine, size = mine[told], size[np.add.reduceat(told, start) > 0] if len(told) else size
+            start = np.cumsum(size) - size
+            chains = touched(at, on, begin, length)
+            for again in range(2):
+                if not len(on):
+                    break
+                if again:
+                    # what a place told is what it believes without what it was told
+                    belief = self.beliefs(score + heard[:, TYPE], *chains)[here] * np.exp(-heard[here])
+                    mine = belief / belief.sum(1, keepdims=True)
+                says = np.log1p((np.exp(np.float32(self.model.skip)) - 1) * mine)
+                says[:, 0] = 0.0
+                rest = np.repeat(np.add.reduceat(says, start), size, axis=0) - says
+                heard[here] = rest / np.sqrt(np.repeat(size - 1, size))[:, None]
+        label = np.zeros(len(at), np.int8)
+        score = score + heard[:, TYPE]
+        for idx, real, _ in packs_of(begin, length):
+            label[idx[real]] = best_labels(score[idx], real, self.trans)[real]
+        return at, label
 
     def labels(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """The spans of each text: chains first, then messages along skip edges, then the best labels."""
-        model, number = self.model, self.number
-        rows: list[np.ndarray] = []
-        owner: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-        alike: dict[tuple[int, str], list[tuple[int, int]]] = defaultdict(list)
-        for d, text in enumerate(texts):
-            found = TOKEN.findall(text)
-            cls = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
-            if not len(cls):
-                continue
-            _, starts, ends = tokens_of(text)
-            # what the sample held tells the weights, not where to look: whole texts are decoded
-            for (a, b), w in zip(places := [(0, len(cls))], windows(cls, places, model.classes["<>"])):
-                z = len(rows)
-                rows.append(w)
-                owner.append((d, a, starts[a:b], ends[a:b]))
-                for i in range(a, b):
-                    t = found[i]
-                    if len(t) > 3 and t[0].isupper():
-                        alike[d, re.sub(BREAK, "", t).lower()].append((z, i - a))
-        extra: dict[int, np.ndarray] = {}
-        edges = [v for v in alike.values() if len(v) > 1]
-        emits: dict[int, np.ndarray] = {}
-        labels: dict[int, np.ndarray] = {}
-        sizes = [len(r) for r in rows]
-        touched = {z for v in edges for z, _ in v}
-        beliefs: dict[int, np.ndarray] = {}
-        for ids in batches_of(sizes, 40_000):
-            px, lengths = padded([rows[i] for i in ids])
-            emit = sum(model.w[k][px[..., k]] for k in range(5))
-            for j, i in enumerate(ids):
-                emits[i] = emit[j, : lengths[j]]
-            for i, lab in zip(ids, viterbi(emit, lengths, model)):
-                labels[i] = lab
-        for _ in range(2):
-            if not touched:
-                break
-            again = sorted(touched)
-            for ids in batches_of([sizes[i] for i in again], 40_000):
-                chosen = [again[i] for i in ids]
-                emit, lengths = padded([emits[i] + extra.get(i, 0.0) for i in chosen])
-                f, g, z = marginals(emit, lengths, model)
-                for j, i in enumerate(chosen):
-                    beliefs[i] = np.exp(f[j, : lengths[j]] + g[j, : lengths[j]] - z[j])
-            extra = {i: np.zeros((sizes[i], N)) for i in again}
-            for group in edges:
-                # beliefs as to the kind of entity; each place hears all others
-                kinds = np.stack([np.bincount(TYPE, beliefs[z][i], len(KINDS) + 1) for z, i in group])
-                says = np.log1p((np.exp(model.skip) - 1) * kinds)
-                rest = (says.sum(0) - says) / max(1, len(group) - 1) ** 0.5
-                for (z, i), r in zip(group, rest):
-                    # to be none is what most tokens are: it isn't news, and isn't passed on in full
-                    r = r - 0.7 * r[0] * np.eye(len(r))[0]
-                    extra[z][i] += r[TYPE]
-        if touched:
-            again = sorted(touched)
-            for ids in batches_of([sizes[i] for i in again], 40_000):
-                chosen = [again[i] for i in ids]
-                emit, lengths = padded([emits[i] + extra[i] for i in chosen])
-                for i, lab in zip(chosen, viterbi(emit, lengths, model)):
-                    labels[i] = lab
+        lexicon, pad = self.lexicon, self.model.classes["<>"]
+        if len(lexicon) > lexicon.limit:
+            lexicon.forget()
+        split = [SPLIT.split(t) for t in texts]
+        numbers = [lexicon.numbers(p[1::2]) for p in split]
+        sizes = np.array([len(n) for n in numbers], np.int64)
+        offset = np.cumsum(sizes + 2) - sizes
+        total = int(sizes.sum()) + 2 * len(texts) + 2
+        text_of = np.full(total, -1, np.int32)
+        flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
+        where = np.arange(len(flat)) + 2 * (np.repeat(np.arange(len(texts)), sizes) + 1)
+        cls, roots = np.full(total, pad, np.int32), np.full(total, -1, np.int32)
+        cls[where], roots[where] = np.array(lexicon.class_of, np.int32)[flat], np.array(lexicon.root_of, np.int32)[flat]
+        text_of[where] = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+        at, label = self.decode(cls, roots, text_of)
+        at, label = at[label > 0], label[label > 0].astype(np.int64)
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        for z, (d, _, starts, ends) in enumerate(owner):
-            lab = labels[z]
-            i = 0
-            while i < len(lab):
-                if lab[i]:
-                    j = i + 1
-                    while j < len(lab) and lab[j] and LABELS[lab[j]].startswith("I") and TYPE[lab[j]] == TYPE[lab[i]]:
-                        j += 1
-                    out[d].append((int(starts[i]), int(ends[j - 1]), KINDS[TYPE[lab[i]] - 1]))
-                    i = j
-                else:
-                    i += 1
+        if not len(at):
+            return out
+        opens = np.append(True, (at[1:] != at[:-1] + 1) | (label[1:] % 2 == 1))
+        first = np.flatnonzero(opens)
+        last = np.append(first[1:], len(at)) - 1
+        place: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for d, i, j, k in zip(text_of[at[first]].tolist(), at[first].tolist(), at[last].tolist(), label[first].tolist()):
+            if d not in place:
+                place[d] = placed(split[d])[1:]
+            starts, ends = place[d]
+            out[d].append((int(starts[i - offset[d]]), int(ends[j - offset[d]]), KINDS[TYPE[k] - 1]))
         return [checked(t, spans) for t, spans in zip(texts, out)]
 
 
+def runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of adjoining places begin in ``at``, and how long they are."""
+    begin = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1))
+    return begin, np.diff(np.append(begin, len(at)))
+
+
+def where_of(at: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The index of each place in ``at``, and whether it is there."""
+    i = np.minimum(np.searchsorted(at, places), len(at) - 1)
+    return i, at[i] == places
+
+
+def touched(at: np.ndarray, places: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chains that hold one of the places."""
+    i, found = where_of(at, places)
+    ids = np.unique(np.searchsorted(begin, i[found], "right") - 1)
+    return begin[ids], length[ids]
+
+
 EXACT = {"email": EMAIL, "phone": PHONE, "id_number": ID, "address": ADDRESS}
 
 
@@ -445,16 +570,14 @@ def checked(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int
             x, y = trim_name(text, a, b)
             ok = x < y
         else:
-            best = None
+            # the whole notation that shares most with the span
+            best = 0
             for m in EXACT[kind].finditer(text, max(0, a - 60)):
                 if m.start() >= b:
                     break
-                if m.end() > a:
-                    best = m
-                    break
-            ok = best is not None
-            if best:
-                x, y = best.span()
+                if (shared := min(b, m.end()) - max(a, m.start())) > best:
+                    best, (x, y) = shared, m.span()
+            ok = best > 0
         if ok and not overlaps(out, x, y):
             out.append((x, y, kind))
     return sorted(out)
@@ -470,17 +593,21 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def sample_texts(texts: DataFrame, size: int) -> list[str]:
-    """``size`` texts (of up to 6,000 characters) in order of a hash of their ids."""
-    rows = texts.where("_t is not null and length(_t) between 30 and 6000").select("_t", F.xxhash64("_id", F.lit(3)).alias("_h"))
-    return [r["_t"] for r in rows.orderBy("_h", "_t").limit(size).collect()]
+    """About ``size`` texts (of 30 to 6,000 characters), those with the lowest hashes of their ids; no more comes to the driver.
+
+    The bound of the hashes is set by counting the texts.
+    """
+    rows = texts.where("length(_t) between 30 and 6000").select("_t", F.xxhash64("_id", F.lit(3)).alias("_h"))
+    bound = int(-(2**63) + 2**64 * min(1.0, size / max(1, rows.count())))
+    return [r["_t"] for r in rows.where(F.col("_h") < F.lit(min(bound, 2**63 - 1))).orderBy("_h", "_t").collect()]
 
 
 def _run(model: Model, masked: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(model)
         for pdf in batches:
-            for at in range(0, len(pdf), 400):
-                part = pdf.iloc[at : at + 400]
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
                 texts = [t if isinstance(t, str) else "" for t in part["_t"]]
                 found = finder.labels(texts)
                 if masked:

@@ -407,11 +407,39 @@ def test_scan_repaired_over_pages(spark):
     assert ocr.page_paragraphs([["It ends."], ["", "A second runs over"], [], ["the page and goes on"]]) == [(0, "It ends."), (1, "A second runs over the page and goes on")]
 
 
+def test_closed_places_hold_nothing(finder):
+    """What the bound closes is none in the best labels of the whole chain."""
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    classes = {pii.UNSEEN: 0, "<>": 1, **{f"c{i}": i for i in range(2, 40)}}
+    for scale in (0.5, 1.5, 4.0):
+        w = rnd.normal(0, scale, (5, 40, pii.N))
+        w[..., 0] += 0.8 * scale
+        f = pii.Finder(pii.Model(classes, np.zeros(40, bool), w, rnd.normal(0, 1, (pii.N, pii.N)), 0.0))
+        cls = np.concatenate([[1, 1], rnd.integers(2, 40, 3000), [1, 1]]).astype(np.int32)
+        every = np.arange(2, len(cls) - 2)
+        whole = pii.best_labels(f.emission(cls, every)[:, None, :], np.ones((len(every), 1), bool), f.trans)[:, 0]
+        at, label = f.decode(cls, np.full(len(cls), -1), np.where(cls == 1, -1, 0))
+        got = np.zeros(len(cls), np.int8)
+        got[at] = label
+        assert (got[2:-2] == whole).all() and len(at) < len(cls)
+    texts = synthetic(60, 8)
+    assert [finder.labels([t])[0] for t in texts] == finder.labels(texts) == finder.labels(texts[::-1])[::-1]
+
+
+def test_pii_like_tokens_share_a_root():
+    lexicon = pii.Lexicon({pii.UNSEEN: 0})
+    n = lexicon.numbers(["Vimopunvi", "VIMOPUNVI", "Vimo-\npunvi", "Virnopunvi", "Vim0punvi", "Vimoppunvi", "vimopunvi", "Vimopunvo"]).tolist()
+    roots = [lexicon.root_of[i] for i in n]
+    assert len(set(roots[:6])) == 1 and roots[6] == -1 and roots[7] != roots[0]
+
+
 def test_unseen_shapes_are_decoded():
     import numpy as np
 
     classes = {pii.UNSEEN: 0, "<>": 1, "w:phone:x": 2}
-    model = pii.Model(classes, np.zeros(3, bool), np.zeros((5, 3, pii.N)), np.zeros((pii.N, pii.N)), np.zeros(pii.N))
+    model = pii.Model(classes, np.zeros(3, bool), np.zeros((5, 3, pii.N)), np.zeros((pii.N, pii.N)))
     model.w[2, :, 0] = 3.0
     model.w[1, 2, pii.LABELS.index("B-phone")] = 9.0
     text = "call on the phone 98765-43210 then"
