@@ -1,10 +1,13 @@
 """Linking of the spellings of one person's or body's name.
 
-Candidates come from a symmetric-delete index: each rare token of a name is indexed
-under itself, its sound, and either with one letter left out, together with the first letter
-of another token of the name; names that share an entry are compared. Tokens common to
-many names (given names, forms of business) never open an entry, so an entry holds the
-spellings of few names, whatever the corpus.
+Candidates come from a symmetric-delete index over pairs of tokens: a person's name has an
+entry for each way to leave a letter out of the family name, combined with each way to leave
+one out of the given name (in either order; sounds spelled alike are one more way), so names
+share an entry only if both tokens are a slip apart at most. Initials and short forms
+stand in entries of their own, where they meet full names, but full names don't meet each
+other. A body has entries by each rarer word less a letter, its count of words and the initials
+of the others. Only 64-bit numbers travel. No entry grows with the names of one family,
+or with those that share a common token alone.
 
 A comparison aligns the tokens of both names by optimal assignment, with one slip
 (insertion, omission, exchange or swap) per token, initials, short forms and written-out
@@ -16,19 +19,24 @@ to a single other component; a spelling that fits two different persons stays ap
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, spread
 
 #: How names abbreviate words of bodies (fixed values).
-ABBREVIATIONS = {"pvt": "private", "p": "private", "ltd": "limited", "corpn": "corporation", "corp": "corporation", "assn": "association", "engg": "engineering", "mfg": "manufacturing", "edu": "educational", "labs": "laboratories", "co": "company", "devp": "developers", "dev": "development", "indl": "industrial", "govt": "government", "coop": "cooperative", "intl": "international", "soc": "society", "bros": "brothers", "ents": "enterprises", "inds": "industries", "fin": "finance", "chem": "chemicals", "fert": "fertilisers", "entps": "enterprises", "co-op": "cooperative", "constr": "construction", "const": "construction", "transp": "transport", "intnl": "international", "muncipal": "municipal", "devlopment": "development"}
+ABBREVIATIONS = {"pvt": "private", "p": "private", "ltd": "limited", "corpn": "corporation", "corp": "corporation", "assn": "association", "engg": "engineering", "mfg": "manufacturing", "edu": "educational", "labs": "laboratories", "co": "company", "devp": "developers", "dev": "development", "indl": "industrial", "govt": "government", "coop": "cooperative", "intl": "international", "soc": "society", "bros": "brothers", "ents": "enterprises", "inds": "industries", "fin": "finance", "chem": "chemicals", "fert": "fertilisers", "entps": "enterprises", "co-op": "cooperative", "constr": "construction", "const": "construction", "transp": "transport", "intnl": "international"}
+#: Abbreviations of several words, and what stands for a body beside its name (fixed values).
+SPELT_OUT = {"idc": ("industrial", "development", "corporation")}
+OFFICES = {"municipal": {"commissioner"}}
 LEGAL = {"private", "limited", "llp", "association"}
 PUBLIC = {"state": "government", "union": "government", "government": "government"}
 BODY = LEGAL | {"construction", "cooperative", "government", "corporation", "company", "bank", "mills", "trust", "works", "enterprises", "industries", "factory", "foods", "society", "exports", "laboratories", "developers", "fertilisers", "manufacturing", "resorts", "leasing", "transmission", "brothers", "industrial", "municipal", "board", "authority", "university", "department", "council", "institute", "mining", "cement", "pharma", "steel", "textile", "sugar", "agro"}
@@ -85,6 +93,10 @@ class Parser:
 
     def __init__(self, common: frozenset[str], nicknames: dict[str, frozenset[str]]):
         self.common, self.nicknames = common, nicknames
+        self.shorts: dict[str, set[str]] = {}
+        for s, full in nicknames.items():
+            for f in full:
+                self.shorts.setdefault(f, set()).add(s)
         by_length: dict[int, list[str]] = {}
         for c in common:
             by_length.setdefault(len(c), []).append(c)
@@ -108,9 +120,9 @@ class Parser:
     def _parse(self, name: str, guess: bool = True) -> Name:
         tokens = tokens_of(name)
         if any(map(of_body, tokens)) or re.match(r"\s*(?:m/s|messrs)\b", name, re.I):
-            words = [w for t in tokens for w in (("industrial", "development", "corporation") if t == "idc" else (PUBLIC.get(t, t),)) if w not in FILLERS]
-            if "municipal" in words:
-                words = [w for w in words if w not in ("commissioner",)]
+            words = [w for t in tokens for w in SPELT_OUT.get(t, (PUBLIC.get(t, t),)) if w not in FILLERS]
+            aside = {o for w in words for o in OFFICES.get(w, ())}
+            words = [w for w in words if w not in aside]
             legal = []
             while len(words) > 1 and words[-1] in LEGAL:
                 legal.insert(0, words.pop())
@@ -187,14 +199,12 @@ class Parser:
                 if level < 2:
                     level, side = 2, int(len(mb) < len(ma))
             else:
-                for x, y in zip(ma, mb):
-                    if near(x, y) < 2:
-                        continue
-                    if (len(x) == 1 or len(y) == 1) and x[0] == y[0]:
-                        if level < 1:
-                            level, side = 1, int(len(y) == 1)
-                    else:
-                        return None
+                pairs = align(ma, mb)
+                if pairs is None:
+                    return None
+                first = next((y for x, y in pairs if near(x, y) > 1), None)
+                if first is not None and level < 1:
+                    level, side = 1, int(len(first) == 1)
         return (level, side)
 
 
@@ -225,9 +235,88 @@ def assign(a: tuple[str, ...], b: tuple[str, ...]) -> int | None:
     return best[0] if best[0] is not None and best[0] <= 2 else None
 
 
+def align(a: tuple[str, ...], b: tuple[str, ...]) -> list[tuple[str, str]] | None:
+    """The cheapest one-to-one alignment of two persons' middle names, in any order, initials permitted; None if there is none."""
+    if len(a) == 1:
+        options = [[(0, 0)] if near(a[0], b[0]) < 2 or 1 in (len(a[0]), len(b[0])) and a[0][0] == b[0][0] else []]
+    else:
+        options = [sorted((near(x, y), j) for j, y in enumerate(b) if near(x, y) < 2 or 1 in (len(x), len(y)) and x[0] == y[0]) for x in a]
+    best: list = [None, None]
+
+    def go(i: int, used: int, cost: int, chosen: tuple[int, ...]) -> None:
+        if best[0] is not None and cost >= best[0]:
+            return
+        if i == len(a):
+            best[:] = [cost, chosen]
+            return
+        for s, j in options[i]:
+            if not used >> j & 1:
+                go(i + 1, used | 1 << j, cost + s, (*chosen, j))
+
+    go(0, 0, 0, ())
+    return None if best[1] is None else [(x, b[j]) for x, j in zip(a, best[1])]
+
+
+@lru_cache(maxsize=200_000)
 def of_body(token: str) -> bool:
-    """Whether a token is a word of bodies, abbreviated or not."""
-    return token in BODY or token in PUBLIC or token == "idc" or len(token) > 1 and ABBREVIATIONS.get(token) in BODY
+    """Whether a token is a word of bodies, abbreviated or not, or a slip away from a long one."""
+    if token in BODY or token in PUBLIC or token in SPELT_OUT or len(token) > 1 and ABBREVIATIONS.get(token) in BODY:
+        return True
+    return len(token) > 7 and any(len(w) > 7 and near(w, token) < 2 for w in BODY)
+
+
+MASK = (1 << 64) - 1
+
+
+@lru_cache(maxsize=400_000)
+def number(s: str) -> int:
+    """A 64-bit number of a string, the same in every process."""
+    return int.from_bytes(hashlib.blake2b(s.encode("utf8", "replace"), digest_size=8).digest(), "big")
+
+
+@lru_cache(maxsize=200_000)
+def slips(token: str) -> np.ndarray:
+    """The numbers of a token, of its sound, and of what is left of it without one letter."""
+    ways = {token, sound(token), *(token[:i] + token[i + 1 :] for i in range(len(token)) if len(token) > 3)}
+    return np.array(sorted(number(w) for w in ways), np.uint64)
+
+
+#: What meets in an entry: all its names; a short form with other short forms and with full ones.
+ALL, SHORT, FULL = 0, 1, 2
+
+
+def entries_of(parser: Parser, name: str) -> dict[int, set[int]]:
+    """The index entries of a name by their part: numbers of 64 bits."""
+    out: dict[int, set[int]] = {ALL: set(), SHORT: set(), FULL: set()}
+    p = parser.parse(name)
+    if p.body:
+        words = p.words
+        for r in [w for w in words if len(w) >= 4 and w not in parser.common and w not in BODY] or words:
+            rest = list(words)
+            rest.remove(r)
+            sign = number(f"b{len(words)}{''.join(sorted(w[0] for w in rest))}")
+            out[ALL].update(((slips(r) + np.uint64(sign)) & np.uint64(MASK)).tolist())
+        return out
+    for q in {p, parser.plain(name)}:
+        family, given = q.family, q.given
+        if not given or not family:
+            out[ALL].add(number(f"1{family or given}"))
+            continue
+        ways = slips(family)
+        for g in {given, q.alias, given + "".join(q.middle)} - {""}:
+            if len(g) > 1:
+                # a sum: the order of the two tokens doesn't matter
+                out[ALL].update(np.add.outer(ways, slips(g)).ravel().tolist())
+                out[FULL].update((ways ^ np.uint64(number(f"i{g[0]}"))).tolist())
+        if len(given) == 1:
+            out[SHORT].update((ways ^ np.uint64(number(f"i{given}"))).tolist())
+            continue
+        stem = re.sub(r"(.)\1$", r"\1", given[:-1]) if given[-1] in "uiya" else given
+        longer = {given[:k] for k in range(3, len(given))} | parser.shorts.get(given, set())
+        for part, forms in ((SHORT, [x for x in {given, stem} if len(x) > 2]), (FULL, longer)):
+            for x in forms:
+                out[part].update((ways ^ np.uint64(number(f"p{x}"))).tolist())
+    return out
 
 
 def tokens_of(name: str) -> list[str]:
@@ -284,7 +373,6 @@ def name_links(names: DataFrame, nicknames: DataFrame, *, common_share: float =
     a name of them, which is what travels to the executors. Null and blank names have no
     row; an empty table gives none.
     """
-    spark = names.sparkSession
     names = materialise(names.select("name").where("trim(name) <> ''").distinct())
     total = names.count()
 
@@ -302,25 +390,21 @@ def name_links(names: DataFrame, nicknames: DataFrame, *, common_share: float =
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parser = Parser(common, table)
         for pdf in batches:
-            out = []
-            for n in pdf["name"]:
-                p = parser.parse(n)
-                words = list(p.words) if p.body else [w for w in (p.family, p.given, *p.middle) if w]
-                # of a person every token, common ones too, with the initial of each other one: initials and short forms share no rarer token
-                roots = [w for w in words if (len(w) >= 4 and w not in common if p.body else len(w) > 1) and w not in BODY] or words
-                keys = set()
-                for r in roots:
-                    rest = {w[0] for i, w in enumerate(words) if w != r} or {""}
-                    if p.body:
-                        rest = {min(rest), max(rest)}
-                    for k in {v for w in {r, sound(r)} for v in (w, *(w[:i] + w[i + 1 :] for i in range(len(w)) if len(w) >= 4))}:
-                        keys |= {f"{'b' if p.body else 'p'} {k} {c}" for c in rest}
-                out += [(n, k) for k in keys]
-            yield pd.DataFrame(out, columns=["name", "key"])
-
-    entries = names.mapInPandas(index, "name string, key string").select("name", F.xxhash64("key").alias("key"))
-    other = entries.select(F.col("name").alias("other"), "key")
-    pairs = entries.join(other, "key").where("name < other").select("name", "other").distinct()
+            ids, keys, parts = [], [], []
+            for i, n in zip(pdf["id"].tolist(), pdf["name"]):
+                for part, found in entries_of(parser, n).items():
+                    ids += [i] * len(found)
+                    keys += found
+                    parts += [part] * len(found)
+            yield pd.DataFrame({"id": np.array(ids, np.int64), "key": np.array(keys, np.uint64).view(np.int64), "part": np.array(parts, np.int8)})
+
+    entries = spread(names.select(F.xxhash64("name").alias("id"), "name")).mapInPandas(index, "id bigint, key bigint, part tinyint")
+    shared = materialise(entries)
+    other = shared.select(F.col("id").alias("other"), "key", F.col("part").alias("part2"))
+    met = shared.where(F.col("part") != FULL).join(other, "key").where(F.when(F.col("part") == ALL, (F.col("part2") == ALL) & (F.col("id") < F.col("other"))).otherwise((F.col("part2") != ALL) & (F.col("id") != F.col("other"))))
+    pairs = met.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
+    spelt = names.select(F.xxhash64("name").alias("id"), "name")
+    pairs = pairs.join(spelt, "id").join(spelt.select(F.col("id").alias("other"), F.col("name").alias("name2")), "other").select("name", F.col("name2").alias("other"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parser = Parser(common, table)

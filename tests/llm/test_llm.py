@@ -446,6 +446,33 @@ def test_unseen_shapes_are_decoded():
     assert [(k, text[a:b]) for a, b, k in pii.Finder(model).labels([text, "", "nothing here"])[0]] == [("phone", "98765-43210")]
 
 
+@pytest.mark.parametrize(
+    "a,b,want",
+    [
+        ("Anita Rekha Devi Bhattacharjee", "Anita Devi Rekha Bhattacharjee", (0, 0)),  # parts in another order
+        ("Anita R. D. Bhattacharjee", "Anita Devi Rekha Bhattacharjee", (1, 0)),  # initials in another order
+        ("Zxq Developmentt Corporaton", "Zxq Development Corporation", (0, 0)),  # a body though no word of bodies is spelled right
+        ("Muncipal Council Zxqland", "Municipal Council Zxqland", (0, 0)),
+        ("Sharma Zubin", "Zubin Sharma", (0, 0)),
+        ("Anita Rekha Bhattacharjee", "Anita Sunita Bhattacharjee", None),
+    ],
+)
+def test_name_alignment(a, b, want):
+    parser = names.Parser(frozenset(), {})
+    assert parser.match(a, b) == want
+    x, y = names.entries_of(parser, a), names.entries_of(parser, b)
+    met = x[names.ALL] & y[names.ALL] or x[names.SHORT] & (y[names.SHORT] | y[names.FULL]) or y[names.SHORT] & x[names.FULL]
+    assert bool(met) or want is None
+
+
+def test_entries_do_not_grow_with_a_family():
+    """Full names of one family share no entry unless the given names are alike, too."""
+    parser = names.Parser(frozenset({"sharma"}), {})
+    given = ["Zubin", "Farhad", "Kavita", "Omkar", "Lalit", "Neha"]
+    found = [names.entries_of(parser, f"{g} Sharma") for g in given]
+    assert all(not a[names.ALL] & b[names.ALL] for i, a in enumerate(found) for b in found[:i])
+
+
 def test_common_family_name(spark):
     rows = [(n,) for n in ["Zubin Sharma", "Z. Sharma", *(f"{a}{b} Sharma" for a in ("Qor", "Wem", "Hul", "Jax") for b in ("vano", "lipi", "tesk", "nudo"))]]
     nick = spark.createDataFrame([], "short_name string, full_name string")
