@@ -25,14 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grouped import per_group
-from ..session import spread
+from ..session import materialise, spread
 
 #: What a scanner reads, and what stood there.
 CONFUSIONS = [("c", "e"), ("f", "t"), ("!", "i"), ("!", "l"), ("l", "i"), ("cl", "d"), ("ä", "a"), ("á", "a"), ("à", "a"), ("0", "o"), ("5", "s"), ("1", "l"), ("1", "i"), ("ii", "u"), ("q", "g"), ("b", "h"), ("rn", "m"), ("vv", "w"), ("6", "b"), ("h", "li"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("8", "b"), ("9", "g"), ("|", "l")]
 MARKS = "-¬‐\xad‑"
 DATE = re.compile(r"(?:\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{4}-\d{1,2}-\d{1,2})")
-MONTH = r"(?:January|February|March|April|May|June|July|August|September|October|November|December)"
-NEAR_DATE = re.compile(rf"(?:(?<![\w./-])([\dOoIl!SB]{{1,2}}) {MONTH}\b)|(?:\b{MONTH} ([\dOoIl!SB]{{1,2}}),? [\dOoIl!SB]{{4}})|(?:\b{MONTH},? (?:\d{{1,2}}, )?([\dOoIl!SB]{{4}})(?!\w))")
+MONTHS = {"January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"}
+#: What may be a day or a year with letters for digits, next to a month.
+DAY_OR_YEAR = re.compile(r"(?=.*\d)(?=.*[OoIl!SB])(?:[\dOoIl!SB]{1,2}|[\dOoIl!SB]{4})")
 TO_DIGIT = str.maketrans({"O": "0", "o": "0", "Q": "0", "I": "1", "l": "1", "!": "1", "|": "1", "i": "1", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2", "b": "6", "q": "9", "g": "9"})
 WORD = re.compile(r"[a-z]+(?:-[a-z]+)*")
 LINE_END = re.compile(rf"(?<=\w)[{MARKS}][ \t]*\n")
@@ -52,9 +53,26 @@ def roman(s: str) -> int | None:
     return sum(-value[a] if b and value[b] > value[a] else value[a] for a, b in zip(s, [*s[1:], ""]))
 
 
+def misread_date(tokens: list[str]) -> bool:
+    """Whether a line's tokens hold a day or a year with letters for digits: a day before or behind a month, a year behind it."""
+    for n, token in enumerate(tokens):
+        core = token.strip(OUTER)
+        if not DAY_OR_YEAR.fullmatch(core):
+            continue
+        before = [t.strip(OUTER) for t in tokens[max(0, n - 2) : n]]
+        if before and before[-1] in MONTHS:
+            return True
+        if len(core) < 3:
+            if n + 1 < len(tokens) and tokens[n + 1].strip(OUTER) in MONTHS and token[-1].isalnum():
+                return True
+        elif len(before) == 2 and before[0] in MONTHS and before[1].translate(TO_DIGIT).isdigit() and len(before[1]) < 3:
+            return True
+    return False
+
+
 def page_number(line: str, pages: set[int]) -> bool:
     """Whether the line is nothing but the number of one of ``pages`` (any number, if none are known)."""
-    m = PAGE_NUMBER.fullmatch(line) if len(line) < 40 else None
+    m = PAGE_NUMBER.fullmatch(line)
     if not m or line.rstrip()[-1:] in ".,;:" and not m[0].lower().lstrip().startswith("p"):
         return False
     raw = m[1]
@@ -168,13 +186,19 @@ class Page:
     lines: list[str] = field(default_factory=list)  # repaired text lines, with blank ones
 
 
-UNKNOWN, CONFUSED, MERGED, SPLIT = 25.0, 6.0, 5.0, 7.0
+UNKNOWN, CONFUSED, MERGED, SPLIT, SPLIT_MORE = 25.0, 6.0, 5.0, 7.0, 2.0
 #: A hyphen kept at a line's end, one between two words that make no known compound, one kept at a soft mark, a mark left as it stands, and each line between a word's parts.
 HYPHEN, COMPOUND, SOFT, BROKEN, FAR = 3.0, 6.0, 30.0, 40.0, 16.0
 LEFT = re.compile(r"([^\W\d_][\w!|]*|[\w!|]*[^\W\d_])$")
 RIGHT = re.compile(r"[\w!|]*[^\W\d_][\w!|]*")
 
 
+def short(token: str) -> bool:
+    """Whether a token may be a part of a word set with blanks between its letters."""
+    core = token.strip(OUTER)
+    return 0 < len(core) < 3 and core.isalpha()
+
+
 class Decoder:
     """Decodes streams of tokens by a lexicon; remembers what it made of each token."""
 
@@ -182,6 +206,7 @@ class Decoder:
         self.costs = costs
         self.known: set[str] = set()
         self.seen: dict[str, tuple[float, str, bool]] = {}
+        self.cuts: dict[str, tuple[float, str] | None] = {}
 
     def word(self, core: str) -> tuple[float, str, bool]:
         """The cheapest reading of one word: its cost, the reading, whether a confusion was undone."""
@@ -214,7 +239,7 @@ class Decoder:
         got = self.seen.get(token)
         if got is None:
             got = self.seen[token] = self._token(token)
-            if not got[2] and got[0] < UNKNOWN:
+            if not got[2] and got[0] < UNKNOWN and not DAY_OR_YEAR.fullmatch(token.strip(OUTER)):
                 self.known.add(token)
             if len(self.seen) > 400_000:
                 self.seen, self.known = {}, set()
@@ -281,8 +306,52 @@ class Decoder:
                 return None
         return c + MERGED, left[: len(left) - len(a)] + word + right[len(b) :], ch
 
-    def stream(self, tokens: list[str], goes_on: dict[int, list[int]], at: int, to: int) -> list[tuple[str, int, int | None, bool, bool]]:
-        """The cheapest reading of ``tokens[at:to]``: (text, place, place of its other part, hyphen dropped, confusion undone) in order.
+    def split(self, core: str) -> tuple[float, str] | None:
+        """An unknown token as several words of the lexicon: the cost and the reading; where one blank is lost, more may be."""
+        got = self.cuts.get(core)
+        if got is None and core not in self.cuts:
+            n = len(core)
+            best: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * n
+            for end in range(2, n + 1):
+                for at in range(max(0, end - 30), end - 1):
+                    c = self.costs.get(core[at:end])
+                    if c is not None and best[at][0] + c + SPLIT_MORE < best[end][0]:
+                        best[end] = (best[at][0] + c + SPLIT_MORE, at)
+            parts, end = [], n
+            while end and best[end][0] < math.inf:
+                parts.append(core[best[end][1] : end])
+                end = best[end][1]
+            if not end and (len(parts) > 2 or len(parts) == 2 and min(map(len, parts)) > 2):
+                got = (best[n][0] - 2 * SPLIT_MORE + SPLIT, " ".join(parts[::-1]))
+            if len(self.cuts) > 100_000:
+                self.cuts = {}
+            self.cuts[core] = got
+        return got
+
+    def again(self, left: str, right: str) -> tuple[float, str] | None:
+        """Two unknown tokens cut into words anew, as where a blank slipped: the cost and the reading."""
+        a, b = left.lstrip(OUTER), right.rstrip(OUTER)
+        if not (a.isalpha() and b.isalpha() and a.islower() and b.islower()) or min(self.token(left)[0], self.token(right)[0]) < UNKNOWN:
+            return None
+        cut = self.split(a + b)
+        return cut and (cut[0] + MERGED, left[: len(left) - len(a)] + cut[1] + right[len(b) :])
+
+    def spaced(self, tokens: list[str], at: int, to: int) -> Iterator[tuple[int, float, str]]:
+        """Words of the lexicon set with blanks between their letters from ``tokens[at]`` on: (end, cost, text); three parts at least."""
+        whole = tokens[at].lstrip(OUTER)
+        lead = tokens[at][: len(tokens[at]) - len(whole)]
+        for j in range(at + 1, min(to, at + 30)):
+            part = tokens[j].rstrip(OUTER)
+            if not short(part) or not whole.isalpha():
+                return
+            whole += part
+            if j - at > 1 and (c := self.costs.get(whole.lower())) is not None:
+                yield j + 1, c + MERGED + (j - at), lead + whole + tokens[j][len(part) :]
+            if len(part) < len(tokens[j]):
+                return
+
+    def stream(self, tokens: list[str], goes_on: dict[int, list[int]], at: int, to: int) -> list[tuple]:
+        """The cheapest reading of ``tokens[at:to]``: (text, place, place of its other part, hyphen dropped, confusion undone, and of several other parts their places) in order.
 
         ``goes_on`` has, for tokens that end in a mark at a line's end, the first tokens of the
         next lines; a part taken from behind other lines is passed over where it stands.
@@ -316,11 +385,13 @@ class Decoder:
                                 relax(i + 1, j, cost + c + (n or 1) * FAR, piece, i, taken)
                     continue
                 relax(i + 1, taken, cost + c, (text, i, None, False, ch), i, taken)
-                if c >= UNKNOWN and (core := token.strip(OUTER)).isalpha() and core.islower():
-                    for k in range(3, len(core) - 2):
-                        a, b = self.costs.get(core[:k]), self.costs.get(core[k:])
-                        if a is not None and b is not None:
-                            relax(i + 1, taken, cost + a + b + SPLIT, (token.replace(core, f"{core[:k]} {core[k:]}"), i, None, False, False), i, taken)
+                if c >= UNKNOWN and (core := token.strip(OUTER)).isalpha() and core.islower() and (cut := self.split(core)):
+                    relax(i + 1, taken, cost + cut[0], (token.replace(core, cut[1]), i, None, False, False), i, taken)
+                if short(token) and (taken is None or taken < i):
+                    for j, c_all, whole in self.spaced(tokens, i, to):
+                        relax(j, taken, cost + c_all, (whole, i, None, False, False, range(i + 1, j)), i, taken)
+                if i + 1 < to and taken != i + 1 and i + 1 not in goes_on and (cut := self.again(token, tokens[i + 1])):
+                    relax(i + 2, taken, cost + cut[0], (cut[1], i, i + 1, False, False), i, taken)
                 if i + 1 < to and taken != i + 1 and i + 1 not in goes_on and (m := self.merge(token, tokens[i + 1])):
                     relax(i + 2, taken, cost + m[0], (m[1], i, i + 1, False, m[2]), i, taken)
         out, i, taken = [], to, None
@@ -355,11 +426,9 @@ class Decoder:
                 for n, t in enumerate(found, len(tokens)):
                     if t not in self.known and ((got := self.token(t))[0] >= UNKNOWN or got[2]):
                         hot.add(n)
-                # a day or year with a letter in it is no known token, either
-                for m in NEAR_DATE.finditer(lines[i - 1]):
-                    s = next(g for g in m.groups() if g)
-                    if not s.isdigit() and any(c.isdigit() for c in s) and s.translate(TO_DIGIT).isdigit():
-                        misread.add(i)
+                # what may be a misread day or year is never a known token
+                if misread_date(found):
+                    misread.add(i)
             tokens += found
             of += [i] * len(found)
         goes_on: dict[int, list[int]] = {}
@@ -373,14 +442,15 @@ class Decoder:
                 out.pending = (of[n - 1], m[0], t[-1])
                 end = n - 1
                 continue
-            # a line put in between may stand before the rest of the word
-            rest = [j for j in first[k + 1 : k + 4] if RIGHT.match(tokens[j]) and (j < len(tokens) - 1 or tokens[j][-1] not in MARKS)]
+            # lines put in between may stand before the rest of the word: as many as cost no more than to leave it broken
+            far = int((BROKEN + UNKNOWN + 0.5 * len(t)) / FAR) + 1
+            rest = [j for j in first[k + 1 : k + 2 + far] if RIGHT.match(tokens[j]) and (j < len(tokens) - 1 or tokens[j][-1] not in MARKS)]
             near = rest and rest[0] == n and min((x[0] for x in self.ends(m[0], RIGHT.match(tokens[n])[0], t[-1])), default=UNKNOWN) < UNKNOWN
             goes_on[n - 1] = rest[:1] if near else rest
             hot.add(n - 1)
         if repair:
             hot |= {n for n, (a, b) in enumerate(zip(tokens, tokens[1:])) if (a + b).lower() in self.costs or not b[-1].isalnum() and (a + b.rstrip(OUTER)).lower() in self.costs or not a[0].isalnum() and (a + b).strip(OUTER).lower() in self.costs}
-        spans = lambda n: n not in goes_on and n + 1 < end and n + 1 not in goes_on and self.merge(tokens[n], tokens[n + 1]) is not None
+        spans = lambda n: n not in goes_on and n + 1 < end and n + 1 not in goes_on and (self.merge(tokens[n], tokens[n + 1]) is not None or short(tokens[n]) and short(tokens[n + 1]) or self.again(tokens[n], tokens[n + 1]) is not None)
         fixed: dict[int, str] = {}
         gone: set[int] = set()
         to = 0
@@ -395,8 +465,9 @@ class Decoder:
                 last = max(last, *goes_on.get(n, ()), n + 1 if spans(n) else n)
                 n += 1
             to = last + 1
-            for put, n, j, dropped, changed in self.stream(tokens, goes_on, at, to):
+            for put, n, j, dropped, changed, *over in self.stream(tokens, goes_on, at, to):
                 fixed[n] = put
+                gone.update(*over)
                 if j is not None:
                     gone.add(j)
                 if dropped:
@@ -482,35 +553,51 @@ def page_paragraphs(pages: list[list[str]]) -> list[tuple[int, str]]:
 # ---------------------------------------------------------------- running lines and pages
 
 
-def running_lines(pages: DataFrame, edge: int = 5, least: int = 2) -> DataFrame:
+def running_lines(pages: DataFrame, least: int = 2) -> DataFrame:
     """Rows ``(_id, _heads)``: the line numbers of each page's running headers and footers.
 
-    ``pages`` has ``_id, _group, _page, _t``. A running line stands among the ``edge`` first
-    or last non-blank lines, with nothing but running lines and page numbers outside it,
-    and is found, misread characters aside, on at least ``least`` pages of its group.
+    ``pages`` has ``_id, _group, _page, _t``. A running line has nothing but running lines
+    and page numbers between it and the page's top or bottom, however many, and is found,
+    misread characters aside, on at least ``least`` pages of its group. A page's keys and
+    numbers travel as one row of two arrays.
     """
 
-    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for i, g, p, t in zip(pdf["_id"], pdf["_group"], pdf["_page"], pdf["_t"]):
-                lines = [(n, x) for n, x in enumerate(t.split("\n"), 1) if x.strip()]
-                for side, chosen in ((0, lines[:edge]), (1, lines[::-1][:edge])):
-                    for rank, (n, x) in enumerate(chosen):
-                        own = int(p) if p == p and p is not None else None
-                        number = page_number(x, {own} if own is not None else set())
-                        out.append((i, g, p, n, side, rank, "" if number else line_fold(x, own), number))
-            yield pd.DataFrame(out, columns=["_id", "_group", "_page", "_no", "_side", "_rank", "_key", "_number"])
+                own = int(p) if p == p and p is not None else None
+                at, found = [], []
+                for n, x in enumerate(t.split("\n"), 1):
+                    if x.strip():
+                        at.append(n)
+                        found.append("#" if page_number(x, {own} if own is not None else set()) else line_fold(x, own))
+                out.append((i, g, p, at, found))
+            yield pd.DataFrame(out, columns=["_id", "_group", "_page", "_nos", "_keys"])
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, nos, found, often in zip(pdf["_id"], pdf["_nos"], pdf["_keys"], pdf["_often"]):
+                often, n = set(often), len(nos)
+                marked = set()
+                for order in (range(n), range(n - 1, -1, -1)):
+                    for k in order:
+                        if found[k] in often:
+                            marked.add(int(nos[k]))
+                        elif found[k] != "#":
+                            break
+                if marked:
+                    out.append((i, sorted(marked)))
+            yield pd.DataFrame(out, columns=["_id", "_heads"])
 
     kind = pages.schema["_id"].dataType.simpleString()
-    rows = pages.mapInPandas(edges, f"_id {kind}, _group string, _page double, _no int, _side int, _rank int, _key string, _number boolean")
-    often = rows.where("_key <> '' and length(_key) > 3").groupBy("_group", "_key").agg(F.countDistinct("_page").alias("_n")).where(F.col("_n") >= least).select(F.col("_group").alias("_g2"), F.col("_key").alias("_k2"))
-    marked = rows.join(often, F.col("_group").eqNullSafe(F.col("_g2")) & (F.col("_key") == F.col("_k2")), "left")
-    # per page and side a dozen lines at most
-    per = marked.groupBy("_id", "_side").agg(F.sort_array(F.collect_set(F.struct("_rank", "_no", F.col("_k2").isNotNull().alias("hit"), F.col("_number").alias("number")))).alias("_e"))
-    until = F.aggregate("_e", F.lit(0), lambda acc, x: F.when((acc == x["_rank"]) & (x["hit"] | x["number"]), acc + 1).otherwise(acc))
-    heads = per.select("_id", F.transform(F.filter("_e", lambda x: x["hit"] & (x["_rank"] < until)), lambda x: x["_no"]).alias("_h"))
-    return heads.groupBy("_id").agg(F.array_distinct(F.flatten(F.collect_list("_h"))).alias("_heads")).where(F.size("_heads") > 0)
+    rows = materialise(pages.mapInPandas(keys, f"_id {kind}, _group string, _page double, _nos array<int>, _keys array<string>"))
+    lines = rows.select("_id", "_group", "_page", F.explode(F.array_distinct("_keys")).alias("_key")).where("_key <> '#' and length(_key) > 3")
+    often = lines.groupBy("_group", "_key").agg(F.count_distinct("_page").alias("_n")).where(F.col("_n") >= least).select(F.col("_group").alias("_g2"), F.col("_key").alias("_k2"))
+    # per page the keys of its running lines; what stands between others is dropped by their order
+    per = lines.join(often, F.col("_group").eqNullSafe(F.col("_g2")) & (F.col("_key") == F.col("_k2"))).groupBy("_id").agg(F.collect_set("_key").alias("_often"))
+    return rows.select("_id", "_nos", "_keys").join(per, "_id").mapInPandas(heads, f"_id {kind}, _heads array<int>")
 
 
 def _reader(costs: dict[str, float], emit: Callable[[pd.DataFrame, Decoder], Iterator[tuple]], columns: list[str]):
@@ -552,8 +639,6 @@ def noise(pages: DataFrame, costs: dict[str, float], *, grouped: bool) -> DataFr
     found = pages.select("_id", "_pages", "_t", "_heads").mapInPandas(_reader(costs, emit, ["_id", "line_no", "kind", "_a", "_b"]), f"_id {kind}, line_no bigint, kind string, _a string, _b string")
     if not grouped:
         return found.select("_id", "line_no", "kind")
-    from ..session import materialise
-
     found = materialise(found)
     where = pages.select("_id", "_group", F.col("_page").cast("bigint").alias("_page"))
     pend = found.where("kind = 'pending'").join(where, "_id")
@@ -669,8 +754,9 @@ def chunk_pages(chunks: DataFrame) -> DataFrame:
 
 def text_pages(page_text: DataFrame) -> DataFrame:
     """The rows of page_text as pages: repeated page ids once."""
-    one = page_text.select(F.col("page_id").cast("string").alias("_id"), F.col("filing_id").alias("_group"), F.col("page").alias("_page"), F.array("page").alias("_pages"), F.col("normalized_text").alias("_t"))
-    return spread(one.where("_t is not null and _t <> ''").dropDuplicates(["_id"]))
+    rows = spread(page_text.where("normalized_text is not null and normalized_text <> ''"))
+    one = rows.select(F.col("page_id").cast("string").alias("_id"), F.col("filing_id").alias("_group"), F.col("page").alias("_page"), F.array("page").alias("_pages"), F.col("normalized_text").alias("_t"))
+    return one.dropDuplicates(["_id"])
 
 
 def corpus_lexicon(chunks: DataFrame, page_text: DataFrame) -> dict[str, float]:

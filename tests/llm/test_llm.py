@@ -388,6 +388,10 @@ def test_address_pattern():
         ("the appeal was he\nard by this court", "the appeal was heard by this court"),
         ("the defen-\ncourt\ndant was heard", "the defendant court was heard"),  # a line put in between
         ("be taken on record", "be taken on record"),
+        ("recordofappeal byth ecourt", "record of appeal by the court"),  # several blanks lost, one set wrong
+        ("the p e t i t i o n e r, was he ar d by this court", "the petitioner, was heard by this court"),  # blanks between the letters
+        ("the defen-\ncourt\nthe\nof\ndant was", "the defendant court the of was"),  # three lines put in between
+        ("the defen-\ncourt\nthe\nof\nthe\nof\nthe\ndant was", "the defencourt the of the of the dant was"),  # too many
     ],
 )
 def test_scan_lattice(text, want):
@@ -398,6 +402,26 @@ def test_scan_lattice(text, want):
     assert " ".join(" ".join(page.lines).split()) == want
 
 
+def test_scan_order_of_reading():
+    """A text gives the same rows whatever was read before it."""
+    import math
+
+    n = {w: 1000 for w in [*WORDS, "order", "dated", "passed", "on"]}
+    costs = {w: -math.log(k / sum(n.values())) for w, k in n.items()}
+    texts = ["the order dated 2O May 2019 was passed", "the order of May 2O19 was passed", "order passed on 12 May, 2O19", "the order dated 12 May 2019 was", "passed 2O of", "on May 1l, 2019 the", "2O May 2019"]
+    want = [[(1, "misread")], [(1, "misread")], [(1, "misread")], [], [], [(1, "misread")], [(1, "misread")]]
+    for order in (texts, texts[::-1], texts * 2):
+        d = ocr.Decoder(costs)
+        assert [d.read(t, {99}, set()).kinds for t in order] == [want[texts.index(t)] for t in order]
+
+
+def test_running_lines_have_no_cap(spark):
+    head = [f"RUNNING LINE {w} OF THE FILE" for w in ("ONE", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT")]
+    rows = [("f", p, "\n".join([*head, f"- {p} -", f"own text {'abcdefg'[p]} stands here", head[0], f"and {'uvwxyz'[p]} more"])) for p in (1, 2, 3)] + [("g", 1, "\n".join(head)), ("g", None, None)]
+    df = spark.createDataFrame([(str(i), g, None if p is None else float(p), t) for i, (g, p, t) in enumerate(rows)], "_id string, _group string, _page double, _t string").where("_t is not null")
+    assert {(r["_id"], tuple(r["_heads"])) for r in ocr.running_lines(df).collect()} == {(str(i), tuple(range(1, 9))) for i in range(3)}
+
+
 def test_scan_repaired_over_pages(spark):
     pages = [("f", 1, "the court was heard and the petitioner prayed that the appe‐"), ("f", 2, "2\n\nal be taken on record by"), ("f", 3, "this court"), ("f", 4, None), ("f", 5, "the appeal was heard by this court"), (None, 1, "the defen-"), (None, 2, "dant was heard")]
     pt = spark.createDataFrame([(i, f, p, t, "x") for i, (f, p, t) in enumerate(pages, 1)] * 2, "page_id bigint, filing_id string, page int, normalized_text string, kind string")
