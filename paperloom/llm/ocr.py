@@ -558,8 +558,8 @@ def running_lines(pages: DataFrame, least: int = 2) -> DataFrame:
 
     ``pages`` has ``_id, _group, _page, _t``. A running line has nothing but running lines
     and page numbers between it and the page's top or bottom, however many, and is found,
-    misread characters aside, on at least ``least`` pages of its group. A page's keys and
-    numbers travel as one row of two arrays.
+    misread characters aside, on at least ``least`` pages of its group, at places that differ
+    by two lines at most, counted from the top or from the bottom.
     """
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -579,11 +579,11 @@ def running_lines(pages: DataFrame, least: int = 2) -> DataFrame:
         for pdf in batches:
             out = []
             for i, nos, found, often in zip(pdf["_id"], pdf["_nos"], pdf["_keys"], pdf["_often"]):
-                often, n = set(often), len(nos)
+                often, n = set(often.tolist()), len(nos)
                 marked = set()
                 for order in (range(n), range(n - 1, -1, -1)):
                     for k in order:
-                        if found[k] in often:
+                        if k in often:
                             marked.add(int(nos[k]))
                         elif found[k] != "#":
                             break
@@ -593,10 +593,17 @@ def running_lines(pages: DataFrame, least: int = 2) -> DataFrame:
 
     kind = pages.schema["_id"].dataType.simpleString()
     rows = materialise(pages.mapInPandas(keys, f"_id {kind}, _group string, _page double, _nos array<int>, _keys array<string>"))
-    lines = rows.select("_id", "_group", "_page", F.explode(F.array_distinct("_keys")).alias("_key")).where("_key <> '#' and length(_key) > 3")
-    often = lines.groupBy("_group", "_key").agg(F.count_distinct("_page").alias("_n")).where(F.col("_n") >= least).select(F.col("_group").alias("_g2"), F.col("_key").alias("_k2"))
-    # per page the keys of its running lines; what stands between others is dropped by their order
-    per = lines.join(often, F.col("_group").eqNullSafe(F.col("_g2")) & (F.col("_key") == F.col("_k2"))).groupBy("_id").agg(F.collect_set("_key").alias("_often"))
+    lines = rows.select("_id", "_group", "_page", F.size("_keys").alias("_size"), F.posexplode("_keys").alias("_at", "_key")).where("_key <> '#' and length(_key) > 3")
+    same = ["_group", "_key"]
+    often = lines.groupBy(*same).agg(F.count_distinct("_page").alias("_n")).where(F.col("_n") >= least).select(*[F.col(c).alias(f"{c}2") for c in same])
+    again = lines.join(often, F.col("_group").eqNullSafe(F.col("_group2")) & (F.col("_key") == F.col("_key2")))
+    # places two lines apart or less share a slot
+    slots = [F.struct(F.lit(side).alias("side"), (place + d).alias("slot")) for side, place in ((0, F.col("_at")), (1, F.col("_size") - 1 - F.col("_at"))) for d in (-1, 0, 1)]
+    placed = again.select("_id", "_group", "_page", "_at", "_key", F.explode(F.array(*slots)).alias("_p")).select("_id", "_page", "_at", *same, F.col("_p.side").alias("_side"), F.col("_p.slot").alias("_slot"))
+    slot = [*same, "_side", "_slot"]
+    fit = placed.groupBy(*slot).agg(F.count_distinct("_page").alias("_n")).where(F.col("_n") >= least).select(*[F.col(c).alias(f"{c}2") for c in slot])
+    kept = placed.join(fit, F.col("_group").eqNullSafe(F.col("_group2")) & (F.col("_key") == F.col("_key2")) & (F.col("_side") == F.col("_side2")) & (F.col("_slot") == F.col("_slot2")), "left_semi")
+    per = kept.groupBy("_id").agg(F.collect_set("_at").alias("_often"))
     return rows.select("_id", "_nos", "_keys").join(per, "_id").mapInPandas(heads, f"_id {kind}, _heads array<int>")
 
 
