@@ -3,12 +3,18 @@
 Every partition runs DuckDB in its Python worker. A text falls into words by the
 tokenizer's own pattern; each word that the worker hasn't met yet becomes token-position
 rows, one per byte. A recursive query joins neighbouring rows to the merge table and
-contracts each word's lowest-ranked pair, from the left and wherever it stands without
-overlap, until no pair is left. Ordered aggregation gives a word's ids, and decodes them.
-
-Contracting all places of the lowest pair at once gives what one place at a time gives,
-as whatever a merge makes possible ranks behind it, and keeps the number of rounds at
-the number of distinct merges, also for a "word" of a million letters.
+contracts, from the left, the pairs of lowest rank until no pair is left; rows are keyed by
+word and position, so that a round replaces what it changes, and words that are done
+leave the recursion. Ordered aggregation gives a word's ids, and decodes them.
+
+A round contracts every pair that ranks lowest among all pairs from ``reach`` tokens
+before it to twice as many behind. That gives what the lowest pair of the word, one place at a
+time, gives: a merge makes possible only pairs that rank behind it, so whatever could take
+a token from the pair would have to begin with a lower pair, and grow to a token that
+holds both, which is no longer than ``reach`` bytes, the longest token there is. Equal
+pairs that overlap (as in "aaa") are taken in turn from the left end of their run, and wait
+where that end isn't settled yet. A "word" of n letters takes about as many rounds as
+a short one, some dozens.
 
 The memory of words already encoded (``REMEMBERED`` at most) starts afresh when full; it
 changes the speed, never the result.
@@ -18,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,22 +40,24 @@ TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 REMEMBERED = 300_000
 
+#: The step makes each round's rows new ones: rows that a round leaves as they were would not be seen by the next.
 ROUNDS = """
-WITH RECURSIVE t(step, w, pos, tok) AS (
-  SELECT 0, w, pos, tok FROM start
-  UNION ALL
-  SELECT step + 1, w, pos, CASE WHEN taken THEN made ELSE tok END
-  FROM (SELECT *, lag(taken, 1, false) OVER (PARTITION BY w ORDER BY pos) AS eaten
-        FROM (SELECT *, hit AND (n - coalesce(max(CASE WHEN NOT hit THEN n END) OVER (PARTITION BY w ORDER BY pos), 0)) % 2 = 1 AS taken
-              FROM (SELECT *, coalesce(rank = min(rank) OVER (PARTITION BY w), false) AS hit, row_number() OVER (PARTITION BY w ORDER BY pos) AS n, min(rank) OVER (PARTITION BY w) AS best
-                    FROM (SELECT x.*, m.rank, m.made
-                          FROM (SELECT t.*, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM t) x
-                          LEFT JOIN merges m ON m.a = x.tok AND m.b = x.nxt) y) z
-              WHERE best IS NOT NULL) v) u
-  WHERE NOT eaten)
-SELECT w, list(tok ORDER BY pos) AS ids
-FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM t) WHERE step = last
-GROUP BY w ORDER BY w
+WITH RECURSIVE t(w, pos, tok, step) USING KEY (w, pos) AS (
+  SELECT w, pos, tok, 0 FROM start
+  UNION
+  SELECT w, pos, CASE WHEN eaten THEN NULL WHEN taken THEN made ELSE tok END, step + 1
+  FROM (SELECT *, lag(taken, 1, false) OVER ordered AS eaten, max(taken) OVER (PARTITION BY w) AS goes_on
+        FROM (SELECT *, hit AND last % 2 = 0 AND (n - last // 2) % 2 = 1 AS taken
+              FROM (SELECT *, coalesce(max(CASE WHEN NOT hit THEN 2 * n + CASE WHEN rank = after THEN 1 ELSE 0 END END) OVER ordered, 0) AS last
+                    FROM (SELECT *, coalesce(rank = min(rank) OVER near, false) AS hit, row_number() OVER ordered AS n, lead(rank) OVER ordered AS after
+                          FROM (SELECT x.*, m.rank, m.made
+                                FROM (SELECT *, lead(tok) OVER ordered AS nxt FROM t WHERE tok IS NOT NULL WINDOW ordered AS (PARTITION BY w ORDER BY pos)) x
+                                LEFT JOIN merges m ON m.a = x.tok AND m.b = x.nxt) y
+                          WINDOW ordered AS (PARTITION BY w ORDER BY pos), near AS (PARTITION BY w ORDER BY pos ROWS BETWEEN {reach} PRECEDING AND {twice} FOLLOWING)) z
+                    WINDOW ordered AS (PARTITION BY w ORDER BY pos)) v) u
+        WINDOW ordered AS (PARTITION BY w ORDER BY pos)) s
+  WHERE goes_on)
+SELECT w, list(tok ORDER BY pos) AS ids FROM t WHERE tok IS NOT NULL GROUP BY w ORDER BY w
 """
 
 
@@ -102,6 +111,10 @@ class Encoder:
         for i, t in enumerate(tokens):
             if len(t) == 1:
                 self.byte_id[t[0]] = i
+        # the longest token of letters alone, with a blank before it, and of all: how far a merge can reach
+        plain = re.compile(rb" ?[A-Za-z]+")
+        self.letters, self.reach = max((len(t) for t in tokens if plain.fullmatch(t)), default=1), max(map(len, tokens), default=1)
+        self.of_letters = plain.fullmatch
         self.words_of = regex.compile(pattern).findall
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
         self.con.register("given", pa.table({k: merges[:, i] for i, k in enumerate(("a", "b", "rank", "made"))}))
@@ -115,11 +128,13 @@ class Encoder:
     def _learn(self) -> None:
         raw = [w.encode("utf-8", "surrogatepass") for w in self.words.new]
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        # what is no word of letters can reach as far as the longest token of any kind
+        reach = self.letters if all(n <= self.letters or self.of_letters(w) for n, w in zip(lengths.tolist(), raw)) else self.reach
         of = np.repeat(np.arange(len(raw)), lengths)
         pos = np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         first = pa.table({"w": of, "pos": pos, "tok": self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]})
         self.con.register("start", first)
-        lists = self.con.sql(ROUNDS).to_arrow_table().column("ids").combine_chunks()
+        lists = self.con.sql(ROUNDS.format(reach=reach, twice=2 * reach)).to_arrow_table().column("ids").combine_chunks()
         self.con.unregister("start")
         size = np.diff(np.asarray(lists.offsets))
         self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])

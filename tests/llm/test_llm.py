@@ -138,6 +138,13 @@ def test_encoding(spark, reference):
     assert bpe.encode_column(df.limit(0), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("alphabet,n", [("abcdefghijklmnopqrstuvwxyz", 20_000), ("ainre", 6000), ("ab", 6000), ("a", 20_000), ("-=", 3000), ("न्याय", 2000), ("aé", 2000), (" \t", 1500)])
+def test_encoding_of_long_words(reference, alphabet, n):
+    rnd = random.Random(n)
+    word = "".join(rnd.choice(alphabet) for _ in range(n))
+    assert bpe.Encoder(BPE).encode([word, f"the {word[:500]}"])[0].tolist() == [i for t in (word, f"the {word[:500]}") for i in reference.encode(t, add_special_tokens=False).ids]
+
+
 def test_encoding_forgets_and_ranks(reference):
     e = bpe.Encoder(BPE, remembered=3)
     r = bpe.Encoder(BPE.replace(".json", ".tiktoken"))
