@@ -175,6 +175,22 @@ def test_mix_shares(spark):
     assert mix.fair_mix(df.limit(0), targets, "doc_id", "source", "n").count() == 0
 
 
+def test_mix_cut_is_a_prefix(spark):
+    """Whatever is left out before it is sorted stands behind the budget: each mix is a beginning of the whole order."""
+    rnd = random.Random(5)
+    docs = [(i, s, rnd.choice([1, 3, 400, rnd.randint(1, 60)])) for i, s in enumerate(["a"] * 900 + ["b"] * 60 + ["c"] * 2)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, n bigint").cache()
+    targets = spark.createDataFrame([("a", 5.0, 2), ("b", 3.0, 3), ("c", 2.0, 9)], "source string, target_weight double, max_repeats int")
+    cols = ["finish", "source", "repeat_no", "doc_id", "n", "mix_position_size"]
+    whole = sorted(tuple(r[c] for c in cols) for r in mix.fair_mix(df, targets, "doc_id", "source", "n", total=10**9).collect())
+    for total in (None, 1, 500, 20_000, whole[-1][-1] - 1):
+        got = sorted(tuple(r[c] for c in cols) for r in mix.fair_mix(df, targets, "doc_id", "source", "n", total=total).collect())
+        sources = {s: (w, r) for s, w, r in (("a", 5.0, 2), ("b", 3.0, 3), ("c", 2.0, 9))}
+        have = {s: sum(n for _, x, n in docs if x == s) for s in sources}
+        budget = total or int(min(have[s] * r / w for s, (w, r) in sources.items()) * 10)
+        assert got == [x for x in whole if x[-1] <= budget]
+
+
 # ------------------------------------------------------------ languages
 
 SAMPLES = {
