@@ -175,3 +175,74 @@ def packed_batches(df: DataFrame, key: str, order: str, pages: str, most: int =
     kept = [c for c in df.columns if c != key]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept) + ", batch int"
     return per_group(df, [key], [order], run, schema)
+
+
+def set_issues(df: DataFrame, scope: str, generation: str, kind: str, logical: Sequence[str], page: str, content: str, paged: Sequence[str] = ("page", "page_manifest")) -> DataFrame:
+    """Rows ``(scope, generation, code, severity, subject)``: what is wrong with the records of a generation together (V1).
+
+    missing_summary, duplicate_summary; duplicate_logical_chunk (records of one ``logical`` key), duplicate_content (page
+    records of one content), page_coverage_gap (each run of pages between the first and the last that no record is of),
+    multiple_generations of a scope. Counts are combined before they are shuffled; gaps come from neighbouring pages.
+    """
+    rows = df.select(*dict.fromkeys([scope, generation, kind, *logical, page, content]))
+    keys = [scope, generation]
+    row = lambda d, code, severity, subject: d.select(scope, generation, F.lit(code).alias("code"), F.lit(severity).alias("severity"), subject.cast("string").alias("subject"))
+    sums = rows.groupBy(*keys).agg(F.count_if(F.col(kind) == "summary").alias("_n"))
+    pages = rows.where(F.col(kind).isin(*paged))
+    twice = pages.groupBy(*keys, *logical).agg(F.count("*").alias("_n")).where("_n > 1")
+    again = rows.where((F.col(kind) == "page") & (F.trim(F.col(content)) != "")).groupBy(*keys, content).agg(F.count("*").alias("_n")).where("_n > 1")
+    w = Window.partitionBy(*keys).orderBy(page)
+    gaps = pages.where(F.col(page).isNotNull()).select(*keys, page).distinct().withColumn("_next", F.lead(page).over(w)).where(F.col("_next") > F.col(page) + 1)
+    several = rows.select(*keys).distinct().groupBy(scope).agg(F.count("*").alias("_n")).where("_n > 1").withColumn(generation, F.lit(None).cast(df.schema[generation].dataType))
+    return (
+        row(sums.where("_n = 0"), "missing_summary", "warning", F.lit(None))
+        .unionByName(row(sums.where("_n > 1"), "duplicate_summary", "error", F.col("_n")))
+        .unionByName(row(twice, "duplicate_logical_chunk", "error", F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in logical])))
+        .unionByName(row(again, "duplicate_content", "warning", F.col(content)))
+        .unionByName(row(gaps, "page_coverage_gap", "warning", F.concat_ws("-", F.col(page) + 1, F.col("_next") - 1)))
+        .unionByName(row(several, "multiple_generations", "warning", F.col("_n")))
+    )
+
+
+def scan_issues(listed: DataFrame, fetched: DataFrame, ident: str, asked: DataFrame, scope: str) -> DataFrame:
+    """Rows ``(code, severity, subject)``: ids that were listed but not fetched, scopes asked for that have no record (V1)."""
+    lost = listed.select(ident).distinct().join(fetched.select(ident), ident, "left_anti").select(F.lit("listed_record_not_fetched").alias("code"), F.col(ident).cast("string").alias("subject"))
+    none = asked.select(scope).distinct().join(fetched.select(scope), scope, "left_anti").select(F.lit("workspace_not_found").alias("code"), F.col(scope).cast("string").alias("subject"))
+    return lost.unionByName(none).select("code", F.lit("error").alias("severity"), "subject")
+
+
+def case_metrics(truth: DataFrame, predicted: DataFrame, matched: DataFrame, rows: DataFrame, counts: DataFrame, case: str) -> DataFrame:
+    """Per case how right a split is beyond its boundaries (M1).
+
+    ``truth`` has ``case, id, flags``; ``predicted`` ``case, id, needs_review``; ``matched`` comes of :func:`matched_spans`; ``rows`` has
+    the predicted page rows ``case, page, slots, needs_review``; ``counts`` ``case, page_count``. Rates over nothing are null.
+    """
+    t = truth.groupBy(case).agg(F.count_distinct("id").alias("expected"), F.count_if(F.size("flags") > 0).alias("ambiguous"))
+    p = predicted.groupBy(case).agg(F.count_distinct("id").alias("segments"), F.count_if("needs_review").alias("reviewed"))
+    m = matched.groupBy(case).agg(F.count("*").alias("matched"), F.count_if("exact").alias("exact"), F.count_if("same_type").alias("typed"))
+    inside = F.col("page").between(1, F.col("page_count"))
+    per = rows.join(counts, case).groupBy(case, "page_count", "page").agg(F.count("*").alias("_rows"), F.size(F.array_distinct(F.flatten(F.collect_list("slots")))).alias("_slots"), F.bool_or("needs_review").alias("_review"))
+    seen = per.groupBy(case).agg(
+        F.count_if(inside & (F.col("_slots") > 0)).alias("_owned"),
+        F.count_if(inside & ((F.col("_slots") > 1) | (F.col("_slots") > 0) & (F.col("_rows") > 1))).alias("several"),
+        F.count_if(~inside).alias("out_of_range"),
+        F.count_if(inside & F.col("_review")).alias("review_pages"),
+    )
+    out = counts
+    for df in (t, p, m, seen):
+        out = out.join(df, case, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    rate = lambda a, b: F.bround(F.try_divide(zero(a), zero(b)), 6)
+    return out.select(
+        case,
+        rate("exact", "expected").alias("range_accuracy"),
+        rate("typed", "matched").alias("type_accuracy"),
+        rate("reviewed", "segments").alias("manual_review_rate"),
+        rate("review_pages", "page_count").alias("review_page_rate"),
+        zero("ambiguous").alias("ambiguous"),
+        (F.col("page_count") - zero("_owned")).alias("missing"),
+        zero("several").alias("several"),
+        zero("out_of_range").alias("out_of_range"),
+        (zero("expected") - zero("matched")).alias("unmatched_true"),
+        (zero("segments") - zero("matched")).alias("unmatched_predicted"),
+    )

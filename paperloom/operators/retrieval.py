@@ -116,6 +116,71 @@ def lexical_scores(df: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
 
 
 def reranked(hits: DataFrame, scores: DataFrame, query: str, ident: str, most: int = 60) -> DataFrame:
-    """The first ``most`` hits in order of a score table; hits without a score keep their place behind."""
-    head = hits.where(F.col("rank") <= most).join(scores.select(query, ident, F.col("score").alias("_s")), [query, ident], "left")
-    return head.withColumn("rerank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc_nulls_last("_s"), "rank"))).drop("_s")
+    """``hits`` with ``rerank``: the first ``most`` in order of a score table, those without a score behind them; the rest keep their place."""
+    scored = hits.join(scores.select(query, ident, F.col("score").alias("_s")), [query, ident], "left").withColumn("_s", F.when(F.col("rank") <= most, F.col("_s")))
+    order = [F.col("rank") > most, F.desc_nulls_last("_s"), F.col("rank")]
+    return scored.withColumn("rerank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).drop("_s")
+
+
+def retrieval_plans(checks: DataFrame, check: str, text: str, parts: str, excluded: str, first: str, phrases: str, heading: str, subtype: str, *, family: str = "application", most: int = 4) -> DataFrame:
+    """Rows ``(check, place, query_text, part, subtype, purpose)``: the searches of each check, ``most`` of them.
+
+    A check looks in its ``parts`` that aren't ``excluded``, those it depends on (``first``) before the others; without parts
+    anywhere, and under its ``heading``. A search is the text and the distinct phrases; the subtype narrows searches in the
+    ``family`` only. Of searches with the same text (white space and case aside), part and subtype the first is kept. Null arrays are empty ones.
+    """
+    array = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    wanted = F.array_except(F.array_distinct(array(parts)), array(excluded))
+    targets = F.slice(F.array_distinct(F.concat(F.array_intersect(array(first), wanted), wanted)), 1, most)
+    base = checks.select(F.col(check), F.col(text).alias("_x"), F.array_distinct(array(phrases)).alias("_ph"), F.col(heading).alias("_h"), F.col(subtype).alias("_sub"), targets.alias("_t"), wanted.alias("_w"))
+    none = F.size("_w") == 0
+    struct = lambda part, why, own: F.struct(part.alias("part"), why.alias("purpose"), own.alias("text"))
+    null = F.lit(None).cast("string")
+    purpose = F.when(F.size("_ph") > 0, F.lit("semantic_and_exact")).otherwise(F.lit("semantic"))
+    words = F.concat_ws(" ", F.col("_x"), F.array_join("_ph", " "))
+    plain = F.when(none, F.array(struct(null, purpose, words))).otherwise(F.transform("_t", lambda p: struct(p, purpose, F.concat_ws(" ", F.concat(p, F.lit(":")), words))))
+    more = F.when(none & (F.trim("_h") != ""), F.array(struct(null, F.lit("heading"), F.concat_ws(" ", F.col("_h"), F.col("_x")))))
+    rows = base.select(check, "_sub", F.posexplode(F.concat(plain, F.coalesce(more, F.array().cast(plain_type()))).alias("_q")).alias("_at", "_q"))
+    flat = rows.select(check, "_at", F.trim(F.col("_q.text")).alias("query_text"), F.col("_q.part").alias("part"), F.when(F.col("_q.part") == family, F.col("_sub")).alias("subtype"), F.col("_q.purpose").alias("purpose"))
+    same = Window.partitionBy(check, F.lower(F.regexp_replace("query_text", r"\s+", " ")), "part", "subtype").orderBy("_at")
+    kept = flat.withColumn("_n", F.row_number().over(same)).where("_n = 1")
+    return kept.select(check, F.row_number().over(Window.partitionBy(check).orderBy("_at")).cast("int").alias("place"), "query_text", "part", "subtype", "purpose")
+
+
+def plain_type() -> str:
+    """The type of a search before it is laid out."""
+    return "array<struct<part:string,purpose:string,text:string>>"
+
+
+def uncovered_pages(wanted: DataFrame, pages: DataFrame, hits: DataFrame, check: str, filing: str, part: str) -> DataFrame:
+    """Rows ``(check, filing, part, page, ...)``: pages of the parts a check wants whole that no hit shows.
+
+    ``wanted`` has ``check, part``, ``pages`` ``filing, part, page`` and what else a page has, ``hits`` ``check, filing, page``. An equi-join on the part, not
+    on all pages.
+    """
+    return pages.join(wanted.select(check, part).distinct(), part).join(hits.select(check, filing, "page").distinct(), [check, filing, "page"], "left_anti")
+
+
+def layout_fallback(hits: DataFrame, pages: DataFrame, anchors: DataFrame, check: str, filing: str, text: str, most: int) -> DataFrame:
+    """Rows ``(check, filing, page, origin, score)``: a check's hits, and behind them pages that hold its anchor phrases, ``most`` in all.
+
+    ``hits`` has ``check, filing, page, score``, ``anchors`` ``check, phrase``, ``pages`` ``filing, page`` and the text, of filings that have hits. A page's score is
+    the number of phrases it holds, case and white space aside; pages already hit, and pages without a phrase, add nothing.
+    """
+    fold = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
+    one = hits.groupBy(check, filing, "page").agg(F.max("score").alias("score"))
+    own = anchors.where(F.trim("phrase") != "").groupBy(check).agg(F.collect_set(fold(F.col("phrase"))).alias("_ph"))
+    asked = one.select(check, filing).distinct().join(own, check)
+    near = asked.join(pages.select(filing, "page", fold(F.coalesce(text, F.lit(""))).alias("_x")), filing).withColumn("score", F.size(F.filter("_ph", lambda p: F.contains("_x", p))).cast("double")).where("score > 0")
+    new = near.select(check, filing, "page", "score").join(one.select(check, filing, "page"), [check, filing, "page"], "left_anti").withColumn("origin", F.lit("layout"))
+    every = one.withColumn("origin", F.lit("search")).unionByName(new)
+    place = F.row_number().over(Window.partitionBy(check, filing).orderBy(F.col("origin") == "layout", F.desc("score"), "page"))
+    return every.withColumn("_n", place).where(F.col("_n") <= most).select(check, filing, "page", "origin", "score")
+
+
+def followed_up(hits: DataFrame, shown: DataFrame, parts: DataFrame, query: str, ident: str, part: str, keep: int) -> DataFrame:
+    """The first ``keep`` hits of a second search: of the best ``max(2 * keep, 6)`` in the wanted parts those not shown before."""
+    w = Window.partitionBy(query).orderBy("rank", ident)
+    pool = hits.join(parts.select(query, part).distinct(), [query, part], "left_semi").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max(2 * keep, 6)).drop("_n")
+    fresh = pool.join(shown.select(query, ident), [query, ident], "left_anti")
+    return fresh.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep).drop("_n")
