@@ -14,20 +14,20 @@ def parties(spark, d):
     return table(spark, d, "filings").select("filing_id", F.explode("petitioners").alias("u")).select("filing_id", "u.name", "u.kind", "u.confidence").distinct()
 
 
-@query("whitespace_fold", "SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS h FROM documents WHERE lang = 'en'")
+@query("whitespace_fold", "SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS h FROM documents")
 def whitespace_fold(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(T.folded("text").cast("binary")).alias("h"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.folded("text").cast("binary")).alias("h"))
 
 
 @query(
     "clean_markup",
-    """WITH r AS (SELECT doc_id, '# **Title** &amp; more<br/>' || chr(10) || chr(10) || chr(10) || '<p>' || text || '</p>  end' AS t FROM documents WHERE lang = 'en' AND text IS NOT NULL),
+    """WITH r AS (SELECT doc_id, '# **Title** &amp; more<br/>' || chr(10) || chr(10) || chr(10) || '<p>' || text || '</p>  end' AS t FROM documents WHERE text IS NOT NULL),
 a AS (SELECT doc_id, regexp_replace(regexp_replace(t, '<br\\s*/?>', chr(10), 'gi'), '<[A-Za-z/][^>]*>', '', 'g') AS t FROM r), b AS (SELECT doc_id, replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM a),
 c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(?m)^#{1,6} +', '', 'g'), '\\*\\*|__', '', 'g'), '[ \\t]+', ' ', 'g') AS t FROM b) SELECT doc_id, md5(trim(regexp_replace(regexp_replace(t, ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))) AS h FROM c""",
 )
 def clean_markup(spark, d):
     t = F.concat(F.lit("# **Title** &amp; more<br/>\n\n\n<p>"), F.col("text"), F.lit("</p>  end"))
-    return table(spark, d, "documents").where("lang = 'en' and text is not null").select("doc_id", F.md5(T.clean_markup(t).cast("binary")).alias("h"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(T.clean_markup(t).cast("binary")).alias("h"))
 
 
 @query("quote_fold", f"WITH {FE}, x AS (SELECT evidence_id, translate(lower(quote), '‘’“”–—', '''''\"\"--') AS t FROM fe WHERE quote IS NOT NULL) SELECT evidence_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '<[a-z/][^>]*>', ' ', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\.\\.\\.|…', ' ellipsis ', 'g'), '[^a-z0-9/]+', ' ', 'g')) AS key FROM x")
@@ -178,29 +178,9 @@ def name_edit_distance(spark, d):
     return f.select("filing_id", T.within_edits(F.lower("a"), F.lower("b"), 2).alias("same"), F.round(T.similarity("a", "b"), 4).alias("alike")).distinct()
 
 
-@query("byte_slices", "SELECT doc_id, left(text, 3) AS head FROM documents WHERE text IS NOT NULL AND lang IN ('bn', 'hi') AND length(text) > 3")
+@query("byte_slices", "SELECT doc_id, left(text, 3) AS head, md5(substring(text, 4)) AS rest FROM documents WHERE text IS NOT NULL")
 def byte_slices(spark, d):
-    t = table(spark, d, "documents").where("text is not null and lang in ('bn', 'hi') and length(text) > 3")
-    n = F.octet_length(F.left("text", F.lit(3)))
-    return t.select("doc_id", T.byte_slice("text", F.lit(0), n).alias("head"))
-
-
-@query("whitespace_fold_all")
-def whitespace_fold_all(spark, d):
-    """All documents; ``whitespace_fold`` and its SQL take the label ``en`` alone."""
-    return table(spark, d, "documents").select("doc_id", F.md5(T.folded("text").cast("binary")).alias("h"))
-
-
-@query("clean_markup_all")
-def clean_markup_all(spark, d):
-    """All documents with text; ``clean_markup`` and its SQL take the label ``en`` alone."""
-    t = F.concat(F.lit("# **Title** &amp; more<br/>\n\n\n<p>"), F.col("text"), F.lit("</p>  end"))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(T.clean_markup(t).cast("binary")).alias("h"))
-
-
-@query("byte_slices_all")
-def byte_slices_all(spark, d):
-    """All documents with text, cut behind the third character: both parts; ``byte_slices`` and its SQL have the first of two labels."""
+    """Cut behind the third character, by bytes: both parts."""
     t = table(spark, d, "documents").where("text is not null")
     n, size = F.octet_length(F.left("text", F.lit(3))), F.octet_length("text")
     return t.select("doc_id", T.byte_slice("text", F.lit(0), n).alias("head"), F.md5(T.byte_slice("text", n, size).cast("binary")).alias("rest"))

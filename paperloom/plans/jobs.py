@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..session import shared_dir, table
+from ..session import table, work_dir
 from ..sources import readers as R
 from ..sources import sinks as K
 from ..streaming import jobs as J
@@ -17,7 +17,7 @@ def events(spark, d):
 
 
 def _place(spark, name):
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
@@ -54,14 +54,23 @@ def paced_requests(spark, d):
     return J.paced(events(spark, d), "user_id", "ts", "event_id", 7200.0)
 
 
-@query("token_bucket_waits")
+ORDERED = "r AS (SELECT user_id, event_id, event_type, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+
+
+@query("token_bucket_waits", f"WITH {ORDERED}, v AS (SELECT *, max(t - n * 300.0) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) + (n + 1) * 300.0 AS full_at FROM r) SELECT user_id, event_id, round_even(greatest(full_at - 3 * 300.0 - t, 0), 3) AS wait FROM v")
 def token_bucket_waits(spark, d):
-    return J.token_bucket(events(spark, d), "event_type", "ts", "event_id", 0.2, 3)
+    return J.token_bucket(events(spark, d), "user_id", "ts", "event_id", 0.2, 3)
 
 
-@query("job_leases")
+@query(
+    "job_leases",
+    f"""WITH RECURSIVE {ORDERED}, l AS (SELECT user_id, event_id, n, event_type AS holder, t + 86400 AS until, true AS granted FROM r WHERE n = 1
+UNION ALL SELECT r.user_id, r.event_id, r.n, CASE WHEN r.t >= l.until OR r.event_type = l.holder THEN r.event_type ELSE l.holder END, CASE WHEN r.t >= l.until OR r.event_type = l.holder THEN r.t + 86400 ELSE l.until END, r.t >= l.until OR r.event_type = l.holder FROM l JOIN r ON r.user_id = l.user_id AND r.n = l.n + 1)
+SELECT user_id, event_id, granted FROM l""",
+)
 def job_leases(spark, d):
-    return J.leases(events(spark, d), "event_type", "user_id", "ts", 1800, "event_id")
+    """A job (a user here) is leased by one owner (an event's type) at a time."""
+    return J.leases(events(spark, d), "user_id", "event_type", "ts", 86400, "event_id")
 
 
 @query("job_deadlines", "SELECT user_id, min(ts) AS first, max(ts) AS last, epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch(min(ts)) > 5400 AS expired FROM events GROUP BY 1")
@@ -69,16 +78,37 @@ def job_deadlines(spark, d):
     return J.deadlines(events(spark, d), "user_id", "ts", "2024-02-01 00:00:00")
 
 
-@query("failure_cooldowns")
+@query(
+    "failure_cooldowns",
+    f"""WITH {ORDERED}, f AS (SELECT *, coalesce(CAST(t - lag(t) OVER w > 86400 AS INT), 1) AS fresh FROM r WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY n)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY n) AS run FROM f)
+SELECT user_id, event_id, least(300.0, CASE WHEN event_id % 9 = 0 THEN 45.0 ELSE 30 * pow(2, row_number() OVER (PARTITION BY user_id, run ORDER BY n) - 1) END) AS cooldown FROM g UNION ALL SELECT user_id, event_id, 0.0 FROM r WHERE event_type IS DISTINCT FROM 'error'""",
+)
 def failure_cooldowns(spark, d):
-    e = events(spark, d).withColumn("failed", F.col("event_type") == "error")
-    return J.cooldowns(e, "user_id", "ts", "failed", "event_id", reset=86400)
+    e = events(spark, d).withColumn("failed", F.col("event_type") == "error").withColumn("own", F.when(F.col("event_id") % 9 == 0, 45.0))
+    return J.cooldowns(e, "user_id", "ts", "failed", "event_id", reset=86400, retry_after="own")
 
 
-@query("microbatch_fold")
+@query(
+    "microbatch_fold",
+    """WITH RECURSIVE r AS (SELECT user_id, event_id, epoch(ts) AS t, length(props) AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), b AS (SELECT user_id, event_id, n, 0 AS batch, 1 AS size, c AS used, t AS start FROM r WHERE n = 1
+UNION ALL SELECT user_id, event_id, n, CASE WHEN o THEN batch + 1 ELSE batch END, CASE WHEN o THEN 1 ELSE size + 1 END, CASE WHEN o THEN c ELSE used + c END, CASE WHEN o THEN t ELSE start END FROM (SELECT r.*, b.batch, b.size, b.used, b.start, b.size >= 3 OR r.t - b.start > 86400 OR b.used + r.c > 25 AS o FROM b JOIN r ON r.user_id = b.user_id AND r.n = b.n + 1))
+SELECT user_id, event_id, batch FROM b""",
+)
 def microbatch_fold(spark, d):
-    e = events(spark, d).withColumn("chars", (F.col("value") * 1000).cast("bigint"))
-    return J.micro_batches(e, "event_type", "ts", "event_id", "chars", window=600)
+    return J.micro_batches(events(spark, d).withColumn("c", F.length("props")), "user_id", "ts", "event_id", "c", window=86400, budget=25)
+
+
+@query(
+    "queue_state",
+    """WITH m AS (SELECT user_id % 997 AS message_id, min(epoch(ts)) AS sent FROM events WHERE event_type = 'view' GROUP BY 1), a AS (SELECT user_id % 997 AS message_id, epoch(ts) AS tt, CASE WHEN event_type = 'error' AND event_id % 40 = 0 THEN 'delete' WHEN event_type = 'click' THEN 'receive' WHEN event_type = 'purchase' THEN 'extend' ELSE 'other' END AS action, CASE WHEN event_id % 2 = 0 THEN 864000.0 ELSE 30.0 END AS secs FROM events),
+s AS (SELECT message_id, bool_or(action = 'delete') AS gone, max(row(tt, tt + secs)) FILTER (action IN ('receive', 'extend')) AS u FROM a JOIN m USING (message_id) WHERE tt >= sent GROUP BY 1)
+SELECT message_id, sent AS sent_at, u[2] AS hidden_until, coalesce(u[2] <= epoch(TIMESTAMP '2024-01-20 00:00:00'), true) AS visible FROM m LEFT JOIN s USING (message_id) WHERE NOT coalesce(gone, false)""",
+)
+def queue_state(spark, d):
+    e = events(spark, d).withColumn("message_id", F.col("user_id") % 997)
+    action = F.when((F.col("event_type") == "error") & (F.col("event_id") % 40 == 0), "delete").when(F.col("event_type") == "click", "receive").when(F.col("event_type") == "purchase", "extend").otherwise("other")
+    actions = e.select("message_id", F.col("ts").alias("at"), action.alias("action"), F.when(F.col("event_id") % 2 == 0, 864000.0).alias("seconds"))
+    return J.queue_state(e.where("event_type = 'view'").select("message_id", F.col("ts").alias("sent_at")), actions, "2024-01-20 00:00:00")
 
 
 @query("jsonl_source", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
@@ -123,19 +153,9 @@ def generation_switch(spark, d):
     return K.read_active(spark, path)
 
 
-@query("upsert_sink", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_nationkey < 5 AND NOT c_custkey % 7 = 0")
+@query("upsert_sink", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE NOT c_custkey % 7 = 0")
 def upsert_sink(spark, d):
-    path, c = _place(spark, "upserts"), table(spark, d, "customer").where("c_nationkey < 5").select("c_custkey", "c_acctbal", "c_nationkey", F.lit(1).alias("v"))
-    K.upsert_partitions(spark, path, c, ["c_custkey"], "v", "c_nationkey")
-    K.upsert_partitions(spark, path, c.where("c_custkey % 10 = 0").withColumn("c_acctbal", F.lit(0.0)).withColumn("v", F.lit(2)), ["c_custkey"], "v", "c_nationkey")
-    K.delete_rows(spark, path, "c_custkey % 7 = 0", "c_nationkey")
-    return spark.read.parquet(path).select("c_custkey", "c_acctbal")
-
-
-@query("upsert_sink_all", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE NOT c_custkey % 7 = 0")
-def upsert_sink_all(spark, d):
-    """All nations; ``upsert_sink`` and its SQL take a fifth of them."""
-    path, c = _place(spark, "upserts_all"), table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey", F.lit(1).alias("v"))
+    path, c = _place(spark, "upserts"), table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey", F.lit(1).alias("v"))
     K.upsert_partitions(spark, path, c, ["c_custkey"], "v", "c_nationkey")
     K.upsert_partitions(spark, path, c.where("c_custkey % 10 = 0").withColumn("c_acctbal", F.lit(0.0)).withColumn("v", F.lit(2)), ["c_custkey"], "v", "c_nationkey")
     K.delete_rows(spark, path, "c_custkey % 7 = 0", "c_nationkey")
@@ -155,10 +175,32 @@ def artifact_sink(spark, d):
     return R.first_existing(spark, [path + "-none", path], "r_regionkey int, r_name string", multi_line=False)
 
 
-@query("status_throttle", "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 86400) ORDER BY ts) = 1 OR event_type = 'error'")
+@query(
+    "status_throttle",
+    f"""WITH RECURSIVE {ORDERED}, w AS (SELECT user_id, event_id, n, t AS last, true AS kept FROM r WHERE n = 1
+UNION ALL SELECT r.user_id, r.event_id, r.n, CASE WHEN r.event_type = 'error' OR r.t - w.last >= 86400 THEN r.t ELSE w.last END, r.event_type = 'error' OR r.t - w.last >= 86400 FROM w JOIN r ON r.user_id = w.user_id AND r.n = w.n + 1)
+SELECT event_id FROM w WHERE kept""",
+)
 def status_throttle(spark, d):
     e = events(spark, d).withColumn("forced", F.col("event_type") == "error")
-    return K.throttled(e, "user_id", "ts", "forced", 86400).select("event_id")
+    return K.throttled(e, "user_id", "ts", "event_id", "forced", 86400).select("event_id")
+
+
+@query("html_report", "SELECT '<tr><td>' || coalesce(event_type, '') || '</td><td>' || count(*) || '</td></tr>' AS value FROM events GROUP BY event_type")
+def html_report(spark, d):
+    out = K.write_reports(events(spark, d).groupBy("event_type").agg(F.count("*").alias("n")), _place(spark, "reports"), "Events <all>")
+    return spark.read.text(out["html"]).where("value like '<tr><td>%'")
+
+
+@query("moved_upserts", "SELECT n_nationkey AS k, CASE WHEN n_nationkey % 4 = 0 THEN 'moved' ELSE 'r' || n_regionkey END AS p, CASE WHEN n_nationkey % 4 = 0 THEN 2 ELSE 1 END AS v FROM nation WHERE n_nationkey <> 7 AND n_regionkey <> 3 OR n_nationkey % 4 = 0")
+def moved_upserts(spark, d):
+    """Rows whose partition changes leave no old copy, and a partition that loses all its rows goes."""
+    path = _place(spark, "moved")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.concat(F.lit("r"), "n_regionkey").alias("p"), F.lit(1).alias("v"))
+    K.upsert_partitions(spark, path, n, ["k"], "v", "p", F.col("k") != 7)
+    K.upsert_partitions(spark, path, n.where("k % 4 = 0").select("k", F.lit("moved").alias("p"), F.lit(2).alias("v")), ["k"], "v", "p")
+    K.delete_rows(spark, path, "p = 'r3'", "p")
+    return spark.read.parquet(path).select("k", "p", "v")
 
 
 @query("slot_slices", f"WITH {PT} SELECT filing_id, count(*) AS pages, md5(string_agg(coalesce(t, ''), chr(12) ORDER BY page)) AS h FROM pt GROUP BY 1")

@@ -26,10 +26,10 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """
     import uuid
 
-    from ..session import shared_dir
+    from ..session import work_dir
 
     spark = stream.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     # the keys of all tests and tables fit a few state partitions
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
@@ -86,52 +86,52 @@ def deadlines(df: DataFrame, job: str, ts: str, now: str, seconds: float = 5400)
     return per.withColumn("expired", F.lit(now).cast("timestamp").cast("double") - sec("first") > seconds)
 
 
-def token_bucket(df: DataFrame, key: str, ts: str, ident: str, per_minute: float, burst: float) -> DataFrame:
-    """Rows ``(key, ident, wait)``: the seconds each request waits for a token, refilled at a steady rate up to ``burst``."""
+def in_order(df: DataFrame, key: str, ts: str, ident: str, interval: float, width: float = 3600.0) -> DataFrame:
+    """``key, ident, _t`` with ``_n``, a request's place among its key's, and ``_m``, the greatest ``_t - _n * interval`` up to it.
 
-    def run(rows: list[dict]) -> list[tuple]:
-        level, last, out = burst, None, []
-        for r in rows:
-            now = r["_t"] if last is None else max(r["_t"], last)
-            level = min(burst, level + (0 if last is None else (now - last) * per_minute / 60))
-            wait = 0.0 if level >= 1 else (1 - level) * 60 / per_minute
-            level, last = level + wait * per_minute / 60 - 1, now + wait
-            out.append((r[ident], round(now + wait - r["_t"], 6)))
-        return out
+    Both run at two levels: over slices of ``width`` seconds, and inside each, so that no key, however hot, stands in one task.
+    """
+    rows = df.select(key, ident, F.col(ts).cast("timestamp").cast("double").alias("_t")).withColumn("_s", F.floor(F.col("_t") / width))
+    inside = Window.partitionBy(key, "_s").orderBy("_t", ident)
+    numbered = rows.withColumn("_i", F.row_number().over(inside)).withColumn("_x", F.max(F.col("_t") - F.col("_i") * interval).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    slices = numbered.groupBy(key, "_s").agg(F.count("*").alias("_k"), F.max(F.col("_t") - F.col("_i") * interval).alias("_y"))
+    w = Window.partitionBy(key).orderBy("_s")
+    base = slices.withColumn("_b", F.sum("_k").over(w) - F.col("_k")).withColumn("_z", F.max(F.col("_y") - F.col("_b") * interval).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    base = base.select(F.col(key).alias("_key"), F.col("_s").alias("_slice"), "_b", "_z")
+    both = numbered.join(base, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_s") == F.col("_slice")))
+    return both.select(key, ident, "_t", (F.col("_b") + F.col("_i")).alias("_n"), F.greatest(F.col("_x") - F.col("_b") * interval, F.col("_z")).alias("_m"))
 
-    kind = df.schema[ident].dataType.simpleString()
-    return per_group(df.select(key, F.col(ts).cast("timestamp").cast("double").alias("_t"), ident), [key], ["_t", ident], run, f"`{ident}` {kind}, wait double")
+
+def token_bucket(df: DataFrame, key: str, ts: str, ident: str, per_minute: float, burst: float) -> DataFrame:
+    """Rows ``(key, ident, wait)``: the seconds each request waits for a token, refilled at a steady rate up to ``burst``.
+
+    The bucket is full again at ``V``, each request putting that off by the time T of one token from ``max(V, now)``: a running maximum. A request leaves at ``V - burst * T``, or at once.
+    """
+    step = 60.0 / per_minute
+    full = F.col("_m") + step + F.col("_n") * step
+    return in_order(df, key, ts, ident, step).select(key, ident, F.bround(F.greatest(full - burst * step - F.col("_t"), F.lit(0.0)), 3).alias("wait"))
 
 
 def paced(df: DataFrame, key: str, ts: str, ident: str, interval: float) -> DataFrame:
     """Rows ``(key, ident, slot)``: each request's reserved time, ``interval`` behind the last one's or later.
 
-    The n-th request's time is the latest of all earlier arrivals plus what stands between:
-    a running maximum of ``t - n * interval``, so windows alone do it.
+    The n-th request's time is the latest of all earlier arrivals plus what stands between: a running maximum of ``t - n * interval``.
     """
-    w = Window.partitionBy(key).orderBy("_t", ident)
-    rows = df.select(key, ident, F.col(ts).cast("timestamp").cast("double").alias("_t"))
-    n = F.row_number().over(w)
-    lead = rows.withColumn("_n", n).withColumn("_m", F.max(F.col("_t") - F.col("_n") * interval).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return lead.select(key, ident, F.bround(F.col("_m") + F.col("_n") * interval, 3).alias("slot"))
+    return in_order(df, key, ts, ident, interval).select(key, ident, F.bround(F.col("_m") + F.col("_n") * interval, 3).alias("slot"))
 
 
-def cooldowns(df: DataFrame, key: str, ts: str, failed: str, ident: str, base: float = 30, most: float = 300, reset: float = 300) -> DataFrame:
-    """Rows ``(key, ident, cooldown)``: the pause after each failure, doubled up to ``most``; a quiet time starts anew."""
+def cooldowns(df: DataFrame, key: str, ts: str, failed: str, ident: str, base: float = 30, most: float = 300, reset: float = 300, retry_after: str | None = None) -> DataFrame:
+    """Rows ``(key, ident, cooldown)``: the pause after each failure, doubled up to ``most``; a quiet time starts anew.
 
-    def run(rows: list[dict]) -> list[tuple]:
-        n, last, out = 0, None, []
-        for r in rows:
-            if r[failed]:
-                n = 1 if last is None or r["_t"] - last > reset else n + 1
-                last = r["_t"]
-                out.append((r[ident], float(min(most, base * 2 ** (n - 1)))))
-            else:
-                out.append((r[ident], 0.0))
-        return out
-
-    kind = df.schema[ident].dataType.simpleString()
-    return per_group(df.select(key, F.col(ts).cast("timestamp").cast("double").alias("_t"), ident, failed), [key], ["_t", ident], run, f"`{ident}` {kind}, cooldown double")
+    With ``retry_after`` a failure that names its own pause (in seconds, more than 0) is given it, up to ``most``.
+    """
+    rows = df.select(key, ident, F.col(ts).cast("timestamp").cast("double").alias("_t"), F.coalesce(failed, F.lit(False)).alias("_f"), (F.lit(None).cast("double") if retry_after is None else F.col(retry_after).cast("double")).alias("_own"))
+    w = Window.partitionBy(key).orderBy("_t", ident)
+    failures = rows.where("_f").withColumn("_new", F.coalesce((F.col("_t") - F.lag("_t").over(w) > reset).cast("int"), F.lit(1)))
+    runs = failures.withColumn("_run", F.sum("_new").over(w))
+    n = F.row_number().over(Window.partitionBy(key, "_run").orderBy("_t", ident))
+    pause = F.least(F.lit(float(most)), F.coalesce(F.when(F.col("_own") > 0, F.col("_own")), base * F.pow(F.lit(2.0), F.least(n - 1, F.lit(60)))))
+    return runs.select(key, ident, pause.alias("cooldown")).unionByName(rows.where("not _f").select(key, ident, F.lit(0.0).alias("cooldown")))
 
 
 def micro_batches(df: DataFrame, key: str, ts: str, ident: str, chars: str, count: int = 3, window: float = 0.075, budget: int = 90_000) -> DataFrame:
@@ -151,6 +151,23 @@ def micro_batches(df: DataFrame, key: str, ts: str, ident: str, chars: str, coun
     return per_group(df.select(key, F.col(ts).cast("timestamp").cast("double").alias("_t"), ident, chars), [key], ["_t", ident], run, f"`{ident}` {kind}, batch int")
 
 
+def queue_state(messages: DataFrame, actions: DataFrame, now: str, visible_after: float = 30.0) -> DataFrame:
+    """Rows ``(message_id, sent_at, hidden_until, visible)``: a queue's messages after all its actions.
+
+    ``messages`` has ``message_id, sent_at`` (a message sent twice counts from the first time); ``actions`` ``message_id, at, action, seconds``: ``receive`` and ``extend``
+    hide a message for ``seconds`` (``visible_after`` if null) from their time on, ``delete`` takes it away for good. Actions on messages that
+    weren't sent, or before that, change nothing. One aggregation a side, by id.
+    """
+    at = lambda c: F.col(c).cast("timestamp").cast("double")
+    sent = messages.where("message_id is not null").groupBy("message_id").agg(F.min(at("sent_at")).alias("_sent"))
+    did = actions.select("message_id", at("at").alias("_at"), "action", F.coalesce(F.col("seconds").cast("double"), F.lit(visible_after)).alias("_for"))
+    after = did.join(sent, "message_id").where("_at >= _sent")
+    # the last word on its visibility is that of the latest action, not the longest pause
+    state = after.groupBy("message_id").agg(F.bool_or(F.col("action") == "delete").alias("_gone"), F.max(F.when(F.col("action").isin("receive", "extend"), F.struct("_at", (F.col("_at") + F.col("_for")).alias("until"))))["until"].alias("_until"))
+    left = sent.join(state, "message_id", "left").where("not coalesce(_gone, false)")
+    return left.select("message_id", F.col("_sent").alias("sent_at"), F.col("_until").alias("hidden_until"), F.coalesce(F.col("_until") <= F.lit(now).cast("timestamp").cast("double"), F.lit(True)).alias("visible"))
+
+
 def stateful_progress(stream: DataFrame, key: str, value: str) -> DataFrame:
     """Per key and batch the monotone progress, kept in state (X5); for streams in update mode."""
 

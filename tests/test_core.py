@@ -243,8 +243,8 @@ def test_whole_tables_of_the_column_functions(spark, tmp_path):
     texts = [None, "", "Aé\tB", "यह  एक\nपाठ है", "ТЕКСТ  Один", "தமிழ்  உரை"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
     md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
-    got = {r["doc_id"]: r["h"] for r in P2.whitespace_fold_all(spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["h"] for r in P2.whitespace_fold(spark, str(tmp_path)).collect()}
     assert got == {i: t if t is None else md5(re.sub(r"[ \t\n]+", " ", t.lower()).strip()) for i, t in enumerate(texts)}
-    cut = {r["doc_id"]: (r["head"], r["rest"]) for r in P2.byte_slices_all(spark, str(tmp_path)).collect()}
+    cut = {r["doc_id"]: (r["head"], r["rest"]) for r in P2.byte_slices(spark, str(tmp_path)).collect()}
     assert cut == {i: (t[:3], md5(t[3:])) for i, t in enumerate(texts) if t is not None}
-    assert P2.clean_markup_all(spark, str(tmp_path)).count() == 5
+    assert P2.clean_markup(spark, str(tmp_path)).count() == 5
