@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 #: From the strongest to the weakest: where a cut may follow. Each pattern's match stays with the text before the cut.
 SEPARATORS = [re.compile(p) for p in (r"\n(?=(?:#+ |[A-Z][A-Z &/\-]{7,}\n|(?:[IVX]+|\d+)\.\s))|\f", r"\n[ \t]*\n+", r"\n", r"[.!?।۔][\"'’”)]*\s+", r"[;:,]\s+", r"\s+")]
 
@@ -70,19 +72,26 @@ def split_oversized(df: DataFrame, order: Sequence[str], key: Sequence[str], row
     use = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(row_id).alias("_id"), F.col(text).alias("_t")).where("_t is not null")
     keep = [c for c in use.columns if c != "_t"]
     big = use.where(F.length("_t") > limit).dropDuplicates(["_id"])
-    piece = "part int, n_parts int, start int, piece string"
+    small = use.where(F.length("_t") <= limit).dropDuplicates(["_id"])
+    kinds = {f.name: f.dataType.simpleString() for f in use.schema}
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[keep].assign(_n=[len(cut_points(t, limit, overlap)) for t in pdf["_t"]])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(i, j, len(cuts), a, t[a:b]) for i, t in zip(pdf.index, pdf["_t"]) for cuts in [cut_points(t, limit, overlap)] for j, (a, b) in enumerate(cuts)]
-            made = pd.DataFrame(out, columns=["_row", "part", "n_parts", "start", "piece"])
-            left = pdf.loc[made["_row"], keep].reset_index(drop=True)
-            yield pd.concat([left, made.drop(columns="_row")], axis=1)
+            out = [(i, j, len(cuts), a, t[a:b]) for i, t in zip(pdf["_id"], pdf["_t"]) for cuts in [cut_points(t, limit, overlap)] for j, (a, b) in enumerate(cuts)]
+            yield pd.DataFrame(out, columns=["_id", "part", "n_parts", "start", "piece"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in big.select(*keep).schema) + ", " + piece
-    pieces = big.mapInPandas(cut, schema)
+    # the texts are numbered by how many pieces each has, without the texts
+    sizes = big.mapInPandas(count, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", _n int")
+    if not only_oversized:
+        sizes = sizes.unionByName(small.select(*keep, F.lit(1).alias("_n")))
+    w = Window.partitionBy(*[f"_k{i}" for i in range(len(key))]).orderBy(*[f"_o{i}" for i in range(len(order))], "_id")
+    numbers = materialise(sizes.withColumn("_first", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).select("_id", *[f"_k{i}" for i in range(len(key))], "_first"))
+    pieces = big.select("_id", "_t").mapInPandas(cut, f"_id {kinds['_id']}, part int, n_parts int, start int, piece string").join(numbers, "_id")
     if not only_oversized:
-        small = use.where(F.length("_t") <= limit).dropDuplicates(["_id"])
-        pieces = pieces.unionByName(small.select(*keep, F.lit(0).alias("part"), F.lit(1).alias("n_parts"), F.lit(0).alias("start"), F.col("_t").alias("piece")))
-    w = Window.partitionBy(*[f"_k{i}" for i in range(len(key))]).orderBy(*[f"_o{i}" for i in range(len(order))], "_id", "part")
-    return pieces.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(key)], F.col("_id").alias(row_id), (F.row_number().over(w) - 1).alias("piece_no"), "part", "n_parts", "start", "piece")
+        one = small.select("_id", F.lit(0).alias("part"), F.lit(1).alias("n_parts"), F.lit(0).alias("start"), F.col("_t").alias("piece")).join(numbers, "_id")
+        pieces = pieces.unionByName(one)
+    return pieces.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(key)], F.col("_id").alias(row_id), (F.col("_first") + F.col("part")).cast("int").alias("piece_no"), "part", "n_parts", "start", "piece")
