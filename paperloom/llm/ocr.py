@@ -593,16 +593,17 @@ def running_lines(pages: DataFrame, least: int = 2) -> DataFrame:
 
     kind = pages.schema["_id"].dataType.simpleString()
     rows = materialise(pages.mapInPandas(keys, f"_id {kind}, _group string, _page double, _nos array<int>, _keys array<string>"))
-    lines = rows.select("_id", "_group", "_page", F.size("_keys").alias("_size"), F.posexplode("_keys").alias("_at", "_key")).where("_key <> '#' and length(_key) > 3")
-    same = ["_group", "_key"]
-    often = lines.groupBy(*same).agg(F.count_distinct("_page").alias("_n")).where(F.col("_n") >= least).select(*[F.col(c).alias(f"{c}2") for c in same])
-    again = lines.join(often, F.col("_group").eqNullSafe(F.col("_group2")) & (F.col("_key") == F.col("_key2")))
+    # lines travel as hashes of group and key
+    key = F.xxhash64("_group", "_key").alias("_k")
+    lines = rows.select("_id", "_group", "_page", F.size("_keys").alias("_size"), F.posexplode("_keys").alias("_at", "_key")).where("_key <> '#' and length(_key) > 3").select("_id", "_page", "_size", "_at", key)
+    often = lines.groupBy("_k").agg(F.count_distinct("_page").alias("_n")).where(F.col("_n") >= least).select("_k")
+    again = lines.join(often, "_k", "left_semi")
     # places two lines apart or less share a slot
     slots = [F.struct(F.lit(side).alias("side"), (place + d).alias("slot")) for side, place in ((0, F.col("_at")), (1, F.col("_size") - 1 - F.col("_at"))) for d in (-1, 0, 1)]
-    placed = again.select("_id", "_group", "_page", "_at", "_key", F.explode(F.array(*slots)).alias("_p")).select("_id", "_page", "_at", *same, F.col("_p.side").alias("_side"), F.col("_p.slot").alias("_slot"))
-    slot = [*same, "_side", "_slot"]
-    fit = placed.groupBy(*slot).agg(F.count_distinct("_page").alias("_n")).where(F.col("_n") >= least).select(*[F.col(c).alias(f"{c}2") for c in slot])
-    kept = placed.join(fit, F.col("_group").eqNullSafe(F.col("_group2")) & (F.col("_key") == F.col("_key2")) & (F.col("_side") == F.col("_side2")) & (F.col("_slot") == F.col("_slot2")), "left_semi")
+    placed = again.select("_id", "_page", "_at", "_k", F.explode(F.array(*slots)).alias("_p")).select("_id", "_page", "_at", "_k", F.col("_p.side").alias("_side"), F.col("_p.slot").alias("_slot"))
+    slot = ["_k", "_side", "_slot"]
+    fit = placed.groupBy(*slot).agg(F.count_distinct("_page").alias("_n")).where(F.col("_n") >= least).select(*slot)
+    kept = placed.join(fit, slot, "left_semi")
     per = kept.groupBy("_id").agg(F.collect_set("_at").alias("_often"))
     return rows.select("_id", "_nos", "_keys").join(per, "_id").mapInPandas(heads, f"_id {kind}, _heads array<int>")
 
