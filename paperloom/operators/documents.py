@@ -6,8 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
-from ..session import materialise
 
 
 def classified(df: DataFrame, text: str, rules: Sequence[tuple[str, str, float]], hint: str | None = None, default: str = "other") -> DataFrame:
@@ -110,9 +110,22 @@ def flattened_json(df: DataFrame, keep: Sequence[str], payload: str, depth: int
     return out
 
 
-def pruned(fields: dict[str, Column]) -> Column:
-    """Text fields as a JSON object without nulls and empty texts."""
-    return F.to_json(F.struct(*[F.when(F.trim(v) != "", v).alias(k) for k, v in fields.items()]))
+def pruned_value(value: Column, kind: DataType) -> Column:
+    """A value without nulls, blank texts and empty containers, at any depth of its type; null if nothing is left."""
+    if isinstance(kind, StringType):
+        return F.when(F.trim(value) != "", value)
+    if isinstance(kind, StructType):
+        parts = [pruned_value(value.getField(f.name), f.dataType).alias(f.name) for f in kind]
+        return F.when(F.coalesce(*[p.isNotNull() & F.lit(True) for p in [F.coalesce(*[q.cast("string") if not isinstance(f.dataType, (StructType, ArrayType)) else F.to_json(F.struct(q.alias("v"))) if isinstance(f.dataType, ArrayType) else F.to_json(q) for q, f in zip(parts, kind)])]]), F.struct(*parts))
+    if isinstance(kind, ArrayType):
+        kept = F.filter(F.transform(value, lambda x: pruned_value(x, kind.elementType)), lambda x: x.isNotNull())
+        return F.when(F.size(kept) > 0, kept)
+    return value
+
+
+def pruned(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Columns of any type as one JSON object without nulls, blank texts and empty containers at any depth."""
+    return F.to_json(F.struct(*[pruned_value(F.col(c), df.schema[c].dataType).alias(c) for c in columns]))
 
 
 def selected(df: DataFrame, column: str, selection: str, families: dict[str, Sequence[str]] | None = None) -> DataFrame:
@@ -161,22 +174,20 @@ def smoothed(df: DataFrame, filing: str, page: str, label: str) -> DataFrame:
     return df.withColumn(label, F.when(F.coalesce(between, F.lit(False)), F.lag(label).over(w)).otherwise(F.col(label)))
 
 
-def reconciled(df: DataFrame, filing: str, page: str, label: str, proposed: str, rounds: int = 3) -> DataFrame:
-    """Proposed labels are taken where a page has none, or where a neighbour already has the proposed one.
+def reconciled(df: DataFrame, filing: str, page: str, label: str, proposed: str) -> DataFrame:
+    """Proposed labels are taken where a page has none, and by weak pages next to one that has the proposed label or takes it.
 
-    Repeated up to ``rounds`` times or until a round changes nothing; each round's map is
-    written to the shared folder, so that lineage stays short.
+    That spreads over any number of pages: a chain of neighbours with one proposal, each without a label or weak,
+    takes it if one of them has no label, has it already, or stands next to a page that has it. So windows alone do it.
     """
     w = Window.partitionBy(filing).orderBy(page)
-    for _ in range(rounds):
-        near = (F.lag(label).over(w) == F.col(proposed)) | (F.lead(label).over(w) == F.col(proposed))
-        take = F.col(proposed).isNotNull() & (F.col(label).isNull() | (F.coalesce(near, F.lit(False)) & F.col("weak")))
-        new = materialise(df.withColumn("_new", F.when(take, F.col(proposed)).otherwise(F.col(label))))
-        changed = new.where(~F.col("_new").eqNullSafe(F.col(label))).limit(1).count()
-        df = new.withColumn(label, F.col("_new")).drop("_new")
-        if not changed:
-            break
-    return df
+    may = F.col(proposed).isNotNull() & (F.col(label).isNull() | F.coalesce("weak", F.lit(False)))
+    x = df.withColumn("_may", may)
+    goes_on = F.coalesce(F.col("_may") & F.lag("_may").over(w) & (F.lag(proposed).over(w) == F.col(proposed)), F.lit(False))
+    seed = F.col("_may") & (F.col(label).isNull() | (F.col(label) == F.col(proposed)) | F.coalesce(F.lag(label).over(w) == F.col(proposed), F.lit(False)) | F.coalesce(F.lead(label).over(w) == F.col(proposed), F.lit(False)))
+    x = x.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_seed", seed).withColumn("_chain", F.sum("_new").over(w))
+    take = F.col("_may") & F.max("_seed").over(Window.partitionBy(filing, "_chain"))
+    return x.withColumn(label, F.when(take, F.col(proposed)).otherwise(F.col(label))).select(*df.columns)
 
 
 def source_transitions(df: DataFrame, filing: str, page: str, header: str) -> DataFrame:

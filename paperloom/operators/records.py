@@ -120,3 +120,68 @@ def switched(pointers: DataFrame, results: DataFrame, key: str) -> DataFrame:
     both = pointers.select(key, F.col("generation").alias("_old")).join(r, key, "full_outer")
     ok = F.coalesce("_ok", F.lit(False))
     return both.select(key, F.when(ok, F.col("_new")).otherwise(F.col("_old")).alias("generation"), F.when(ok, F.col("_old")).otherwise(F.col("_new")).alias("dropped"), (ok & F.col("_old").isNotNull()).alias("stale"))
+
+
+def parsed_marks(df: DataFrame, keep: Sequence[str], content: str) -> DataFrame:
+    """Rows ``(*keep, kind, role, x, y, w, h)``: marks a model found on a page, from its JSON answer.
+
+    The answer is an array of objects, or an object with the array under ``marks``, fenced as code or not. Marks without a kind
+    or whose box isn't inside 0..1 are left out; what isn't JSON gives none.
+    """
+    kind = "array<struct<type:string,role:string,x:double,y:double,w:double,h:double>>"
+    plain = F.regexp_replace(F.trim(content), r"^```(?:json)?\s*|\s*```$", "")
+    found = F.coalesce(F.from_json(F.get_json_object(plain, "$.marks"), kind), F.from_json(F.when(plain.startswith("["), plain), kind))
+    m = df.select(*keep, F.explode(found).alias("_m"))
+    box = F.col("_m.x").between(0, 1) & F.col("_m.y").between(0, 1) & (F.col("_m.w") > 0) & (F.col("_m.h") > 0) & (F.col("_m.x") + F.col("_m.w") <= 1) & (F.col("_m.y") + F.col("_m.h") <= 1)
+    return m.where((F.trim("_m.type") != "") & box).select(*keep, F.lower(F.trim("_m.type")).alias("kind"), F.coalesce(F.nullif(F.lower(F.trim("_m.role")), F.lit("")), F.lit("unknown")).alias("role"), *[F.col(f"_m.{c}").alias(c) for c in "xywh"])
+
+
+def local_pages(findings: DataFrame, layout: DataFrame, ident: str, keys: Sequence[str], pages: str, slot: str) -> DataFrame:
+    """Rows ``(ident, slot, pages)``: a finding's pages as the pages of the documents that hold them, in order.
+
+    ``layout`` has ``keys, slot, page, local_page``; pages no document holds are left out.
+    """
+    asked = findings.select(ident, *keys, F.explode(pages).alias("page")).distinct()
+    return asked.join(layout.select(*keys, slot, "page", "local_page").distinct(), [*keys, "page"]).groupBy(ident, slot).agg(F.array_sort(F.collect_set("local_page")).alias("pages"))
+
+
+def key_fields(df: DataFrame, ident: str, record: str, paths: dict[str, Sequence[str]]) -> DataFrame:
+    """Rows ``(ident, field, value, source)``: for each field the value at the first of its paths that has one, null if none has."""
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    found = lambda ps: (F.coalesce(*[blank(value_at(record, p)) for p in ps]), F.coalesce(*[F.when(blank(value_at(record, p)).isNotNull(), F.lit(p)) for p in ps]))
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value"), s.alias("source")) for f, ps in paths.items() for v, s in [found(ps)]])
+    return df.select(ident, F.explode(rows).alias("_r")).select(ident, "_r.field", "_r.value", "_r.source")
+
+
+def needs_of(df: DataFrame, ident: str, text: str, parts: str, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Rows ``(ident, need, part)``: what a check needs to be seen (R47): a need whose pattern its text holds, on the rule's part, or on each of the check's own.
+
+    ``rules`` are (need, pattern, part); a rule without a part takes the check's parts, and null where it has none.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    hits = F.array_compact(F.array(*[F.when(low.rlike(p), F.struct(F.lit(n).alias("need"), F.lit(part or None).cast("string").alias("part"))) for n, p, part in rules]))
+    own = F.when(F.size(F.coalesce(parts, F.array().cast("array<string>"))) > 0, F.col(parts)).otherwise(F.array(F.lit(None).cast("string")))
+    one = df.select(ident, own.alias("_own"), F.explode(hits).alias("_h"))
+    return one.select(ident, F.col("_h.need").alias("need"), F.explode(F.when(F.col("_h.part").isNull(), F.col("_own")).otherwise(F.array("_h.part"))).alias("part")).distinct()
+
+
+def restored(df: DataFrame, column: str) -> Column:
+    """A column written as JSON and read again by its own type (R48, K5): equal to what it was, but for null fields that are left out."""
+    return F.from_json(F.to_json(column), df.schema[column].dataType.simpleString())
+
+
+def first_existing_id(candidates: DataFrame, existing: DataFrame, key: str, ident: str, priority: str) -> DataFrame:
+    """Rows ``(key, ident)``: of a key's candidates the first by ``priority`` that exists (R15); keys without one have no row."""
+    there = candidates.join(existing.select(ident).distinct(), ident, "left_semi")
+    return there.groupBy(key).agg(F.min(F.struct(F.col(priority).alias("p"), F.col(ident).alias("i")))["i"].alias(ident))
+
+
+def enveloped(df: DataFrame, keep: Sequence[str], fields: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """``df`` with each field as ``struct(value, confidence, pages)`` (N4): the confidence within 0..1 or null, the pages sorted and each once; null values have no envelope."""
+    wrap = lambda v, c, p: F.when(v.isNotNull(), F.struct(v.alias("value"), F.when(c.between(0, 1), c).alias("confidence"), F.array_sort(F.array_distinct(F.array_compact(F.coalesce(p, F.array().cast("array<int>"))))).alias("pages")))
+    return df.select(*keep, *[wrap(*x).alias(name) for name, x in fields.items()])
+
+
+def severity_counts(flags: DataFrame, keys: Sequence[str], severities: Sequence[str]) -> DataFrame:
+    """Per key how many flags of each severity there are, of any, and whether none is an error."""
+    return flags.groupBy(*keys).agg(*[F.count_if(F.col("severity") == s).alias(s) for s in severities], F.count("*").alias("flags"), (F.count_if(F.col("severity") == "error") == 0).alias("passed"))

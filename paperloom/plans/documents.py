@@ -70,11 +70,17 @@ def flatten_nested(spark, d):
     return D.flattened_json(e.select("event_id", payload.alias("p")), ["event_id"], "p")
 
 
-@query("pruned_records", "SELECT DISTINCT filing_id, court IS NOT NULL AS has_court, petition_type IS NOT NULL AS has_type FROM filings")
+@query(
+    "pruned_records",
+    """WITH f AS (SELECT DISTINCT filing_id, nullif(trim(court), '') IS NOT NULL AS c, cause_title.title AS t, cause_title.formatted_title AS ft, list_filter(list_transform(coalesce(advocates_on_record, []), lambda a: a.email), lambda e: trim(e) <> '') AS mails, len(list_filter(coalesce(advocates_on_record, []), lambda a: coalesce(trim(a.name), '') <> '' OR coalesce(trim(a.registration_number), '') <> '' OR coalesce(trim(a.email), '') <> '' OR coalesce(trim(a.mobile), '') <> '' OR coalesce(trim(a.firm), '') <> '' OR coalesce(trim(a.office_address), '') <> '')) AS n FROM filings)
+SELECT DISTINCT filing_id, c AS has_court, CASE WHEN trim(t) <> '' THEN t END AS title, CASE WHEN trim(ft) <> '' THEN ft END AS formatted, CASE WHEN n > 0 THEN CAST(n AS BIGINT) END AS advocates, CAST(len(mails) AS BIGINT) AS mails FROM f""",
+)
 def pruned_records(spark, d):
-    j = D.pruned({"court": F.col("court"), "petition_type": F.col("petition_type"), "empty": F.lit("")})
-    f = table(spark, d, "filings").select("filing_id", j.alias("j"))
-    return f.select("filing_id", F.get_json_object("j", "$.court").isNotNull().alias("has_court"), F.get_json_object("j", "$.petition_type").isNotNull().alias("has_type")).distinct()
+    f = table(spark, d, "filings")
+    j = f.select("filing_id", D.pruned(f, ["court", "petition_type", "cause_title", "advocates_on_record"]).alias("j")).distinct()
+    at = lambda p: F.get_json_object("j", p)
+    mails = F.size(F.regexp_extract_all("j", F.lit('"email":'), F.lit(0)))
+    return j.select("filing_id", at("$.court").isNotNull().alias("has_court"), at("$.cause_title.title").alias("title"), at("$.cause_title.formatted_title").alias("formatted"), F.json_array_length(at("$.advocates_on_record")).cast("bigint").alias("advocates"), mails.cast("bigint").alias("mails")).distinct()
 
 
 @query("output_selection", f"WITH {FP} SELECT DISTINCT filing_id, slot_id, label NOT IN ('index', 'synopsis', 'affidavit', 'vakalatnama') AS excluded FROM fp")
@@ -111,10 +117,15 @@ def _weak(spark, d):
     return pages.withColumn("label", F.when(F.col("page") % 4 != 0, F.col("label"))).withColumn("weak", F.col("page") % 7 == 1)
 
 
-@query("reconciled_labels")
+@query(
+    "reconciled_labels",
+    f"""WITH {REP}, x AS (SELECT *, CASE WHEN page % 2 = 0 THEN 'annexures' ELSE CASE WHEN page % 5 = 1 THEN 'annexures' END END AS pr FROM o), m AS (SELECT *, pr IS NOT NULL AND (label IS NULL OR weak) AS may FROM x),
+g AS (SELECT *, CASE WHEN coalesce(may AND lag(may) OVER w AND lag(pr) OVER w = pr, false) THEN 0 ELSE 1 END AS fresh, may AND (label IS NULL OR label = pr OR coalesce(lag(label) OVER w = pr, false) OR coalesce(lead(label) OVER w = pr, false)) AS seed FROM m WINDOW w AS (PARTITION BY filing_id ORDER BY page)),
+c AS (SELECT *, sum(fresh) OVER (PARTITION BY filing_id ORDER BY page) AS chain FROM g) SELECT filing_id, page, CASE WHEN may AND bool_or(seed) OVER (PARTITION BY filing_id, chain) THEN pr ELSE label END AS label FROM c""",
+)
 def reconciled_labels(spark, d):
-    pages = _weak(spark, d).withColumn("proposed", F.when(F.col("page") % 2 == 0, F.lit("annexures")))
-    return D.reconciled(pages, "filing_id", "page", "label", "proposed").select("filing_id", "page", "label")
+    proposed = F.when((F.col("page") % 2 == 0) | (F.col("page") % 5 == 1), F.lit("annexures"))
+    return D.reconciled(_weak(spark, d).withColumn("proposed", proposed), "filing_id", "page", "label", "proposed").select("filing_id", "page", "label")
 
 
 @query("source_transitions", f"WITH {FP}, o AS (SELECT filing_id, page, min(label) AS h FROM fp GROUP BY 1, 2), x AS (SELECT *, lag(h) OVER w AS before, lag(h, 2) OVER w AS b2, lead(h) OVER w AS n FROM o WINDOW w AS (PARTITION BY filing_id ORDER BY page)) SELECT filing_id, page, before, h AS \"after\" FROM x WHERE before = b2 AND h = n AND before <> h")
@@ -123,9 +134,20 @@ def source_transitions(spark, d):
     return D.source_transitions(pages, "filing_id", "page", "h")
 
 
-@query("selected_pages", f"WITH {PT}, r AS (SELECT page_id, row_number() OVER (PARTITION BY filing_id ORDER BY page) AS a, row_number() OVER (PARTITION BY filing_id ORDER BY page DESC) AS b FROM pt) SELECT page_id, CASE WHEN a = 1 THEN 100 ELSE 80 END AS priority FROM r WHERE a = 1 OR b = 1")
+@query(
+    "selected_pages",
+    f"""WITH {PT}, r AS (SELECT page_id, filing_id, page, t, row_number() OVER (PARTITION BY filing_id ORDER BY page) AS a, row_number() OVER (PARTITION BY filing_id ORDER BY page DESC) AS b, count(*) OVER (PARTITION BY filing_id) AS n FROM pt), q AS (SELECT *, row_number() OVER (PARTITION BY filing_id ORDER BY page DESC) AS k FROM r WHERE contains(lower(coalesce(t, '')), 'counter-affidavit'))
+SELECT 'all' AS selector, page_id, CASE WHEN a = 1 THEN 100 ELSE 80 END AS priority FROM r UNION ALL SELECT 'first', page_id, 100 FROM r WHERE a = 1 UNION ALL SELECT 'last', page_id, CASE WHEN a = 1 THEN 100 ELSE 80 END FROM r WHERE b = 1 UNION ALL SELECT 'first_last', page_id, CASE WHEN a = 1 THEN 100 ELSE 80 END FROM r WHERE a = 1 OR b = 1
+UNION ALL SELECT 'all_short', page_id, CASE WHEN a = 1 THEN 100 ELSE 80 END FROM r WHERE n <= 3 UNION ALL SELECT 'cues', page_id, 90 FROM q WHERE k <= 2""",
+)
 def selected_pages(spark, d):
-    return D.selected_pages(scanned(spark, d), "filing_id", "page", "first_last").select("page_id", "priority")
+    """All six selectors."""
+    pages, cue = scanned(spark, d), F.contains(F.lower(F.coalesce("t", F.lit(""))), F.lit("counter-affidavit"))
+    out = None
+    for name in ("all", "first", "last", "first_last", "all_short", "cues"):
+        one = D.selected_pages(pages, "filing_id", "page", name, cue).select(F.lit(name).alias("selector"), "page_id", "priority")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("marks_for_needs", f"WITH {FE}, {FP} SELECT DISTINCT evidence_id, label FROM (SELECT * FROM fe WHERE page IS NOT NULL) e JOIN fp ON e.filing_id = fp.filing_id AND e.page = fp.page WHERE (boxes_status = 'matched' AND label IN ('affidavit', 'vakalatnama')) OR (boxes_status = 'partial' AND label = 'annexures')")

@@ -128,10 +128,14 @@ def snippets(spark, d):
     return evidence(spark, d).select("evidence_id", T.snippet("quote", "court").alias("snippet"))
 
 
-@query("safe_boxes", "SELECT l_orderkey, l_linenumber, CASE WHEN w > 0 AND h > 0 AND least(greatest(x + w, 0), 1) - least(greatest(x, 0), 1) >= 0.002 AND least(greatest(y + h, 0), 1) - least(greatest(y, 0), 1) >= 0.002 THEN round_even(least(greatest(x + w, 0), 1) - least(greatest(x, 0), 1), 6) END AS w FROM (SELECT l_orderkey, l_linenumber, l_discount * 12 - 0.1 AS x, l_tax * 10 AS y, l_quantity / 60 AS w, (l_quantity - 5) / 90 AS h FROM lineitem)")
+@query(
+    "safe_boxes",
+    """WITH b AS (SELECT l_orderkey, l_linenumber, l_discount * 12 - 0.1 AS x, l_tax * 10 AS y, l_quantity / 60 AS w, (l_quantity - 5) / 90 AS h FROM lineitem), c AS (SELECT *, least(greatest(x, 0), 1) AS x0, least(greatest(y, 0), 1) AS y0, least(greatest(x + w, 0), 1) AS x1, least(greatest(y + h, 0), 1) AS y1 FROM b), o AS (SELECT *, w > 0 AND h > 0 AND x1 - x0 >= 0.002 AND y1 - y0 >= 0.002 AS ok FROM c)
+SELECT l_orderkey, l_linenumber, CASE WHEN ok THEN round_even(x0, 6) END AS x, CASE WHEN ok THEN round_even(y0, 6) END AS y, CASE WHEN ok THEN round_even(x1 - x0, 6) END AS w, CASE WHEN ok THEN round_even(y1 - y0, 6) END AS h FROM o""",
+)
 def safe_boxes(spark, d):
     box = T.unit_box(F.col("l_discount") * 12 - 0.1, F.col("l_tax") * 10, F.col("l_quantity") / 60, (F.col("l_quantity") - 5) / 90)
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", box["w"].alias("w"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[box[c].alias(c) for c in "xywh"])
 
 
 @query("label_expansion", "SELECT DISTINCT record_id, list_contains(document_part_ids, 'synopsis') OR list_contains(document_part_ids, 'index') AS front FROM chunks WHERE document_part_ids IS NOT NULL")

@@ -261,6 +261,6 @@ def jump_filter(spark, d):
     return A.without_jumps(words, "l_orderkey", "n", 0.3, 2)
 
 
-@query("page_margins", "WITH w AS (SELECT l_orderkey, l_quantity / 60 AS x, l_linenumber / 9 AS y, l_tax + 0.01 AS w, l_discount / 2 + 0.01 AS h FROM lineitem), m AS (SELECT l_orderkey, min(x) * 595.0 AS l, (1 - max(x + w)) * 595.0 AS r, min(y) * 842.0 AS t, (1 - max(y + h)) * 842.0 AS b FROM w GROUP BY 1) SELECT l_orderkey, least(l, r) + 3.0 >= 113.4 AND least(t, b) + 3.0 >= 56.7 AS wide_enough FROM m")
+@query("page_margins", "WITH w AS (SELECT l_orderkey, l_quantity / 60 AS x, l_linenumber / 9 AS y, l_tax + 0.01 AS w, l_discount / 2 + 0.01 AS h FROM lineitem), m AS (SELECT l_orderkey, min(x) * 595.0 AS l, (1 - max(x + w)) * 595.0 AS r, min(y) * 842.0 AS t, (1 - max(y + h)) * 842.0 AS b FROM w GROUP BY 1) SELECT l_orderkey, round_even(l, 2) AS \"left\", round_even(r, 2) AS \"right\", round_even(t, 2) AS top, round_even(b, 2) AS bottom, least(l, r) + 3.0 >= 113.4 AND least(t, b) + 3.0 >= 56.7 AS wide_enough FROM m")
 def page_margins(spark, d):
-    return A.margins(_words(spark, d), ["l_orderkey"]).select("l_orderkey", "wide_enough")
+    return A.margins(_words(spark, d), ["l_orderkey"])

@@ -253,3 +253,64 @@ def followed_up(spark, d):
     hits = unscoped(spark, d)
     parts = asked(spark, d).select("query_id", F.explode(F.sequence(F.lit(0), F.lit(200), F.lit(2))).alias("label"))
     return V.followed_up(hits, hits.where("vec_id % 3 = 0"), parts, "query_id", "vec_id", "label", 4)
+
+
+# ------------------------------------------------------------ marks, pages, fields, needs
+
+
+@query("parsed_marks", f"WITH {FE}, m AS (SELECT evidence_id, 'signature' AS kind, CASE WHEN slot_id IS NULL OR trim(slot_id) = '' THEN 'unknown' ELSE lower(trim(slot_id)) END AS role, confidence AS x, 0.5 AS y, 0.25 AS w, CASE WHEN page % 5 = 0 THEN 0.75 ELSE 0.5 END AS h, page FROM fe) SELECT DISTINCT evidence_id, kind, role, x, y, w, h FROM m WHERE x BETWEEN 0 AND 1 AND x + w <= 1 AND y + h <= 1 AND page % 7 <> 0")
+def parsed_marks(spark, d):
+    """Answers as arrays, as objects or fenced; every seventh page's answer isn't JSON."""
+    e = table(spark, d, "finding_evidence").where("page is not null")
+    mark = F.to_json(F.array(F.struct(F.lit(" Signature ").alias("type"), F.col("slot_id").alias("role"), F.col("confidence").alias("x"), F.lit(0.5).alias("y"), F.lit(0.25).alias("w"), F.when(F.col("page") % 5 == 0, 0.75).otherwise(0.5).alias("h"))))
+    answer = F.when(F.col("page") % 7 == 0, F.lit("no marks here")).when(F.col("page") % 3 == 0, F.concat(F.lit('{"marks":'), mark, F.lit("}"))).when(F.col("page") % 3 == 1, F.concat(F.lit("```json\n"), mark, F.lit("\n```"))).otherwise(mark)
+    return R.parsed_marks(e.withColumn("answer", answer), ["evidence_id"], "answer").distinct()
+
+
+@query("local_pages", f"WITH {FP}, l AS (SELECT filing_id, slot_id, page, row_number() OVER (PARTITION BY filing_id, slot_id ORDER BY page) AS local FROM (SELECT DISTINCT filing_id, slot_id, page FROM fp)), e AS (SELECT DISTINCT evidence_id, filing_id, unnest([page, page + 1, page]) AS page FROM finding_evidence WHERE page IS NOT NULL) SELECT evidence_id, slot_id, list(DISTINCT local ORDER BY local) AS pages FROM e JOIN l USING (filing_id, page) GROUP BY 1, 2")
+def local_pages(spark, d):
+    p = filing_pages(spark, d).select("filing_id", "slot_id", "page").distinct()
+    layout = p.withColumn("local_page", F.row_number().over(Window.partitionBy("filing_id", "slot_id").orderBy("page")))
+    e = table(spark, d, "finding_evidence").where("page is not null").withColumn("pages", F.array("page", F.col("page") + 1, "page"))
+    return R.local_pages(e, layout, "evidence_id", ["filing_id"], "pages", "slot_id")
+
+
+@query("key_fields", "WITH f AS (SELECT DISTINCT filing_id, court, petition_type, cause_title FROM filings), r AS (SELECT filing_id, 'title' AS field, nullif(trim(cause_title.formatted_title), '') AS a, nullif(trim(cause_title.title), '') AS b, 'cause_title.formatted_title' AS pa, 'cause_title.title' AS pb FROM f UNION ALL SELECT filing_id, 'court', nullif(trim(court), ''), NULL, 'court', NULL FROM f UNION ALL SELECT filing_id, 'kind', NULL, nullif(trim(petition_type), ''), 'kind', 'petition_type' FROM f) SELECT DISTINCT filing_id, field, coalesce(a, b) AS value, CASE WHEN a IS NOT NULL THEN pa WHEN b IS NOT NULL THEN pb END AS source FROM r")
+def key_fields(spark, d):
+    f = table(spark, d, "filings").select("filing_id", F.to_json(F.struct("court", "petition_type", "cause_title")).alias("j"))
+    return R.key_fields(f, "filing_id", "j", {"title": ["cause_title.formatted_title", "cause_title.title"], "court": ["court"], "kind": ["kind", "petition_type"]}).distinct()
+
+
+@query("needs_of_checks", f"WITH {FE}, n AS (SELECT evidence_id, 'signature' AS need, 'vakalatnama' AS part FROM fe WHERE contains(lower(coalesce(quote, '')), 'signature') UNION ALL SELECT evidence_id, 'stamp', slot_id FROM fe WHERE regexp_matches(lower(coalesce(quote, '')), 'certified cop|seal')) SELECT DISTINCT * FROM n")
+def needs_of_checks(spark, d):
+    e = table(spark, d, "finding_evidence").withColumn("parts", F.when(F.col("slot_id").isNotNull(), F.array("slot_id")))
+    return R.needs_of(e, "evidence_id", "quote", "parts", [("signature", "signature", "vakalatnama"), ("stamp", "certified cop|seal", "")])
+
+
+@query("restored_artifacts", "SELECT DISTINCT filing_id, cause_title.title AS title, cause_title.main_petitioner AS petitioner, CAST(len(petitioners) AS INT) AS n FROM filings")
+def restored_artifacts(spark, d):
+    f = table(spark, d, "filings")
+    r = f.select("filing_id", R.restored(f, "cause_title").alias("c"), R.restored(f, "petitioners").alias("p"))
+    return r.select("filing_id", F.col("c.title").alias("title"), F.col("c.main_petitioner").alias("petitioner"), F.when(F.col("p").isNotNull(), F.size("p")).alias("n")).distinct()
+
+
+@query("first_existing_id", "WITH c AS (SELECT DISTINCT record_id, file_hash, primary_page, chunk_index FROM chunks WHERE file_hash IS NOT NULL AND primary_page IS NOT NULL), x AS (SELECT record_id FROM chunks WHERE chunk_kind = 'page' AND ocr_status = 'ocr'), k AS (SELECT file_hash, record_id, primary_page * 1000 + coalesce(chunk_index, 0) AS p FROM c WHERE record_id IN (SELECT record_id FROM x)) SELECT file_hash, record_id FROM k QUALIFY row_number() OVER (PARTITION BY file_hash ORDER BY p, record_id) = 1")
+def first_existing_id(spark, d):
+    c = table(spark, d, "chunks")
+    candidates = c.where("file_hash is not null and primary_page is not null").select("file_hash", "record_id", (F.col("primary_page") * 1000 + F.coalesce("chunk_index", F.lit(0))).alias("p")).distinct()
+    return R.first_existing_id(candidates, c.where("chunk_kind = 'page' and ocr_status = 'ocr'"), "file_hash", "record_id", "p")
+
+
+@query("enveloped_records", f"WITH {FE} SELECT DISTINCT evidence_id, quote AS value, CASE WHEN quote IS NOT NULL AND confidence BETWEEN 0 AND 1 THEN confidence END AS confidence, CASE WHEN quote IS NOT NULL THEN CASE WHEN page IS NULL THEN [] ELSE [page, page + 1] END END AS pages FROM fe")
+def enveloped_records(spark, d):
+    e = table(spark, d, "finding_evidence").distinct()
+    pages = F.array(F.col("page") + 1, "page", F.col("page") + 1, F.lit(None).cast("int"))
+    x = R.enveloped(e, ["evidence_id"], {"quote": (F.col("quote"), F.col("confidence"), pages)})
+    return x.select("evidence_id", "quote.value", "quote.confidence", "quote.pages").distinct()
+
+
+@query("severity_counts", "WITH RECURSIVE c AS (SELECT DISTINCT record_id, workspace_id, chunk_kind, chunk_text, vector_schema_version FROM chunks), f AS (SELECT workspace_id, 'error' AS severity FROM c WHERE vector_schema_version IS DISTINCT FROM 4 UNION ALL SELECT workspace_id, 'warning' FROM c WHERE chunk_text IS NOT NULL AND length(chunk_text) < 40) SELECT workspace_id, count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warning') AS warning, count(*) AS flags, count(*) FILTER (severity = 'error') = 0 AS passed FROM f GROUP BY 1")
+def severity_counts(spark, d):
+    c = table(spark, d, "chunks").select("record_id", "workspace_id", "chunk_kind", "chunk_text", "vector_schema_version").distinct()
+    flags = c.where("not vector_schema_version <=> 4").select("workspace_id", F.lit("error").alias("severity")).unionByName(c.where("chunk_text is not null and length(chunk_text) < 40").select("workspace_id", F.lit("warning").alias("severity")))
+    return R.severity_counts(flags, ["workspace_id"], ["error", "warning"])

@@ -121,12 +121,12 @@ def flag_filter(spark, d):
 @query(
     "absence_owner",
     f"""WITH {FE}, w AS (SELECT replace(lower(document_part), ' ', '_') AS part, check_id, count(*) AS n FROM fe WHERE document_part IS NOT NULL AND check_id IS NOT NULL GROUP BY 1, 2)
-SELECT part, check_id FROM w WHERE part NOT IN (SELECT document_part_id FROM chunks WHERE document_part_id IS NOT NULL AND chunk_kind = 'summary') QUALIFY row_number() OVER (PARTITION BY part ORDER BY n, check_id) = 1""",
+SELECT part, check_id FROM w WHERE part NOT IN (SELECT document_part_id FROM chunks WHERE document_part_id IS NOT NULL AND vector_schema_version IS NULL) QUALIFY row_number() OVER (PARTITION BY part ORDER BY n, check_id) = 1""",
 )
 def absence_owner(spark, d):
     fe = evidence(spark, d).where("document_part is not null and check_id is not null")
     wanted = fe.groupBy(F.replace(F.lower("document_part"), F.lit(" "), F.lit("_")).alias("part"), "check_id").agg(F.count("*").alias("n"))
-    present = table(spark, d, "chunks").where("document_part_id is not null and chunk_kind = 'summary'").select(F.col("document_part_id").alias("part"))
+    present = table(spark, d, "chunks").where("document_part_id is not null and vector_schema_version is null").select(F.col("document_part_id").alias("part"))
     return R.owner_of_missing(wanted, present, "part", ["n", "check_id"], "check_id")
 
 

@@ -71,10 +71,10 @@ def selection_budget(spark, d):
     return R.within_budget(unscoped(spark, d), "query_id", b, [F.desc(F.col("label") == F.col("query_id") % 10), F.desc("score"), F.col("vec_id")])
 
 
-@query("retrieval_broaden_missing", f"WITH {ALL}, w AS (SELECT q.query_id, l.label FROM q, (SELECT DISTINCT label FROM embeddings WHERE label < 5) l) SELECT query_id, label FROM w ANTI JOIN t USING (query_id, label)")
+@query("retrieval_broaden_missing", f"WITH {ALL}, w AS (SELECT q.query_id, l.label FROM q, (SELECT DISTINCT label FROM embeddings WHERE label < 5) l) SELECT query_id, label FROM w ANTI JOIN (SELECT * FROM t WHERE rank <= 6) USING (query_id, label)")
 def retrieval_broaden_missing(spark, d):
     wanted = asked(spark, d).select("query_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("label"))
-    return R.missing_parts(wanted, unscoped(spark, d), "query_id", "label")
+    return R.missing_parts(wanted, unscoped(spark, d).where("rank <= 6"), "query_id", "label")
 
 
 @query("rerank_by_scores", f"WITH {ALL}, r AS (SELECT query_id, vec_id, (vec_id * 37) % 101 / 101.0 AS s FROM t WHERE vec_id % 3 <> 0) SELECT t.*, row_number() OVER (PARTITION BY query_id ORDER BY s DESC NULLS LAST, rank) AS rerank FROM t LEFT JOIN r USING (query_id, vec_id)")

@@ -10,6 +10,7 @@ from paperloom.functions import text as T
 from paperloom.operators import alignment as A
 from paperloom.operators import chunking as C
 from paperloom.operators import documents as D
+from paperloom.operators import ownership as O
 from paperloom.operators import pages as P
 from paperloom.operators import quality as Q
 from paperloom.operators import relations as R
@@ -248,3 +249,106 @@ def test_whole_tables_of_the_column_functions(spark, tmp_path):
     cut = {r["doc_id"]: (r["head"], r["rest"]) for r in P2.byte_slices(spark, str(tmp_path)).collect()}
     assert cut == {i: (t[:3], md5(t[3:])) for i, t in enumerate(texts) if t is not None}
     assert P2.clean_markup(spark, str(tmp_path)).count() == 5
+
+
+def brute_bucket(times, per_minute, burst):
+    level, last, out = burst, None, []
+    for t in times:
+        now = t if last is None else max(t, last)
+        level = min(burst, level + (0 if last is None else (now - last) * per_minute / 60))
+        wait = 0.0 if level >= 1 else (1 - level) * 60 / per_minute
+        level, last = level + wait * per_minute / 60 - 1, now + wait
+        out.append(round(now + wait - t, 3))
+    return out
+
+
+def test_bucket_and_pacing_by_brute_force(spark):
+    """Waits and slots as one request after the other gives them, over the slices' edges, for a hot key and a null one."""
+    import datetime
+
+    rnd = random.Random(11)
+    t0 = datetime.datetime(2024, 1, 1)
+    times = {"hot": sorted(rnd.choice([rnd.uniform(0, 9000), rnd.uniform(4000, 4300)]) for _ in range(300)), None: [5.0, 5.0, 5.0, 7300.0], "one": [0.0]}
+    rows = [(k, t0 + datetime.timedelta(seconds=round(t, 3)), i) for k, ts in times.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, i int")
+    got = {(r["k"], r["i"]): r["wait"] for r in J.token_bucket(df, "k", "ts", "i", 2.0, 4).collect()}
+    for k, ts in times.items():
+        for i, w in enumerate(brute_bucket([round(t, 3) for t in ts], 2.0, 4)):
+            assert abs(got[k, i] - w) < 0.01
+    slots = {(r["k"], r["i"]): r["slot"] for r in J.paced(df, "k", "ts", "i", 30.0).collect()}
+    for k, ts in times.items():
+        last = None
+        for i, t in enumerate(ts):
+            last = round(t, 3) if last is None else max(round(t, 3), last + 30.0)
+            assert abs(slots[k, i] - t0.replace(tzinfo=datetime.timezone.utc).timestamp() - last) < 0.01
+    assert J.token_bucket(df.limit(0), "k", "ts", "i", 2.0, 4).count() == 0
+
+
+def test_hot_key_of_many_events(spark):
+    """Half of the events have one key."""
+    n = 200_000
+    df = spark.range(n).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 5000)).alias("k"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 86400).alias("ts"), "id")
+    assert J.token_bucket(df, "k", "ts", "id", 600.0, 5).count() == n
+    assert J.paced(df, "k", "ts", "id", 0.5).agg(F.max("slot") - F.min("slot")).first()[0] >= n / 4 - 1
+
+
+def test_queue_state(spark):
+    import datetime
+
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    sent = spark.createDataFrame([("a", at(0)), ("a", at(50)), ("b", at(10)), ("c", at(10)), (None, at(1)), ("d", at(100))], "message_id string, sent_at timestamp")
+    did = spark.createDataFrame([("a", at(5), "receive", 100.0), ("a", at(6), "extend", 20.0), ("b", at(20), "receive", None), ("c", at(11), "delete", None), ("x", at(1), "delete", None), ("d", at(50), "delete", None)], "message_id string, at timestamp, action string, seconds double")
+    got = {r["message_id"]: (r["hidden_until"] and r["hidden_until"] - at(0).replace(tzinfo=datetime.timezone.utc).timestamp(), r["visible"]) for r in J.queue_state(sent, did, "2024-01-01 00:00:40").collect()}
+    assert got == {"a": (26.0, True), "b": (50.0, False), "d": (None, True)}
+
+
+def test_refined_boundaries(spark):
+    r = spark.createDataFrame([("f", "s1", 1, 10), ("f", "s2", 11, 14), (None, "s3", 1, 2)], "f string, s string, start int, end int")
+    m = spark.createDataFrame([("f", 1, "P", 19), ("f", 3, "R", 20), ("f", 4, "P", 20), ("f", 6, "P", 20), ("f", 8, "P", 22), ("f", 9, "P", 21), ("f", 12, "P", 2)], "f string, page int, series string, number int")
+    got = sorted((x["s"], x["piece"], x["start"], x["end"]) for x in O.refined_by_marks(r, m, "f", "s", "start", "end").collect())
+    assert got == [("s1", 1, 1, 3), ("s1", 2, 4, 8), ("s1", 3, 9, 10), ("s2", 1, 11, 14), ("s3", 1, 1, 2)]
+    c = spark.createDataFrame([("f", 1, 1, "cover", False), ("f", 2, 5, "index", False), ("f", 6, 8, "index", True), ("f", 9, 10, "brief", True), ("f", 11, 12, "brief", True), ("f", 14, 14, "x", True)], "f string, start int, end int, category string, supported boolean")
+    got = sorted((x["s"], x["piece"], x["start"], x["end"]) for x in O.refined_by_openings(r, c, "f", "s").collect())
+    # the index runs on over its two pieces; s2 isn't covered whole
+    assert got == [("s1", 1, 1, 1), ("s1", 2, 2, 8), ("s1", 3, 9, 10), ("s2", 1, 11, 14), ("s3", 1, 1, 2)]
+    assert O.refined_by_marks(r.limit(0), m, "f", "s", "start", "end").count() == 0
+
+
+def test_reconciled_spreads_over_any_distance(spark):
+    rows = [("f", p, "a" if p == 1 else "b", True, "a" if p > 1 else None) for p in range(1, 40)] + [("f", 40, "c", False, "a"), ("f", 41, "b", True, "a"), ("g", 1, None, False, "z"), ("g", 2, "b", True, "y")]
+    df = spark.createDataFrame(rows, "f string, page int, label string, weak boolean, proposed string")
+    got = {(r["f"], r["page"]): r["label"] for r in D.reconciled(df, "f", "page", "label", "proposed").collect()}
+    assert all(got["f", p] == "a" for p in range(1, 40)) and got["f", 40] == "c" and got["f", 41] == "b" and got["g", 1] == "z" and got["g", 2] == "b"
+
+
+def test_reranked_keeps_every_hit(spark):
+    hits = spark.createDataFrame([(1, i, i) for i in range(1, 101)], "q int, i int, rank int")
+    scores = spark.createDataFrame([(1, i, float(i)) for i in range(1, 101) if i % 2], "q int, i int, score double")
+    got = {r["i"]: r["rerank"] for r in V.reranked(hits, scores, "q", "i").collect()}
+    assert len(got) == 100 and got[59] == 1 and got[1] == 30 and got[2] == 31 and all(got[i] == i for i in range(61, 101))
+
+
+def test_moved_keys_and_generations(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.upsert_partitions(spark, path, spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (3, 1, "b")], "k int, v int, p string"), ["k"], "v", "p")
+    sinks.upsert_partitions(spark, path, spark.createDataFrame([(1, 2, "b"), (None, 2, "a")], "k int, v int, p string"), ["k"], "v", "p")
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("k", "v", "p").collect()) == [(1, 2, "b"), (2, 1, "b"), (3, 1, "b")]
+    g = str(tmp_path / "g")
+    for name in ("g1", "g2", "g3"):
+        sinks.write_generation(spark.createDataFrame([(name,)], "x string"), g, name)
+        assert [(r["x"], r["generation"]) for r in sinks.read_active(spark, g).collect()] == [(name, name)]
+    assert sorted(p.name for p in (tmp_path / "g").iterdir() if p.name.startswith("gen")) == ["generation=g3"]
+
+
+def test_cluster_needs_a_shared_folder():
+    from paperloom import session
+
+    class Unset(dict):
+        master = "spark://somewhere:7077"
+
+    class Session:
+        conf = Unset()
+        sparkContext = Unset()
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
