@@ -62,6 +62,25 @@ def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return out.select("file_hash", "record_id", F.md5(F.col("chunk_text").cast("binary")).alias("text_md5"), "removed_lines")
 
 
+@query(
+    "p1_over_copies",
+    """
+WITH r AS (SELECT DISTINCT record_id, file_hash, chunk_text, trim(regexp_replace(trim(chunk_text), '\\s+', ' ', 'g')) c, CAST(indexed_at AS DATE) d FROM chunks WHERE regexp_matches(chunk_text, '\\S')),
+s AS (SELECT file_hash, count(DISTINCT c) n FROM r GROUP BY 1 HAVING n >= 10),
+x AS (SELECT record_id, file_hash, c, d, string_split(chunk_text, chr(10)) ls FROM r),
+l AS (SELECT record_id, file_hash, c, d, unnest(ls) line, generate_subscripts(ls, 1) line_no FROM x),
+k AS (SELECT record_id, file_hash, c, d, line_no, trim(regexp_replace(regexp_replace(lower(line), '\\s+', ' ', 'g'), '[0-9]+', '0', 'g')) key FROM l),
+p AS (SELECT file_hash, key, c, min(d) d FROM k WHERE length(regexp_replace(key, '[^a-z]', '', 'g')) >= 12 GROUP BY 1, 2, 3),
+m AS (SELECT file_hash, key, count(*) m, greatest(count(DISTINCT d), 1) dd FROM p GROUP BY 1, 2),
+e AS (SELECT m.file_hash, key FROM m JOIN s ON m.file_hash IS NOT DISTINCT FROM s.file_hash WHERE m >= 5 AND m >= 0.1 * n AND dd >= 2)
+SELECT DISTINCT record_id, CAST(line_no AS BIGINT) AS line_no FROM k JOIN e ON k.key = e.key AND k.file_hash IS NOT DISTINCT FROM e.file_hash""",
+)
+def p1_over_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Copies of a text collapse into one cluster, whatever their ids, and a line must come on two dates at least: text published again is no boilerplate."""
+    found = repeated_lines(table(spark, d, "chunks"), "file_hash", "record_id", "chunk_text", "indexed_at", cluster_by="text", min_dates=2)
+    return found.select("record_id", "line_no")
+
+
 def _pieces(spark: SparkSession, d: str, **more) -> DataFrame:
     return split_oversized(table(spark, d, "chunks"), ["chunk_index"], ["file_hash", "primary_page"], "record_id", "chunk_text", **more)
 
@@ -76,6 +95,16 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+@query("p4_reassembled", "SELECT DISTINCT record_id, md5(chunk_text) AS text_md5, true AS fits FROM chunks WHERE chunk_text IS NOT NULL")
+def p4_reassembled(spark: SparkSession, d: str) -> DataFrame:
+    """The texts put together again from what each piece adds to those before it, and whether all pieces keep to the limit and the overlap."""
+    p = _pieces(spark, d).select("record_id", "part", "start", "piece")
+    whole = p.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("part", "start", "piece"))).alias("_p"))
+    end = lambda x: x["start"] + F.length(x["piece"])
+    joined = F.aggregate("_p", F.struct(F.lit("").alias("t"), F.lit(True).alias("ok")), lambda a, x: F.struct(F.concat(a["t"], F.substring(x["piece"], F.length(a["t"]) - x["start"] + 1, F.length(x["piece"]))).alias("t"), (a["ok"] & (F.length(x["piece"]) <= 3500) & (F.length(a["t"]) - x["start"]).between(0, 200) & ((end(x) > F.length(a["t"])) | (x["part"] == 0))).alias("ok")))
+    return whole.select("record_id", joined.alias("j")).select("record_id", F.md5(F.col("j.t").cast("binary")).alias("text_md5"), F.col("j.ok").alias("fits"))
+
+
 @query("p7_ids")
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(table(spark, d, "documents"), "doc_id", "text")
@@ -103,6 +132,19 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(_mix(spark, d), table(spark, d, "mix_targets"), "source", "n_tokens")
 
 
+@query("p8_fair", "SELECT DISTINCT t.source, true AS within_repeats, true AS in_share FROM mix_targets t WHERE target_weight > 0 AND max_repeats > 0 AND source IN (SELECT source FROM documents WHERE text <> '')")
+def p8_fair(spark: SparkSession, d: str) -> DataFrame:
+    """Of each source in the mix: no document comes more often than it may, nor a round before the last one is through, and its size is its share, to within a largest document."""
+    mix = materialise(_mix(spark, d))
+    targets = table(spark, d, "mix_targets").groupBy("source").agg(F.max("target_weight").alias("w"), F.max("max_repeats").alias("r"))
+    per = mix.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("most"), F.max("repeat_no").alias("top"), F.count_distinct("doc_id").alias("docs"), F.count("*").alias("copies"))
+    both = per.join(targets, "source")
+    whole = Window.partitionBy()
+    share = F.col("w") / F.sum("w").over(whole) * F.sum("n").over(whole)
+    rounds = (F.col("top") <= F.col("r")) & ((F.col("top") == 1) | (F.col("copies") > (F.col("top") - 1) * F.col("docs")))
+    return both.select("source", rounds.alias("within_repeats"), (F.abs(F.col("n") - share) <= F.max("most").over(whole)).alias("in_share"))
+
+
 @query("p9_languages")
 def p9_languages(spark: SparkSession, d: str) -> DataFrame:
     return identify(table(spark, d, "documents"))
