@@ -242,3 +242,76 @@ def rising_numbers(df: DataFrame, filing: str, page: str, label: str, number: Co
     w = Window.partitionBy(filing).orderBy(page).rowsBetween(Window.unboundedPreceding, 0)
     top = F.max(F.when(number.isNotNull(), F.struct(number.alias("n"), F.col(label).alias("l")))).over(w)
     return df.withColumn(label, F.when(number.isNotNull(), top["l"]).otherwise(F.col(label)))
+
+
+def bracketed(df: DataFrame, filing: str, page: str, label: str, entries: DataFrame) -> DataFrame:
+    """A pass: weak or unlabelled pages take the label of the index entry whose range they stand in (G4): from its start to the next entry's.
+
+    ``entries`` has ``filing, start, part``; of entries with one start the first by name holds. The last start up to a page is found by one window
+    over pages and starts together, not by a range join.
+    """
+    first = entries.groupBy(filing, F.col("start").alias(page)).agg(F.min("part").alias("_part"))
+    marks = df.select(*df.columns, F.lit(None).cast("string").alias("_part"), F.lit(1).alias("_o")).unionByName(first.withColumn("_o", F.lit(0)), allowMissingColumns=True)
+    held = F.last("_part", True).over(Window.partitionBy(filing).orderBy(page, "_o").rowsBetween(Window.unboundedPreceding, 0))
+    x = marks.withColumn("_held", held).where("_o = 1")
+    take = F.col("_held").isNotNull() & (F.col(label).isNull() | F.coalesce("weak", F.lit(False)))
+    return x.withColumn(label, F.when(take, F.col("_held")).otherwise(F.col(label))).select(*df.columns)
+
+
+def reopened(df: DataFrame, filing: str, page: str, label: str, heading: str) -> DataFrame:
+    """A pass: a page whose heading names another label opens it, and the unlabelled or weak pages behind go on with it up to the next heading or firm page."""
+    w = Window.partitionBy(filing).orderBy(page).rowsBetween(Window.unboundedPreceding, 0)
+    firm = F.col(label).isNotNull() & ~F.coalesce("weak", F.lit(False))
+    word = F.when(F.col(heading).isNotNull(), F.struct(F.lit(True).alias("h"), F.col(heading).alias("l"))).when(firm, F.struct(F.lit(False).alias("h"), F.col(label).alias("l")))
+    x = df.withColumn("_last", F.last(word, True).over(w))
+    take = F.col(heading).isNotNull() | F.coalesce(F.col("_last.h"), F.lit(False))
+    return x.withColumn(label, F.when(take, F.col("_last.l")).otherwise(F.col(label))).select(*df.columns)
+
+
+def sole_runs(df: DataFrame, filing: str, page: str, label: str, least: int = 2) -> DataFrame:
+    """A pass: of a label with several runs, runs of fewer than ``least`` pages lose it (G4); a label whose runs are all short keeps its first."""
+    rows = df.where(F.col(label).isNotNull()).select(filing, page, F.col(label).alias("_l")).distinct()
+    run = rows.withColumn("_run", F.col(page) - F.row_number().over(Window.partitionBy(filing, "_l").orderBy(page)))
+    runs = run.groupBy(filing, "_l", "_run").agg(F.count("*").alias("_n"), F.min(page).alias("_s"))
+    v = Window.partitionBy(filing, "_l")
+    gone = runs.withColumn("_most", F.max("_n").over(v)).withColumn("_k", F.row_number().over(v.orderBy("_s"))).where((F.col("_n") < least) & ~((F.col("_most") < least) & (F.col("_k") == 1)))
+    lost = run.join(gone.select(filing, "_l", "_run"), [filing, "_l", "_run"], "left_semi").select(F.col(filing).alias("_f"), F.col(page).alias("_p"), F.col("_l").alias("_lost"))
+    x = df.join(lost, F.col(filing).eqNullSafe(F.col("_f")) & (F.col(page) == F.col("_p")) & (F.col(label) == F.col("_lost")), "left")
+    return x.withColumn(label, F.when(F.col("_lost").isNull(), F.col(label))).select(*df.columns)
+
+
+def word_table(words: DataFrame, keys: Sequence[str], starts: Sequence[float], tolerance: float = 0.01) -> DataFrame:
+    """Rows ``(*keys, row, cells)``: a table rebuilt from its words' places.
+
+    Words whose tops follow each other by less than ``tolerance`` stand in one row; a word belongs to the last column that ``starts``
+    left of it or at it (those left of all to the first). Words of a cell read from left to right; empty cells are empty texts.
+    """
+    w = Window.partitionBy(*keys).orderBy("y", "x", "word")
+    lined = words.withColumn("_new", F.coalesce((F.col("y") - F.lag("y").over(w) >= tolerance).cast("int"), F.lit(1))).withColumn("row", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    column = sum(((F.col("x") >= s).cast("int") for s in starts[1:]), F.lit(0))
+    cells = lined.withColumn("_c", column).groupBy(*keys, "row", "_c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "word"))), lambda v: v["word"]), " ").alias("_t"))
+    per = cells.groupBy(*keys, "row").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_t"))).alias("_m"))
+    return per.select(*keys, F.col("row").cast("bigint").alias("row"), F.array(*[F.coalesce(F.try_element_at("_m", F.lit(i)), F.lit("")) for i in range(len(starts))]).alias("cells"))
+
+
+def quote_boxes(matches: DataFrame, words: DataFrame, ident: str, keys: Sequence[str]) -> DataFrame:
+    """Rows ``(ident, *keys, line, x, y, w, h)``: the boxes of a quote's words, one per line (Q2).
+
+    ``matches`` has ``ident, keys, first, last``, places of words; ``words`` ``keys, place, line, x, y, w, h``.
+    """
+    m = matches.select(ident, *keys, "first", "last").distinct()
+    hit = m.join(words, list(keys)).where(F.col("place").between(F.col("first"), F.col("last")))
+    box = hit.groupBy(ident, *keys, "line").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("_r"), F.max(F.col("y") + F.col("h")).alias("_b"))
+    return box.select(ident, *keys, "line", "x", "y", F.bround(F.col("_r") - F.col("x"), 6).alias("w"), F.bround(F.col("_b") - F.col("y"), 6).alias("h"))
+
+
+def description_sources(wanted: DataFrame, chunks: DataFrame, filing: str, label: str, *, own: int = 3) -> DataFrame:
+    """Rows ``(filing, label, place, record_id, source)``: what a label's description is drawn from (N5): the first chunk of a synopsis that names it, then its ``own`` first chunks.
+
+    ``chunks`` has ``filing, record_id, part, page, text``, the part being the label itself for its own chunks.
+    """
+    both = wanted.select(filing, label).distinct().join(chunks, filing)
+    named = both.where((F.col("part") == "synopsis") & F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lower(label))).withColumn("source", F.lit("synopsis")).withColumn("_most", F.lit(1))
+    mine = both.where(F.col("part") == F.col(label)).withColumn("source", F.lit("own")).withColumn("_most", F.lit(own))
+    rows = named.unionByName(mine).withColumn("_k", F.row_number().over(Window.partitionBy(filing, label, "source").orderBy(F.asc_nulls_last("page"), "record_id"))).where("_k <= _most")
+    return rows.select(filing, label, F.row_number().over(Window.partitionBy(filing, label).orderBy(F.desc("source"), "_k")).alias("place"), "record_id", "source")

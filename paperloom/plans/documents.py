@@ -190,3 +190,68 @@ def absorbed_runs(spark, d):
 def rising_numbers(spark, d):
     number = F.regexp_extract("label", "_([0-9]+)$", 1).try_cast("int")
     return D.rising_numbers(_owners(spark, d), "filing_id", "page", "label", number)
+
+
+@query(
+    "bracketed_labels",
+    f"""WITH {REP}, e AS (SELECT filing_id, page, min(label) AS part FROM (SELECT filing_id, label, min(page) AS page FROM fp GROUP BY 1, 2) GROUP BY 1, 2), x AS (SELECT o.*, (SELECT arg_max(part, e.page) FROM e WHERE e.filing_id = o.filing_id AND e.page <= o.page) AS held FROM o) SELECT filing_id, page, CASE WHEN held IS NOT NULL AND (label IS NULL OR weak) THEN held ELSE label END AS label FROM x""",
+)
+def bracketed_labels(spark, d):
+    entries = filing_pages(spark, d).groupBy("filing_id", F.col("label").alias("part")).agg(F.min("page").alias("start"))
+    return D.bracketed(_weak(spark, d), "filing_id", "page", "label", entries).select("filing_id", "page", "label")
+
+
+@query(
+    "reopened_labels",
+    f"""WITH {REP}, h AS (SELECT *, CASE WHEN page % 6 = 0 THEN 'certificate' END AS hd FROM o), x AS (SELECT *, last_value(CASE WHEN hd IS NOT NULL THEN hd WHEN label IS NOT NULL AND NOT weak THEN '' END IGNORE NULLS) OVER (PARTITION BY filing_id ORDER BY page ROWS UNBOUNDED PRECEDING) AS l FROM h) SELECT filing_id, page, CASE WHEN l <> '' THEN l ELSE label END AS label FROM x""",
+)
+def reopened_labels(spark, d):
+    pages = _weak(spark, d).withColumn("heading", F.when(F.col("page") % 6 == 0, F.lit("certificate")))
+    return D.reopened(pages, "filing_id", "page", "label", "heading").select("filing_id", "page", "label")
+
+
+@query(
+    "sole_runs",
+    f"""WITH {REP}, r AS (SELECT filing_id, page, label, page - row_number() OVER (PARTITION BY filing_id, label ORDER BY page) AS run FROM o WHERE label IS NOT NULL), g AS (SELECT filing_id, label, run, count(*) AS n, min(page) AS s FROM r GROUP BY 1, 2, 3), q AS (SELECT *, max(n) OVER (PARTITION BY filing_id, label) AS m, row_number() OVER (PARTITION BY filing_id, label ORDER BY s) AS k FROM g),
+x AS (SELECT filing_id, label, run FROM q WHERE n < 2 AND NOT (m < 2 AND k = 1)), l AS (SELECT filing_id, page FROM r SEMI JOIN x USING (filing_id, label, run)) SELECT o.filing_id, o.page, CASE WHEN l.page IS NULL THEN o.label END AS label FROM o LEFT JOIN l ON o.filing_id = l.filing_id AND o.page = l.page""",
+)
+def sole_runs(spark, d):
+    return D.sole_runs(_weak(spark, d), "filing_id", "page", "label").select("filing_id", "page", "label")
+
+
+WT = "w AS (SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS word, l_discount * 9 AS x, l_linenumber // 2 * 0.1 + l_tax / 20 AS y, l_quantity / 100 AS w, 0.02 AS h, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place, l_linenumber // 2 AS line FROM lineitem)"
+
+
+def _table_words(spark, d):
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    line = F.floor(F.col("l_linenumber") / 2)
+    return table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").cast("string").alias("word"), (F.col("l_discount") * 9).alias("x"), (line * 0.1 + F.col("l_tax") / 20).alias("y"), (F.col("l_quantity") / 100).alias("w"), F.lit(0.02).alias("h"), place.alias("place"), line.alias("line"))
+
+
+@query(
+    "word_tables",
+    f"""WITH {WT}, a AS (SELECT *, coalesce(CAST(y - lag(y) OVER v >= 0.01 AS INT), 1) AS fresh FROM w WINDOW v AS (PARTITION BY l_orderkey ORDER BY y, x, word)), b AS (SELECT *, sum(fresh) OVER (PARTITION BY l_orderkey ORDER BY y, x, word ROWS UNBOUNDED PRECEDING) AS row FROM a)
+SELECT l_orderkey, CAST(row AS BIGINT) AS row, [coalesce(string_agg(word, ' ' ORDER BY x, word) FILTER (x < 0.3), ''), coalesce(string_agg(word, ' ' ORDER BY x, word) FILTER (x >= 0.3 AND x < 0.6), ''), coalesce(string_agg(word, ' ' ORDER BY x, word) FILTER (x >= 0.6), '')] AS cells FROM b GROUP BY 1, 2""",
+)
+def word_tables(spark, d):
+    return D.word_table(_table_words(spark, d), ["l_orderkey"], [0.0, 0.3, 0.6])
+
+
+@query("quote_boxes", f"WITH {WT}, m AS (SELECT l_orderkey AS id, l_orderkey, 2 AS a, 5 AS b FROM lineitem GROUP BY l_orderkey HAVING count(*) > 3), j AS (SELECT id, l_orderkey, line, min(x) AS x, min(y) AS y, max(x + w) AS r, max(y + h) AS b FROM m JOIN w USING (l_orderkey) WHERE place BETWEEN m.a AND m.b GROUP BY 1, 2, 3) SELECT id, l_orderkey, line, x, y, round_even(r - x, 6) AS w, round_even(b - y, 6) AS h FROM j")
+def quote_boxes(spark, d):
+    words = _table_words(spark, d)
+    m = words.groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n > 3").select(F.col("l_orderkey").alias("id"), "l_orderkey", F.lit(2).alias("first"), F.lit(5).alias("last"))
+    return D.quote_boxes(m, words, "id", ["l_orderkey"])
+
+
+@query(
+    "description_sources",
+    """WITH c AS (SELECT DISTINCT file_hash, record_id, document_part_id AS part, primary_page AS page, chunk_text AS t FROM chunks WHERE file_hash IS NOT NULL AND document_part_id IS NOT NULL), w AS (SELECT DISTINCT file_hash, part AS label FROM c WHERE part IN ('affidavit', 'certificate', 'application')), b AS (SELECT w.label, c.* FROM w JOIN c USING (file_hash)),
+n AS (SELECT *, 'synopsis' AS source, 1 AS most FROM b WHERE part = 'synopsis' AND contains(lower(coalesce(t, '')), lower(label)) UNION ALL SELECT *, 'own', 3 FROM b WHERE part = label), k AS (SELECT *, row_number() OVER (PARTITION BY file_hash, label, source ORDER BY page NULLS LAST, record_id) AS k FROM n)
+SELECT file_hash, label, row_number() OVER (PARTITION BY file_hash, label ORDER BY source DESC, k) AS place, record_id, source FROM k WHERE k <= most""",
+)
+def description_sources(spark, d):
+    c = table(spark, d, "chunks").where("file_hash is not null and document_part_id is not null").select("file_hash", "record_id", F.col("document_part_id").alias("part"), F.col("primary_page").alias("page"), F.col("chunk_text").alias("text")).distinct()
+    return D.description_sources(c.where("part in ('affidavit', 'certificate', 'application')").select("file_hash", F.col("part").alias("label")), c, "file_hash", "label")
