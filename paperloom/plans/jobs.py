@@ -206,3 +206,63 @@ def moved_upserts(spark, d):
 @query("slot_slices", f"WITH {PT} SELECT filing_id, count(*) AS pages, md5(string_agg(coalesce(t, ''), chr(12) ORDER BY page)) AS h FROM pt GROUP BY 1")
 def slot_slices(spark, d):
     return K.sliced(scanned(spark, d), ["filing_id"], "page", "t").select("filing_id", "pages", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+@query(
+    "redirect_chains",
+    "SELECT event_id, event_type <> 'error' AND NOT (event_type = 'click' AND event_id % 3 = 0) AND event_id % 4 <> 0 AS allowed, CASE WHEN event_type = 'error' THEN 'http://files.example/' || event_id WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'https://evilfiles.example/' || event_id END AS refused FROM events",
+)
+def redirect_chains(spark, d):
+    """Chains of two hops; every fourth resolves to a private address."""
+    e = events(spark, d)
+    first = F.concat(F.when(F.col("event_type") == "error", F.lit("http://files.example/")).otherwise(F.lit("https://files.example/")), F.col("event_id"))
+    second = F.concat(F.when((F.col("event_type") == "click") & (F.col("event_id") % 3 == 0), F.lit("https://evilfiles.example/")).otherwise(F.lit("https://cdn.files.example/")), F.col("event_id"))
+    rows = e.select("event_id", F.array(first, second).alias("hops"), F.when(F.col("event_id") % 4 == 0, F.array(F.lit("8.8.8.8"), F.lit("10.0.0.7"))).otherwise(F.array(F.lit("8.8.8.8"), F.lit("1.1.1.1"))).alias("addresses"))
+    return R.allowed_chains(rows, "event_id", "hops", spark.createDataFrame([("files.example",)], "host string"), "addresses")
+
+
+@query("resumed_scan", "WITH k AS (SELECT o_orderkey FROM orders WHERE o_orderkey > 500 ORDER BY 1 LIMIT 201) SELECT o_orderkey, CASE WHEN (SELECT count(*) FROM k) > 200 THEN (SELECT max(o_orderkey) FROM (SELECT o_orderkey FROM k ORDER BY 1 LIMIT 200)) END AS next FROM k ORDER BY 1 LIMIT 200")
+def resumed_scan(spark, d):
+    """A page of a scan is a limit by nature."""
+    return R.page_after(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 500, 200)
+
+
+@query("catalogue_revision", "SELECT n_regionkey, count(*) AS rows, max(n_nationkey) AS version, true AS changed FROM nation GROUP BY 1")
+def catalogue_revision(spark, d):
+    """The state of each region's nations, and whether it changes when one name does."""
+    n = table(spark, d, "nation")
+    cols = ["n_nationkey", "n_name", "n_regionkey"]
+    now = R.revision(n, ["n_regionkey"], "n_nationkey", cols)
+    then = R.revision(n.withColumn("n_name", F.when(F.col("n_nationkey") < 25, F.concat("n_name", F.lit("!"))).otherwise(F.col("n_name"))), ["n_regionkey"], "n_nationkey", cols)
+    return now.join(then.select("n_regionkey", F.col("mark").alias("other")), "n_regionkey").select("n_regionkey", "rows", "version", (F.col("mark") != F.col("other")).alias("changed"))
+
+
+@query("manifest_files", "WITH f AS (SELECT DISTINCT lower(filename) AS n FROM filing_parts WHERE filename IS NOT NULL), m AS (SELECT DISTINCT lower(slot_id || '.pdf') AS n FROM filing_parts WHERE slot_id IS NOT NULL UNION SELECT lower(regexp_replace(slot_id, '_[0-9]+$', '') || '.pdf') FROM filing_parts WHERE slot_id IS NOT NULL) SELECT coalesce(m.n, f.n) AS name, CASE WHEN f.n IS NULL THEN 'missing' WHEN m.n IS NULL THEN 'unlisted' ELSE 'found' END AS state FROM f FULL JOIN m ON f.n = m.n")
+def manifest_files(spark, d):
+    p = table(spark, d, "filing_parts")
+    listed = p.where("slot_id is not null").select(F.explode(F.array(F.concat("slot_id", F.lit(".pdf")), F.concat(F.regexp_replace("slot_id", "_[0-9]+$", ""), F.lit(".pdf")))).alias("name"))
+    return R.with_manifest(p.where("filename is not null").select(F.col("filename").alias("name")), listed).withColumn("name", F.lower("name"))
+
+
+@query("queue_receive", "SELECT event_id, event_type AS kind FROM events WHERE event_id % 5 <> 0")
+def queue_receive(spark, d):
+    """A stream of messages as text, of which every fifth is no JSON."""
+    s = J.event_stream(spark, d)
+    body = F.when(F.col("event_id") % 5 == 0, F.lit("{not json")).otherwise(F.to_json(F.struct("event_id", F.col("event_type").alias("kind"))))
+    return J.run_once(R.queue_messages(s.select(body.alias("value")), "value", "event_id bigint, kind string"))
+
+
+@query("single_record", "WITH k AS (SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 7) SELECT c_custkey, c_name, (SELECT count(*) FROM k) > 1 AS more FROM k ORDER BY c_custkey LIMIT 1")
+def single_record(spark, d):
+    """The search for one record is a limit by nature."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    return R.at_most_one(c, (F.col("c_mktsegment") == "BUILDING") & (F.col("c_nationkey") == 7), "c_custkey").select("c_custkey", "c_name", "more")
+
+
+@query("case_types", "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS \"group\" FROM nation")
+def case_types(spark, d):
+    """A dimension kept as one JSON document of many lines."""
+    place = _place(spark, "case-types")
+    whole = table(spark, d, "nation").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("group"))).alias("types")), {"pretty": "true"}).alias("value"))
+    whole.write.text(place)
+    return R.json_document(spark, place, "types array<struct<id:int,name:string,group:int>>").select(F.explode("types").alias("t")).select("t.*")

@@ -120,3 +120,51 @@ def verified(files: DataFrame, pinned: DataFrame, name: str = "name", checksum:
 def queue_messages(stream: DataFrame, value: str, schema: str) -> DataFrame:
     """The messages of a queue's or topic's text column; what is no JSON is skipped (S17). Works on streams, too."""
     return stream.select(F.from_json(value, schema).alias("_m"), F.expr(f"try_parse_json({value})").alias("_j")).where("_m is not null and _j is not null").select("_m.*")
+
+
+def allowed_chains(df: DataFrame, ident: str, hops: str, hosts: DataFrame, addresses: str | None = None) -> DataFrame:
+    """Rows ``(ident, allowed, refused)``: whether a fetch may follow a chain of redirects: each hop must be allowed by itself, and each address public.
+
+    ``refused`` is the first hop that isn't. ``addresses`` are those the hops resolved to; a chain without hops is refused.
+    """
+    steps = df.select(ident, F.posexplode_outer(hops).alias("_at", "_url"))
+    fine = allowed_urls(steps.where("_url is not null"), "_url", hosts).select(ident, "_at", F.lit(True).alias("_ok"))
+    told = steps.join(fine, [ident, "_at"], "left")
+    per = told.groupBy(ident).agg(F.bool_and(F.coalesce("_ok", F.lit(False))).alias("_all"), F.min(F.when(F.col("_ok").isNull(), F.struct("_at", "_url")))["_url"].alias("refused"))
+    if addresses is None:
+        return per.select(ident, F.col("_all").alias("allowed"), "refused")
+
+    @F.pandas_udf("boolean")
+    def public(column: pd.Series) -> pd.Series:
+        return column.map(lambda xs: xs is not None and all(public_address(x) for x in xs))
+
+    return per.join(df.select(ident, public(addresses).alias("_pub")), ident).select(ident, (F.col("_all") & F.col("_pub")).alias("allowed"), "refused")
+
+
+def page_after(df: DataFrame, key: str, token, size: int) -> DataFrame:
+    """The next ``size`` rows of a scan in order of ``key``, behind the ``token`` (null: from the beginning), with ``next``: the token to go on with, null at the end.
+
+    The filter on the key reaches the source; a page and one row more is all that is sorted out.
+    """
+    from pyspark.sql import Window
+
+    more = (df if token is None else df.where(F.col(key) > F.lit(token))).orderBy(key).limit(size + 1)
+    n = F.row_number().over(Window.orderBy(key))
+    rows = more.withColumn("_n", n).withColumn("_all", F.count("*").over(_whole()))
+    last = F.max(F.when(F.col("_n") == size, F.col(key))).over(_whole())
+    return rows.withColumn("next", F.when(F.col("_all") > size, last)).where(F.col("_n") <= size).drop("_n", "_all")
+
+
+def revision(df: DataFrame, scope: list[str], version: str, columns: Sequence[str]) -> DataFrame:
+    """Rows ``(*scope, rows, version, mark)``: a table's state per scope, to be compared with the one last read before it is read again.
+
+    The mark changes if any row does, whatever the order: a sum of the rows' hashes.
+    """
+    return df.groupBy(*scope).agg(F.count("*").alias("rows"), F.max(version).alias("version"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string").alias("mark"))
+
+
+def with_manifest(files: DataFrame, manifest: DataFrame, name: str = "name") -> DataFrame:
+    """Rows ``(name, state)`` of a folder's files and a manifest's (S16): found, missing, unlisted; names compare without case."""
+    f, m = files.select(F.lower(name).alias("_n"), F.col(name).alias("_a")).dropDuplicates(["_n"]), manifest.select(F.lower(name).alias("_n"), F.col(name).alias("_b")).dropDuplicates(["_n"])
+    both = f.join(m, "_n", "full_outer")
+    return both.select(F.coalesce("_b", "_a").alias("name"), F.when(F.col("_a").isNull(), "missing").when(F.col("_b").isNull(), "unlisted").otherwise("found").alias("state"))
