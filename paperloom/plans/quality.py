@@ -209,33 +209,30 @@ def quote_shingle_match(spark, d):
     return A.aligned_quotes(evidence(spark, d), scanned(spark, d), "filing_id", "evidence_id", "quote", "page", "t", "page")
 
 
-@query("quote_containment", f"WITH {FE}, {PT}, n AS (SELECT evidence_id, filing_id, trim(regexp_replace(lower(split_part(quote, '. ', 1)), '\\s+', ' ', 'g')) AS q FROM fe WHERE trim(coalesce(quote, '')) <> '') SELECT evidence_id, page_id FROM n JOIN (SELECT page_id, filing_id, trim(regexp_replace(lower(t), '\\s+', ' ', 'g')) AS t FROM pt) USING (filing_id) WHERE contains(t, q)")
+FOLDQ = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
+
+
+@query(
+    "quote_containment",
+    f"""WITH {FE}, {PT}, u AS (SELECT evidence_id, filing_id, 0 AS part, quote AS q FROM fe UNION ALL SELECT evidence_id, filing_id, unnest(range(1, len(qs) + 1)), unnest(qs) FROM (SELECT evidence_id, filing_id, string_split(quote, '. ') AS qs FROM fe WHERE quote IS NOT NULL)),
+n AS (SELECT evidence_id, part, filing_id, {FOLDQ.format("q")} AS q FROM u WHERE trim(coalesce(q, '')) <> '') SELECT evidence_id, CAST(part AS INT) AS part, page_id FROM n JOIN (SELECT page_id, filing_id, {FOLDQ.format("t")} AS t FROM pt) USING (filing_id) WHERE contains(t, q)""",
+)
 def quote_containment(spark, d):
-    e = evidence(spark, d).withColumn("lead", F.split_part("quote", F.lit(". "), F.lit(1)))
-    return A.contained(e, scanned(spark, d), "filing_id", "lead", "t", "evidence_id", "page_id")
+    """Whole quotes (part 0) and each of their sentences in the pages of their filing."""
+    e = evidence(spark, d).select("evidence_id", "filing_id", F.posexplode(F.concat(F.array("quote"), F.coalesce(F.split("quote", r"\. "), F.array().cast("array<string>")))).alias("part", "q"))
+    found = A.contained(e.withColumn("_id", F.struct("evidence_id", "part")), scanned(spark, d), "filing_id", "q", "t", "_id", "page_id")
+    return found.select("_id.evidence_id", "_id.part", "page_id")
 
 
 @query(
     "evidence_binding",
-    f"""WITH {FE}, x AS (SELECT evidence_id, filing_id, check_id, left(quote, 12) AS k, page FROM fe), y AS (SELECT evidence_id AS chunk, filing_id, check_id, k, page FROM x WHERE evidence_id % 2 = 0),
-z AS (SELECT a.evidence_id, b.chunk, CASE WHEN a.check_id = b.check_id AND a.k = b.k THEN 0 WHEN a.k = b.k AND a.page = b.page THEN 1 WHEN a.k = b.k THEN 2 WHEN a.check_id = b.check_id THEN 3 END AS priority FROM x a JOIN y b ON a.filing_id = b.filing_id WHERE a.evidence_id % 2 = 1)
-SELECT * FROM z WHERE priority IS NOT NULL QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY priority, chunk) = 1""",
+    f"""WITH {FE}, p AS (SELECT DISTINCT filing_id, file_hash FROM filing_parts WHERE file_hash IS NOT NULL), e AS (SELECT DISTINCT evidence_id, file_hash, document_part AS c, page, quote FROM fe JOIN p USING (filing_id)), k AS (SELECT DISTINCT record_id, file_hash, document_part AS c2, page_start AS a, page_end AS z, chunk_text FROM chunks WHERE file_hash IS NOT NULL),
+h AS (SELECT evidence_id, record_id, CASE WHEN c = c2 THEN 0 WHEN page BETWEEN a AND z THEN 1 ELSE 2 END AS priority FROM e JOIN k USING (file_hash) WHERE trim(coalesce(quote, '')) <> '' AND contains({FOLDQ.format("chunk_text")}, {FOLDQ.format("quote")})),
+l AS (SELECT file_hash, c2 AS c, min(record_id) AS record_id FROM k GROUP BY 1, 2), u AS (SELECT * FROM h UNION ALL SELECT evidence_id, record_id, 3 FROM e JOIN l USING (file_hash, c))
+SELECT evidence_id, record_id, priority FROM u QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY priority, record_id) = 1""",
 )
 def evidence_binding(spark, d):
-    e = evidence(spark, d).withColumn("k", F.left("quote", F.lit(12)))
-    chunks = e.where("evidence_id % 2 = 0").withColumnRenamed("evidence_id", "chunk")
-    return A.best_binding(e.where("evidence_id % 2 = 1"), chunks, "filing_id", "check_id", "k", "page", "evidence_id", "chunk")
-
-
-@query("quote_containment_whole", f"WITH {FE}, {PT}, n AS (SELECT evidence_id, filing_id, trim(regexp_replace(lower(quote), '\\s+', ' ', 'g')) AS q FROM fe WHERE trim(coalesce(quote, '')) <> '') SELECT evidence_id, page_id FROM n JOIN (SELECT page_id, filing_id, trim(regexp_replace(lower(t), '\\s+', ' ', 'g')) AS t FROM pt) USING (filing_id) WHERE contains(t, q)")
-def quote_containment_whole(spark, d):
-    """Whole quotes; ``quote_containment`` and its SQL look for the first sentence alone."""
-    return A.contained(evidence(spark, d), scanned(spark, d), "filing_id", "quote", "t", "evidence_id", "page_id")
-
-
-@query("evidence_chunk_binding")
-def evidence_chunk_binding(spark, d):
-    """Whole quotes in whole chunks of the filing's files, the cited part standing for the cited id; ``evidence_binding`` and its SQL compare 12 characters of quotes."""
+    """Whole quotes in whole chunks of the filing's files, the cited part standing for the cited id."""
     files = table(spark, d, "filing_parts").select("filing_id", "file_hash").where("file_hash is not null").distinct()
     c = table(spark, d, "chunks").select("record_id", "file_hash", "document_part", "page_start", "page_end", "chunk_text").distinct()
     return A.bound_chunks(evidence(spark, d).join(files, "filing_id"), c.where("file_hash is not null"), "file_hash", "document_part", "quote", "page", "evidence_id", "record_id", "chunk_text", "page_start", "page_end")

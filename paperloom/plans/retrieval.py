@@ -99,7 +99,11 @@ def pending_batches(spark, d):
     return R.batched(table(spark, d, "chunks").select("record_id", "file_hash").distinct(), ["file_hash"], ["record_id"], 100).select("record_id", "batch")
 
 
-@query("char_budget_batches")
+@query(
+    "char_budget_batches",
+    """WITH RECURSIVE c AS (SELECT DISTINCT evidence_id, filing_id, least(coalesce(length(quote), 0), 3000) + 300 AS c FROM finding_evidence), n AS (SELECT *, row_number() OVER (PARTITION BY filing_id ORDER BY evidence_id) AS n FROM c), b AS (SELECT filing_id, evidence_id, n, c AS used, 0 AS batch FROM n WHERE n = 1
+UNION ALL SELECT n.filing_id, n.evidence_id, n.n, CASE WHEN b.used + n.c > 3000 THEN n.c ELSE b.used + n.c END, CASE WHEN b.used + n.c > 3000 THEN b.batch + 1 ELSE b.batch END FROM b JOIN n ON n.filing_id IS NOT DISTINCT FROM b.filing_id AND n.n = b.n + 1) SELECT filing_id, evidence_id, batch FROM b""",
+)
 def char_budget_batches(spark, d):
     c = table(spark, d, "finding_evidence").select("evidence_id", "filing_id", F.length("quote").alias("n")).distinct()
     return R.char_batches(c, "filing_id", ["evidence_id"], "n", budget=3000)
