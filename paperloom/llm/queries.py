@@ -117,9 +117,12 @@ def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(back, "doc_id").select("doc_id", (F.col("text") == F.col("decoded")).alias("same"), F.md5(F.col("decoded").cast("binary")).alias("text_md5"))
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return count_tokens(table(spark, d, "documents").where("text is not null"), ["doc_id", "source"], "text")
+
+
 def _mix(spark: SparkSession, d: str) -> DataFrame:
-    sized = materialise(count_tokens(table(spark, d, "documents").where("text is not null"), ["doc_id", "source"], "text"))
-    return fair_mix(sized, table(spark, d, "mix_targets"), "doc_id", "source", "n_tokens")
+    return fair_mix(materialise(_sized(spark, d)), table(spark, d, "mix_targets"), "doc_id", "source", "n_tokens")
 
 
 @query("p8_mix")
@@ -135,14 +138,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 @query("p8_fair", "SELECT DISTINCT t.source, true AS within_repeats, true AS in_share FROM mix_targets t WHERE target_weight > 0 AND max_repeats > 0 AND source IN (SELECT source FROM documents WHERE text <> '')")
 def p8_fair(spark: SparkSession, d: str) -> DataFrame:
     """Of each source in the mix: no document comes more often than it may, nor a round before the last one is through, and its size is its share, to within a largest document."""
-    mix = materialise(_mix(spark, d))
-    targets = table(spark, d, "mix_targets").groupBy("source").agg(F.max("target_weight").alias("w"), F.max("max_repeats").alias("r"))
-    per = mix.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("most"), F.max("repeat_no").alias("top"), F.count_distinct("doc_id").alias("docs"), F.count("*").alias("copies"))
-    both = per.join(targets, "source")
-    whole = Window.partitionBy()
+    sized = materialise(_sized(spark, d))
+    targets = table(spark, d, "mix_targets").where("target_weight > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_weight").alias("w"), F.max("max_repeats").alias("r"))
+    mix = fair_mix(sized, table(spark, d, "mix_targets"), "doc_id", "source", "n_tokens")
+    per = mix.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.max("repeat_no").alias("top"), F.count_distinct("doc_id").alias("docs"), F.count("*").alias("copies"))
+    both = sized.where("n_tokens > 0").groupBy("source").agg(F.max("n_tokens").alias("most")).join(targets, "source").join(per, "source", "left")
+    whole, n = Window.partitionBy(), F.coalesce("n", F.lit(0))
     share = F.col("w") / F.sum("w").over(whole) * F.sum("n").over(whole)
     rounds = (F.col("top") <= F.col("r")) & ((F.col("top") == 1) | (F.col("copies") > (F.col("top") - 1) * F.col("docs")))
-    return both.select("source", rounds.alias("within_repeats"), (F.abs(F.col("n") - share) <= F.max("most").over(whole)).alias("in_share"))
+    return both.select("source", F.coalesce(rounds, F.lit(True)).alias("within_repeats"), F.coalesce(F.abs(n - share) <= F.max("most").over(whole), F.lit(True)).alias("in_share"))
 
 
 @query("p9_languages")
