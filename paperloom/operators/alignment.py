@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import quote_fold
+from ..session import materialise
 from .grouped import per_group
 
 
@@ -119,20 +121,68 @@ def best_binding(evidence: DataFrame, chunks: DataFrame, filing: str, cited: str
     return out.select(ident, found.alias("_f")).where("_f is not null").select(ident, F.col("_f.chunk").alias(chunk), "_f.priority")
 
 
+def key_bits(keys: DataFrame, key: str, n: int, least: int = 2**10, most: int = 2**20) -> Callable[[Column], Column]:
+    """A test of which 64-bit keys are surely not among ``n`` distinct ``keys``: two bits a key in a map of 64 bits a key, 8 MB at most, that travels as a scalar.
+
+    It leaves out no key of ``keys``; of the others some pass, the more the fuller the map is.
+    """
+    size = min(max(least, 1 << max(n - 1, 0).bit_length()), most)
+    places = lambda k: [F.pmod(x, F.lit(size * 64)) for x in (k, F.shiftrightunsigned(k, 32))]
+    bit = keys.select(F.explode(F.array(*places(F.col(key)))).alias("_b"))
+    words = bit.groupBy(F.shiftright("_b", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(_b & 63 as int)))").alias("_w"))
+    whole = keys.sparkSession.range(size).join(words, "id", "left").select(F.struct("id", F.coalesce("_w", F.lit(0)).alias("w")).alias("_s"))
+    bits = whole.agg(F.array_sort(F.collect_list("_s")).alias("_s")).select("_s.w").scalar()
+    held = lambda b: F.getbit(F.get(bits, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return lambda k: reduce(Column.__and__, [held(b) for b in places(k)])
+
+
 def bound_chunks(evidence: DataFrame, chunks: DataFrame, filing: str, cited: str, quote: str, page: str, ident: str, chunk: str, text: str, first: str, last: str) -> DataFrame:
     """Rows ``(ident, chunk, priority)``: the chunk each piece of evidence is bound to, by its whole quote in the chunk's whole text.
 
     Priorities and ties as in ``best_binding``; a chunk is on the cited page if it is within
-    ``first`` and ``last``. Quotes meet only texts of their filing that share a run of words (``contained``).
+    ``first`` and ``last``. The inner words of a quote stand whole in any text that holds it. So a
+    quote has one key, the hash of its filing and of a run of twelve of them, four or one, by its
+    length, the rarest among the filing's quotes; one of one or two words has its filing alone. A
+    text has the keys of all its runs; those that no quote has are left out where they are made
+    (``key_bits``). Texts meet only quotes of their keys, and are then compared letter for letter.
     """
-    held = contained(evidence, chunks, filing, quote, text, ident, chunk).distinct()
-    place = chunks.select(filing, chunk, F.col(cited).alias("_c2"), F.col(first).alias("_a"), F.col(last).alias("_z")).distinct()
-    e = evidence.select(ident, filing, F.col(cited).alias("_c"), F.col(page).alias("_p")).distinct()
-    rank = F.when(F.col("_c") == F.col("_c2"), 0).when(F.col("_p").between(F.col("_a"), F.col("_z")), 1).otherwise(2)
-    hits = e.join(held, ident).join(place, [filing, chunk]).select(ident, rank.alias("priority"), chunk)
-    lead = place.groupBy(filing, F.col("_c2").alias("_c")).agg(F.min(chunk).alias(chunk))
-    both = hits.unionByName(e.join(lead, [filing, "_c"]).select(ident, F.lit(3).alias("priority"), chunk))
-    return both.groupBy(ident).agg(F.min(F.struct("priority", chunk)).alias("_f")).select(ident, f"_f.{chunk}", "_f.priority")
+    fold = lambda c: F.trim(F.regexp_replace(F.lower(F.col(c)), r"[\t\n\f\r ]+", " "))
+    pair = lambda a, b, k: F.transform(a, lambda x, i: F.xxhash64(x, F.get(b, i + k)))
+
+    def runs(df: DataFrame) -> DataFrame:
+        """``_h12``, ``_h4``, ``_h1``: the hashes of runs of so many words from each word of ``_q`` on."""
+        df = df.withColumn("_h1", F.transform(F.split("_q", " "), lambda x: F.xxhash64("_f", x)))
+        for size, left, right, step in (("2", "_h1", "_h1", 1), ("4", "_h2", "_h2", 2), ("8", "_h4", "_h4", 4), ("12", "_h8", "_h4", 8)):
+            df = df.withColumn(f"_h{size}", pair(F.col(left), F.col(right), step))
+        return df
+
+    c = chunks.where(F.col(filing).isNotNull()).select(filing, F.col(chunk).alias("_c"), F.col(cited).alias("_c2"), F.col(first).alias("_a"), F.col(last).alias("_z"), F.col(text).alias("_t"))
+    e = evidence.select(ident, filing, F.col(cited).alias("_c2"), F.col(page).alias("_p"), fold(quote).alias("_q"), (F.trim(F.coalesce(quote, F.lit(""))) != "").alias("_some"))
+    e = materialise(e.join(c.select(filing).distinct(), filing, "left_semi"))
+
+    q = materialise(e.where("_some").select(F.xxhash64(filing).alias("_f"), "_q").distinct().withColumn("_i", F.monotonically_increasing_id()))
+    n, alone = F.size("_h1"), F.array(F.xxhash64("_f"))
+    inner = lambda size: F.slice(f"_h{size}", F.lit(2), n - 1 - size)
+    own = F.when(n >= 14, inner(12)).when(n >= 6, inner(4)).when(n >= 3, inner(1)).otherwise(alone)
+    able = runs(q).select("_i", F.explode(F.array_distinct(own)).alias("_k"))
+    rarest = able.join(able.groupBy("_k").agg(F.count("*").alias("_n")), "_k").groupBy("_i").agg(F.min(F.struct("_n", "_k")).alias("_r"))
+    q = materialise(q.join(rarest, "_i").select(F.col("_r._k").alias("_k"), "_q"))
+    keys = q.select("_k").distinct()
+    among = key_bits(keys, "_k", keys.count())
+
+    texts = c.where("_t is not null").select(F.xxhash64(filing, "_c", "_t").alias("_o"), filing, "_c", "_c2", "_a", "_z", fold("_t").alias("_t"))
+    words = runs(texts.select("_o", F.xxhash64(filing).alias("_f"), F.col("_t").alias("_q")))
+    made = words.select("_o", F.explode(F.array_distinct(F.concat("_h12", "_h4", "_h1", alone))).alias("_k"))
+    near = made.where(among(F.col("_k"))).repartition("_k").distinct().join(q, "_k").select("_o", "_q")
+
+    held = near.join(texts, "_o").where(F.contains("_t", "_q"))
+    hits = held.groupBy(filing, "_q", F.col("_c2").alias("_part"), "_a", "_z").agg(F.min("_c").alias("_c"))
+    rank = F.when(F.col("_c2") == F.col("_part"), 0).when(F.col("_p").between(F.col("_a"), F.col("_z")), 1).otherwise(2)
+    bound = e.where("_some").join(hits, [filing, "_q"]).select(ident, rank.alias("priority"), "_c")
+    lead = c.where("_c2 is not null").groupBy(filing, "_c2").agg(F.min("_c").alias("_c"))
+    both = bound.unionByName(e.join(lead, [filing, "_c2"]).select(ident, F.lit(3).alias("priority"), "_c"))
+    best = both.groupBy(ident).agg(F.min(F.struct("priority", F.col("_c").isNull().alias("_none"), "_c")).alias("_b"))
+    return best.select(ident, F.col("_b._c").alias(chunk), "_b.priority")
 
 
 def visual_lines(df: DataFrame, key: str, ident: str, gutter: float = 0.045) -> DataFrame:

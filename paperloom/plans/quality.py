@@ -234,8 +234,8 @@ SELECT evidence_id, record_id, priority FROM u QUALIFY row_number() OVER (PARTIT
 def evidence_binding(spark, d):
     """Whole quotes in whole chunks of the filing's files, the cited part standing for the cited id."""
     files = table(spark, d, "filing_parts").select("filing_id", "file_hash").where("file_hash is not null").distinct()
-    c = table(spark, d, "chunks").select("record_id", "file_hash", "document_part", "page_start", "page_end", "chunk_text").distinct()
-    return A.bound_chunks(evidence(spark, d).join(files, "filing_id"), c.where("file_hash is not null"), "file_hash", "document_part", "quote", "page", "evidence_id", "record_id", "chunk_text", "page_start", "page_end")
+    c = table(spark, d, "chunks")
+    return A.bound_chunks(evidence(spark, d).join(files, "filing_id"), c, "file_hash", "document_part", "quote", "page", "evidence_id", "record_id", "chunk_text", "page_start", "page_end")
 
 
 def _place():
